@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import order_minhash
+import public_tokenizers
+
+from . import chat, html_main, langid, media, mixing, order_minhash, packing
 from .base import table
 
 
@@ -10,5 +12,30 @@ def op1_order_minhash(spark, sf_dir):
     return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_order_minhash": op1_order_minhash}
-ORACLES: dict[str, str] = {}
+def op2_mixing(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_html_main_text(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark, sf_dir):
+    return chat.render_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_media(spark, sf_dir):
+    return media.features(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_mixing, op3_html_main_text, op4_chat_formatting, op6_language_id, op7_packing, op10_media)}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
