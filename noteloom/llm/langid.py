@@ -120,7 +120,7 @@ def fit(docs: DataFrame, n: int = 3, k: int = 3, slot_bits: int = 17, docs_per_l
 
     counted = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("nth") <= grams_per_language)
-    rows = top.select("lang", "gram").collect()
+    rows = top.select("lang", "gram", "n").collect()
     languages = sorted({r.lang for r in rows}, key=lambda x: x.encode())
     if len(languages) > 64 * planes:
         raise ValueError(f"{len(languages)} languages; the bitmasks hold {64 * planes}")
@@ -141,10 +141,9 @@ def fit(docs: DataFrame, n: int = 3, k: int = 3, slot_bits: int = 17, docs_per_l
 def identify(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, coverage for every row; with keep_columns, the columns of docs and the last three."""
     arrow_limits(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: slots, not documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, letters = shared.value, letter_table()
+        m, letters = model, letter_table()  # of fixed size: slots, not documents
         for b in batches:
             got = [m.predict(t.as_py(), letters) for t in b.column(b.schema.get_field_index("text"))]
             new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
