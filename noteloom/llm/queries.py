@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, html_main, langid, media, mixing, order_minhash, packing
+from . import chat, html_main, jaccard_join, langid, media, mixing, order_minhash, packing, pii, secrets_scan
 from .base import table
 
 
@@ -24,6 +24,10 @@ def op4_chat_formatting(spark, sf_dir):
     return chat.render_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -33,9 +37,20 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark, sf_dir):
     return media.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_mixing, op3_html_main_text, op4_chat_formatting, op6_language_id, op7_packing, op10_media)}
-ORACLES = {"op2_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_order_minhash, op2_mixing, op3_html_main_text, op4_chat_formatting, op5_jaccard_join, op6_language_id, op7_packing, op8_secret_scan, op9_pii, op10_media)
+}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE}
