@@ -16,8 +16,10 @@ Null text counts as empty and has only the end id. Repeated rows are packed once
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,61 @@ from .base import arrow_limits
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 TIERS = (512, 1024, 2048, 4096)
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: c for c, b in enumerate((b for b in range(256) if b not in _PRINTABLE), 256)}
 
 
 class WordCachedTokenizer:
-    """ids of whole texts. The vocabulary's splitter never crosses a space, so parts between spaces are cached."""
+    """ids of whole texts. The vocabulary's splitter never crosses a space, so parts between spaces are cached.
 
-    def __init__(self, path: str, cached: int = 300_000):
+    It also always splits a run of letters from a run of other signs without an apostrophe, and lowers ASCII letters,
+    so "Word," is put together from the cached ids of "word" and ",".
+    """
+
+    SIGNS = ".,;:!?%&*#$"
+
+    def __init__(self, path: str, cached: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_file(path), cached, {}
+        self.tokenizer, self.cached, self.known, self.units = Tokenizer.from_file(path), cached, {}, {"": b""}
+        self.model = self.tokenizer.model
+
+    @classmethod
+    def of_process(cls, path: str) -> WordCachedTokenizer:
+        """The one of this worker process: its cache serves the tasks that follow."""
+        import sys
+
+        kept = sys.__dict__.setdefault("_noteloom_tokenizers", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def learn(self, new: list[str]) -> None:
+        made, units = [], self.units
+        for x in new:
+            core = x.rstrip(self.SIGNS)
+            tail = x[len(core) :]
+            if core.isalpha():
+                made.append((x, core.lower() if core.isascii() else core, tail))
+            else:
+                made.append((x, x, ""))
+        if len(units) + 2 * len(new) > self.cached:
+            units.clear()
+            units[""] = b""
+        for x in {u for m in made for u in m[1:] if u not in units}:
+            units[x] = array("H", self.encoded(x)).tobytes()
+        for x, core, tail in made:
+            self.known[x] = units[core] + units[tail]
+
+    def encoded(self, x: str) -> list[int]:
+        """ids of a part. Lower-case words in composed form are past the normalizer and splitter: the model alone reads them."""
+        if x.isalpha() and x == x.lower() and is_normalized("NFC", x):
+            return [t.id for t in self.model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]
+        return self.tokenizer.encode(x, add_special_tokens=False).ids
 
     def ids(self, text: str) -> np.ndarray:
         parts = text.replace("\n", " ").split(" ")
@@ -46,10 +91,8 @@ class WordCachedTokenizer:
         if len(self.known) + len(new) > self.cached:
             self.known.clear()
             new = list(set(parts))
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u2").tobytes()
+        if new:
+            self.learn(new)
         return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u2")
 
 
@@ -126,7 +169,7 @@ def packed_pieces(path: str, end_id: int, tiers: tuple[int, ...], buffer_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, packer = WordCachedTokenizer(path), Packer(TaskContext.get().partitionId(), tiers, group_tokens)
+        tokenizer, packer = WordCachedTokenizer.of_process(path), Packer(TaskContext.get().partitionId(), tiers, group_tokens)
         end = np.array([end_id], "<u2")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
