@@ -5,12 +5,14 @@ Two sets with Jaccard similarity of at least t share o >= ceil(t * n) shingles f
 order of all shingles their prefixes of n - o + 1 share one. Under several unrelated orders they share one in each.
 
 1. Equal sets become one class; its row with the least id stands for it.
-2. Documents filter. In the prefix that is longer by m = n / 10 under the first order (ascending hashes), similar sets
-   share m shingles, so a document needs about that many prefix shingles that any other document has in its prefix.
-   Passages shared by many documents are too short a part of each to pass; what passes are near copies.
-3. Candidates. Documents that share a shingle of the first order's prefix form a bucket. Not all pairs of a bucket are
-   made: a hub meets the others, the found links are contracted to components, and only buckets that still hold two
-   components go on, with four times as many hubs each round, until none is left. Every pair of a bucket has then
+2. Documents filter. In the prefix that is longer by m = n / 10 under ascending hashes, similar sets share m shingles,
+   so a document needs about that many prefix shingles that any other document has in its prefix. Passages shared by
+   many documents are too short a part of each to pass; what passes are near copies, for which alone whole sets are
+   laid out. There, a document needs o shared shingles in all.
+3. Candidates. The first order is by frequency among what is left, then hash: prefixes hold the rarest shared shingles.
+   Documents that share one form a bucket. Not all pairs of a bucket are
+   made: a hub (the document with the fewest shingles of its own, which is the likeliest origin) meets the others, the found links are contracted to components, and only buckets that still hold two
+   components go on, with eight times as many hubs each round, until none is left. Every pair of a bucket has then
    been tested, or its documents are connected, so components are exact. No cap applies.
 4. A candidate pair must also share prefix shingles under the second (descending hashes) and third order (hashes with
    halves swapped) before the exact intersection of the whole sets decides.
@@ -24,7 +26,7 @@ gives none. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import WORD, discard, keep, let, lower_ascii
@@ -66,6 +68,10 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
+#: The documents filter demands this percentage of a set beyond the plain prefix.
+MORE = 10
+
+
 class Join:
     """The steps over one table of documents."""
 
@@ -80,7 +86,7 @@ class Join:
 
     def classes(self) -> DataFrame:
         """One row per document: rid, doc_id, n, and node, the least rid with an equal set (null for an empty set)."""
-        longer = F.greatest(F.lit(1), F.floor(F.col("n") / 10).cast("int"))
+        longer = F.greatest(F.lit(1), F.floor(F.col("n") * MORE / 100).cast("int"))
         self.rows = keep(self.sets(self.docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "k1", "k2", _prefix(F.col("set"), F.col("n"), self.t, longer).alias("prefix")), "sets")
         filled = self.rows.where("n > 0").select("rid", "doc_id", "n", "k1", "k2")
         least = filled.groupBy("n", "k1", "k2").agg(F.min("rid").alias("node"))
@@ -90,11 +96,11 @@ class Join:
 
     def survivors(self, members: DataFrame) -> DataFrame:
         """Classes with enough prefix shingles in common with others: node, doc_id, n, k1, k2."""
-        e = self.rows.select("rid", F.explode("prefix").alias("token"))
-        shared = e.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+        e = self.rows.select("rid", F.shiftright("k1", 33).alias("k"), F.explode("prefix").alias("token"))
+        shared = e.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
         counts = e.join(shared, "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
         heads = members.where("rid = node").select("node", "doc_id", "n", "k1", "k2")
-        enough = F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.t / 1000))
+        enough = F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.t * MORE / 10000))
         out = keep(heads.join(counts.withColumnRenamed("rid", "node"), "node").where(enough).drop("c"), "survivors")
         discard(self.rows)
         return out
@@ -128,22 +134,47 @@ class Join:
         common = F.when(long_enough & second & third, F.size(F.array_intersect("s1", "s2"))).otherwise(0)
         return both.where(common * (100 + self.t) >= (c("n1") + c("n2")) * self.t).select("a", "b")
 
+    def buckets(self, whole: DataFrame) -> DataFrame:
+        """node, n, rank, token: the prefixes under the first order of those that still have enough shared shingles.
+
+        First order: documents that hold the shingle, then its hash. Shingles of one document lead and need no rows,
+        so a set with s shared shingles has s - o + 1 rows, and they are its rarest.
+        """
+        need = _needed(F.col("n"), self.t)
+        e = whole.select("node", F.explode("set").alias("token"))
+        shared = keep(e.join(e.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "token"), "shared")
+        sizes = whole.select("node", "n")
+        alive = lambda df: df.groupBy("node").agg(F.count(F.lit(1)).alias("s")).join(sizes, "node").where(F.col("s") >= need)
+        some = shared.join(alive(shared).select("node"), "node", "left_semi")
+        still = some.groupBy("token").agg(F.count(F.lit(1)).alias("left")).where("left > 1").select("token")
+        again = keep(some.join(still, "token", "left_semi"), "again")
+        discard(shared)
+        place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
+        odd = F.floor((F.col("n") - F.col("s")) * 1000 / F.col("n")).cast("long")
+        rank = F.shiftleft(odd, 32).bitwiseOR(F.xxhash64("node").bitwiseAND((1 << 32) - 1)).alias("rank")
+        rows = again.withColumn("place", place).join(alive(again), "node").where(F.col("place") <= F.col("s") - need + 1)
+        out = keep(rows.select("node", "n", F.col("s").cast("int").alias("s"), rank, "token"), "buckets")
+        discard(again)
+        return out
+
     def components(self, whole: DataFrame) -> DataFrame:
         """(node, comp) for all classes of whole."""
-        buckets = whole.select("node", "n", F.explode(_prefix(F.col("set"), F.col("n"), self.t)).alias("token"))
+        buckets = self.buckets(whole)
         labels = whole.select("node", F.col("node").alias("comp"))
+        possible = lambda s, n, m: s * (100 + self.t) >= (n + m) * self.t  # noqa: E731  no more than the shared ones can be common
         hubs, tested, round_ = 1, None, 0
         while True:
             at = buckets.join(labels, "node")
-            open_ = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            now = at.join(open_, "token", "left_semi")
+            open_ = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("lo_n")).where("lo <> hi").select("token", "lo_n")
+            now = at.join(open_, "token").where(possible(F.col("s"), F.col("n"), F.col("lo_n"))).drop("lo_n")
             if round_:
                 now = keep(now, "buckets")
                 if not now.limit(1).count():
                     return labels
             deal = F.pmod(F.xxhash64("node"), F.lit(hubs))
-            hub = now.withColumn("deal", deal).groupBy("token", "deal").agg(F.min(F.struct("node", "n", "comp")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
-            fit = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.t)
+            h = now.withColumn("deal", deal).groupBy("token", "deal").agg(*[F.min_by(c, "rank").alias(f"hub{c}") for c in ("node", "n", "s", "comp")])
+            hub = keep(h.select("token", F.col("hubnode").alias("hub"), F.col("hubn").alias("hub_n"), F.col("hubs").alias("hub_s"), F.col("hubcomp").alias("hub_comp")), "hubs")
+            fit = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.t) & possible(F.least("s", "hub_s"), F.col("n"), F.col("hub_n"))
             pairs = now.join(hub, "token").where(fit).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -156,8 +187,8 @@ class Join:
                 new = connected(moved.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
                 new = new.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
                 labels = keep(labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
-            rest = now.select("token", "node", "n").join(hub.select("token", F.col("hub").alias("node")), ["token", "node"], "left_anti")
-            buckets, hubs, round_ = keep(rest, "rest") if round_ else rest, hubs * 4, round_ + 1
+            rest = now.select("token", "node", "n", "s", "rank").join(hub.select("token", F.col("hub").alias("node")), ["token", "node"], "left_anti")
+            buckets, hubs, round_ = keep(rest, "rest") if round_ else rest, hubs * 8, round_ + 1
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
