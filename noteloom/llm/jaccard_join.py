@@ -81,17 +81,17 @@ class Join:
         self.spark = docs.sparkSession
 
     def sets(self, docs: DataFrame) -> DataFrame:
-        s = docs.select("doc_id", shingles(F.col("text"), self.words).alias("set"))
-        return s.select("doc_id", "set", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"))
+        s = docs.select("doc_id", F.xxhash64("text").alias("h"), shingles(F.col("text"), self.words).alias("set"))
+        return s.select("doc_id", "h", "set", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"))
 
     def classes(self) -> DataFrame:
-        """One row per document: rid, doc_id, n, and node, the least rid with an equal set (null for an empty set)."""
+        """One row per document: rid, doc_id, h (a hash of its text), n, and node, the least rid with an equal set (null for an empty set)."""
         longer = F.greatest(F.lit(1), F.floor(F.col("n") * MORE / 100).cast("int"))
-        self.rows = keep(self.sets(self.docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "k1", "k2", _prefix(F.col("set"), F.col("n"), self.t, longer).alias("prefix")), "sets")
-        filled = self.rows.where("n > 0").select("rid", "doc_id", "n", "k1", "k2")
+        self.rows = keep(self.sets(self.docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "h", "n", "k1", "k2", _prefix(F.col("set"), F.col("n"), self.t, longer).alias("prefix")), "sets")
+        filled = self.rows.where("n > 0").select("rid", "doc_id", "h", "n", "k1", "k2")
         least = filled.groupBy("n", "k1", "k2").agg(F.min("rid").alias("node"))
-        members = filled.join(least, ["n", "k1", "k2"]).select("rid", "doc_id", "n", "k1", "k2", "node")
-        empty = self.rows.where("n = 0").select("rid", "doc_id", "n", "k1", "k2", F.lit(None).cast("long").alias("node"))
+        members = filled.join(least, ["n", "k1", "k2"]).select("rid", "doc_id", "h", "n", "k1", "k2", "node")
+        empty = self.rows.where("n = 0").select("rid", "doc_id", "h", "n", "k1", "k2", F.lit(None).cast("long").alias("node"))
         return keep(members.union(empty), "members")
 
     def survivors(self, members: DataFrame) -> DataFrame:
@@ -191,21 +191,35 @@ class Join:
             buckets, hubs, round_ = keep(rest, "rest") if round_ else rest, hubs * 8, round_ + 1
 
 
-def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, h, n, comp (null for an empty set) for every row."""
     join = Join(docs, words, percent)
     members = join.classes()
     whole = join.whole_sets(join.survivors(members))
     labels = join.components(whole)
-    at = members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    return members.join(labels, "node", "left").select("doc_id", "h", "n", F.coalesce("comp", "node").alias("comp"))
+
+
+def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of docs (doc_id, text)."""
+    at = _labelled(docs, words, percent)
     least = at.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return at.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: its least doc_id (all rows of it if doc_id repeats with other texts; one of equal rows)."""
-    gone = similar_components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.dropDuplicates().join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs with its columns and one document of each component: the one of least doc_id (null first), then of least text hash.
+
+    Documents with an empty set all stay. Rows equal in doc_id and text are one document, of which one row stays.
+    """
+    at = _labelled(docs, words, percent)
+    best = at.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+    gone = at.join(best, "comp").where(~F.struct("doc_id", "h").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
+    own = F.xxhash64(F.col("text").cast("string"))
+    left = docs.withColumn("__own", own).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left_anti")
+    if at.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id", "__own"])
+    return left.drop("__own")
 
 
 #: The same rows in DuckDB, by counting common shingles of all pairs.

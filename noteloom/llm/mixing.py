@@ -43,9 +43,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", cells: int = 3) -> DataFrame:
-    """docs' doc_id, source and size with source_size, target and copies. cells: hexadecimal digits of the digest prefix."""
+    """docs' doc_id, source, h (a hash of the text) and size with source_size, target and copies. cells: hexadecimal digits of the digest prefix."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), n_words(F.col("text")).alias("size"))
     sized = keep(narrow, "sizes")
     targets = source_targets(sized, weights, most)
     # size classes: the leading three bits of the size
@@ -58,14 +58,14 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     offsets = offsets.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
     t = targets.withColumnRenamed("source", "t_source")
     offsets = offsets.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("digest", "doc_id")))
+    ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("digest", "doc_id", "h")))
     o = offsets.select(F.col("source").alias("o_source"), F.col("class").alias("o_class"), F.col("prefix").alias("o_prefix"), "before", "source_size", "target")
     both = ranked.join(o, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("class") == F.col("o_class")) & (F.col("prefix") == F.col("o_prefix")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("\x00"))).cast("binary")), 1, 5), 16, 10).cast("double") / (1 << 20)
     place = F.col("before") + F.col("nth")
     copies = F.floor(place * rate + start) - F.floor((place - 1) * rate + start)
-    return both.select("doc_id", "source", "size", "source_size", "target", F.greatest(F.lit(0), F.least(copies, F.lit(most))).cast("long").alias("copies"))
+    return both.select("doc_id", "source", "h", "size", "source_size", "target", F.greatest(F.lit(0), F.least(copies, F.lit(most))).cast("long").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
@@ -74,6 +74,22 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+    """docs with its columns, each row as often as the mix takes it (not at all, once, or repeated).
+
+    Rows equal in doc_id, source and text are taken as one row with the sum of their copies.
+    """
+    key = ["doc_id", "source", "h"]
+    copies = keep(with_copies(docs, weights, most, seed).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
+    c = copies.where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("h").alias("__h"), F.col("copies").cast("int").alias("__copies"))
+    own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    if copies.where("rows > 1").limit(1).count():
+        own = own.dropDuplicates(["doc_id", "source", "__own"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__own") == F.col("__h"))
+    out = own.join(c, same).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns])
+
+
 #: The same rows in DuckDB.
 ORACLE = r"""
 WITH sized AS (
