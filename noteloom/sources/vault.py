@@ -40,14 +40,28 @@ def folders(spark: SparkSession, root: str) -> DataFrame:
 def notes(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content, mtime of all notes below root; contents are read by the executors."""
     base = root.rstrip("/")
-    names = [r for r, is_dir, _ in _listed(spark, root) if not is_dir and r.lower().endswith(".md")]
-    if not names:
-        return spark.createDataFrame([], "path string, content string, mtime long")
-    # explicit paths, since a folder scan would skip names that start with an underscore
-    df = spark.read.format("binaryFile").load([f"{base}/{n}" for n in names])
-    decoded = F.regexp_replace(df["path"], r"^[a-z0-9]+:/+", "/")
-    plain = F.regexp_replace(F.lit(base), r"^[a-z0-9]+:/+", "/")
-    return df.select(F.substring(decoded, F.length(plain) + 2, F.length(decoded)).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
+    names = [(r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md")]
+    hidden = [(r, m) for r, m in names if any(p.startswith("_") for p in r.split("/"))]  # Spark's readers pass over these few
+    schema = "path string, content string, mtime long"
+    own = spark.createDataFrame([(r, _read(spark, f"{base}/{r}"), m) for r, m in hidden], schema)
+    shown = [f"{base}/{r}" for r, m in names if (r, m) not in hidden]
+    if not shown:
+        return own
+    df = spark.read.format("binaryFile").load(shown)
+    below = F.regexp_replace(F.lit(base), r"^[a-z0-9]+:/+", "/")
+    path = F.regexp_replace(df["path"], r"^[a-z0-9]+:/+", "/")
+    read = df.select(F.substring(path, F.length(below) + 2, F.length(path)).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
+    return read.unionByName(own)
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def note_stream(spark: SparkSession, root: str) -> DataFrame:
