@@ -9,8 +9,8 @@ size classes and a digest of their id; their expected copies are summed up, one
 integer crossed emits one copy. Neighbours in that order are alike in size, so words taken come near the target.
 
 The running sum never puts a source into one task: ranks are taken inside (source, size class, digest prefix) cells
-and added to the cell's offset, a running sum over cells, of which there are at most a few hundred thousand per
-source however many documents there are. Offsets come from a digest of seed and source: reruns agree.
+and added to the cell's offset: a running sum over the cells of the class (of which there are at most 4096 however
+many documents there are) and one over the classes of the source. Offsets come from a digest of seed and source: reruns agree.
 
 Null text has size 0; null source is a source of its own, last in order; equal rows (also equal or null doc_ids) are
 separate documents in the order of their ids; an empty table gives no rows. Sources with no words have target 0.
@@ -54,8 +54,11 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     cell = ["source", "class", "prefix"]
     placed = sized.withColumn("class", F.col("size") - F.col("size") % step).withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, cells))
     offsets = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("source").orderBy("class", "prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_class = offsets.groupBy("source", "class").agg(F.sum("n").alias("n"))  # a few dozen rows per source
+    by_class = by_class.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), before(["source"], "class").alias("classes_before"))
+    offsets = offsets.withColumn("in_class", before(["source", "class"], "prefix"))
+    offsets = offsets.join(by_class, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))).withColumn("before", F.col("in_class") + F.col("classes_before"))
     t = targets.withColumnRenamed("source", "t_source")
     offsets = offsets.join(t, F.col("source").eqNullSafe(F.col("t_source")))
     ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("digest", "doc_id", "h")))
