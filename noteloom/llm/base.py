@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a small table's file.
+ROWS_PER_FILE = 100_000
 _kept: list[tuple[SparkSession, str]] = []
 
 
@@ -33,9 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it cuts the lineage and survives the loss of any executor."""
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: it cuts the lineage and survives the loss of any executor.
+
+    rows: about how many rows it has or comes from, if known; few rows then go into few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     path = f"{shared_dir(spark)}/noteloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _kept.append((spark, path))
@@ -72,8 +79,16 @@ def let(value: Column, body) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, _ASCII, _ASCII.lower())
+    """A-Z to a-z and nothing else; lower() is the faster way for a text of ASCII alone."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _ASCII, _ASCII.lower()))
+
+
+def split_words(text: Column) -> Column:
+    """The words of the text with A-Z lowered, in order: WORD's matches, by a split at single spaces."""
+    spaced = lower_ascii(text)
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def n_words(text: Column) -> Column:

@@ -12,7 +12,7 @@ order of all shingles their prefixes of n - o + 1 share one. Under several unrel
 3. Candidates. The first order is by frequency among what is left, then hash: prefixes hold the rarest shared shingles.
    Documents that share one form a bucket. Not all pairs of a bucket are
    made: a hub (the document with the fewest shingles of its own, which is the likeliest origin) meets the others, the found links are contracted to components, and only buckets that still hold two
-   components go on, with eight times as many hubs each round, until none is left. Every pair of a bucket has then
+   components go on, with sixteen times as many hubs each round, until none is left. Every pair of a bucket has then
    been tested, or its documents are connected, so components are exact. No cap applies.
 4. A candidate pair must also share prefix shingles under the second (descending hashes) and third order (hashes with
    halves swapped) before the exact intersection of the whole sets decides.
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, discard, keep, let, lower_ascii
+from .base import discard, keep, let, split_words
 
 
 def shingles(text: Column, words: int = 5) -> Column:
@@ -39,7 +39,7 @@ def shingles(text: Column, words: int = 5) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + d) for d in range(words)]))
         return F.when(F.size(w) >= words, each).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
 
-    return F.sort_array(F.array_distinct(let(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), hashed)))
+    return F.sort_array(F.array_distinct(let(split_words(F.coalesce(text, F.lit(""))), hashed)))
 
 
 def _needed(n: Column, t: int) -> Column:
@@ -51,15 +51,15 @@ def _prefix(sets: Column, n: Column, t: int, more: Column | int = 1) -> Column:
     return F.slice(sets, F.lit(1), (n - _needed(n, t) + more).cast("int"))
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of edges (a, b): comp is the least node of each component."""
-    both = keep(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+def connected(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, comp) for the nodes of edges (a, b), about `rows`: comp is the least node of each component."""
+    both = keep(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", rows)
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels", rows)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("far"))
-        new = keep(step.join(jump, "to").select("node", F.least("to", "far").alias("comp"), (F.least("to", "far") != F.col("comp")).alias("moved")), "labels")
+        new = keep(step.join(jump, "to").select("node", F.least("to", "far").alias("comp"), (F.least("to", "far") != F.col("comp")).alias("moved")), "labels", rows)
         moved = new.where("moved").limit(1).count()
         discard(labels)
         labels = new
@@ -82,7 +82,7 @@ class Join:
 
     def sets(self, docs: DataFrame) -> DataFrame:
         s = docs.select("doc_id", F.xxhash64("text").alias("h"), shingles(F.col("text"), self.words).alias("set"))
-        return s.select("doc_id", "h", "set", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"))
+        return s.select("doc_id", "h", "set", F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"))
 
     def classes(self) -> DataFrame:
         """One row per document: rid, doc_id, h (a hash of its text), n, and node, the least rid with an equal set (null for an empty set)."""
@@ -135,10 +135,11 @@ class Join:
         return both.where(common * (100 + self.t) >= (c("n1") + c("n2")) * self.t).select("a", "b")
 
     def buckets(self, whole: DataFrame) -> DataFrame:
-        """node, n, rank, token: the prefixes under the first order of those that still have enough shared shingles.
+        """node, n, s, rank, token: the prefixes under the first order of those that still have enough shared shingles.
 
         First order: documents that hold the shingle, then its hash. Shingles of one document lead and need no rows,
-        so a set with s shared shingles has s - o + 1 rows, and they are its rarest.
+        so a set with s shared shingles has s - o + 1 rows, and they are its rarest. s: the shared shingles from this one
+        on, which is what a pair can have in common if this is its first common shingle; each pair is met at its first.
         """
         need = _needed(F.col("n"), self.t)
         e = whole.select("node", F.explode("set").alias("token"))
@@ -153,42 +154,46 @@ class Join:
         odd = F.floor((F.col("n") - F.col("s")) * 1000 / F.col("n")).cast("long")
         rank = F.shiftleft(odd, 32).bitwiseOR(F.xxhash64("node").bitwiseAND((1 << 32) - 1)).alias("rank")
         rows = again.withColumn("place", place).join(alive(again), "node").where(F.col("place") <= F.col("s") - need + 1)
-        out = keep(rows.select("node", "n", F.col("s").cast("int").alias("s"), rank, "token"), "buckets")
+        out = keep(rows.select("node", "n", (F.col("s") - F.col("place") + 1).cast("int").alias("s"), rank, "token"), "buckets")
         discard(again)
         return out
 
     def components(self, whole: DataFrame) -> DataFrame:
         """(node, comp) for all classes of whole."""
         buckets = self.buckets(whole)
+        size = whole.count()
         labels = whole.select("node", F.col("node").alias("comp"))
-        possible = lambda s, n, m: s * (100 + self.t) >= (n + m) * self.t  # noqa: E731  no more than the shared ones can be common
-        hubs, tested, round_ = 1, None, 0
+        possible = lambda s, n, m: s * (100 + self.t) >= (n + m) * self.t  # noqa: E731  no more than those from here on can be common
+        hubs, tested, round_, left = 1, None, 0, None
         while True:
             at = buckets.join(labels, "node")
             open_ = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("lo_n")).where("lo <> hi").select("token", "lo_n")
             now = at.join(open_, "token").where(possible(F.col("s"), F.col("n"), F.col("lo_n"))).drop("lo_n")
             if round_:
-                now = keep(now, "buckets")
-                if not now.limit(1).count():
+                now = keep(now, "buckets", left)
+                left = now.count()
+                if not left:
                     return labels
             deal = F.pmod(F.xxhash64("node"), F.lit(hubs))
-            h = now.withColumn("deal", deal).groupBy("token", "deal").agg(*[F.min_by(c, "rank").alias(f"hub{c}") for c in ("node", "n", "s", "comp")])
-            hub = keep(h.select("token", F.col("hubnode").alias("hub"), F.col("hubn").alias("hub_n"), F.col("hubs").alias("hub_s"), F.col("hubcomp").alias("hub_comp")), "hubs")
+            least = now.groupBy("token", deal.alias("deal")).agg(F.min("rank").alias("rank")).select("token", "rank")
+            hub = now.join(least, ["token", "rank"]).select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("comp").alias("hub_comp"))
             fit = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.t) & possible(F.least("s", "hub_s"), F.col("n"), F.col("hub_n"))
             pairs = now.join(hub, "token").where(fit).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = keep(pairs, "pairs")
-            links = keep(self.verified(pairs, whole), "links")
-            tested = pairs if tested is None else keep(tested.union(pairs), "tested")
-            if links.limit(1).count():
+            pairs = keep(pairs, "pairs", left * min(hubs, 16) if round_ else None)
+            links = keep(self.verified(pairs, whole), "links", pairs.count())
+            n_links = links.count()
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if n_links:
                 comp = labels.select(F.col("node").alias("x"), "comp")
                 moved = links.join(comp, F.col("a") == F.col("x")).select(F.col("comp").alias("ca"), "b").join(comp, F.col("b") == F.col("x")).select("ca", F.col("comp").alias("cb"))
-                new = connected(moved.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+                new = connected(moved.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), n_links)
                 new = new.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-                labels = keep(labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
+                labels = keep(labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components", size)
             rest = now.select("token", "node", "n", "s", "rank").join(hub.select("token", F.col("hub").alias("node")), ["token", "node"], "left_anti")
-            buckets, hubs, round_ = keep(rest, "rest") if round_ else rest, hubs * 8, round_ + 1
+            left = buckets.count() if left is None else left
+            buckets, hubs, round_ = keep(rest, "rest", left), hubs * 16, round_ + 1
 
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
