@@ -59,6 +59,7 @@ def nodes(files: DataFrame, edge_rows: DataFrame) -> DataFrame:
 def local_slice(files: DataFrame, edge_rows: DataFrame, focus: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes (with focus) within depth hops of focus, regardless of direction, and the edges among them."""
     spark = files.sparkSession
+    edge_rows = cut(edge_rows)
     both = edge_rows.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edge_rows.select("target", "source"))
     seen = frontier = spark.createDataFrame([(focus,)], "id string")
     for _ in range(depth):
@@ -145,7 +146,8 @@ def pagerank(node_ids: DataFrame, edge_rows: DataFrame, damping: float = 0.85, i
 
 def components(node_ids: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """id, component (least id): labels move along edges and jump to their label's label until none changes."""
-    both = edge_rows.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edge_rows.select("target", "source")).where("a <> b").distinct()
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = edge_rows.select(F.explode(F.array(pair("source", "target"), pair("target", "source"))).alias("e")).select("e.*").where("a <> b").distinct()
     both, labels = cut(both), cut(node_ids.select("id", F.col("id").alias("component")).distinct())
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
@@ -184,6 +186,7 @@ def communities(node_ids: DataFrame, edge_rows: DataFrame, sweeps: int = 20) ->
 
     The sweep is sequential, but labels never leave a connected component, so each component is a task of its own.
     """
+    edge_rows = cut(edge_rows)
     c = components(node_ids, edge_rows)
     known = c.select(F.col("id").alias("source"), "component")
     link = edge_rows.join(known, "source").join(c.select(F.col("id").alias("target")), "target").select("component", "source", "target")

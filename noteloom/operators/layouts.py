@@ -136,7 +136,7 @@ def blocks_layout(node_ids: DataFrame, edge_rows: DataFrame, **options) -> DataF
 
 def hops(node_ids: DataFrame, edge_rows: DataFrame, centre: str) -> DataFrame:
     """id, ring: hops from centre; nodes out of reach are one ring farther than the last."""
-    both = edge_rows.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edge_rows.select("target", "source")).distinct()
+    both = cut(edge_rows.select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("e")).select("e.*").distinct())
     reached = cut(node_ids.select("id").where(F.col("id") == centre).distinct().withColumn("ring", F.lit(0)))
     depth = 0
     while True:
@@ -150,6 +150,7 @@ def hops(node_ids: DataFrame, edge_rows: DataFrame, centre: str) -> DataFrame:
 
 def radial_layout(node_rows: DataFrame, edge_rows: DataFrame, focus: str | None = None, width: float = W, height: float = H) -> DataFrame:
     """id, ring, x, y: focus (else the node of highest degree) in the centre, the others on a ring per hop, by id from the top."""
+    node_rows = cut(node_rows.select("id", *(["degree"] if focus is None else [])))
     if focus is None:
         first = node_rows.orderBy(F.desc("degree"), "id").limit(1).collect()
         if not first:
