@@ -164,13 +164,13 @@ class Join:
         size = whole.count()
         labels = whole.select("node", F.col("node").alias("comp"))
         possible = lambda s, n, m: s * (100 + self.t) >= (n + m) * self.t  # noqa: E731  no more than those from here on can be common
-        hubs, tested, round_, left = 1, None, 0, None
+        hubs, tested, n_tested, round_, left = 1, None, 0, 0, None
         while True:
             at = buckets.join(labels, "node")
             open_ = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("lo_n")).where("lo <> hi").select("token", "lo_n")
             now = at.join(open_, "token").where(possible(F.col("s"), F.col("n"), F.col("lo_n"))).drop("lo_n")
             if round_:
-                now = keep(now, "buckets", left)
+                now = keep(now, "buckets", max(left, size))
                 left = now.count()
                 if not left:
                     return labels
@@ -181,8 +181,9 @@ class Join:
             pairs = now.join(hub, "token").where(fit).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = keep(pairs, "pairs", left * min(hubs, 16) if round_ else None)
-            links = keep(self.verified(pairs, whole), "links", pairs.count())
+            pairs = keep(pairs, "pairs", left * min(hubs, 16) + n_tested if round_ else None)
+            n_tested += pairs.count()
+            links = keep(self.verified(pairs, whole), "links")  # reads whole sets: as many tasks as they need
             n_links = links.count()
             tested = pairs if tested is None else tested.unionByName(pairs)
             if n_links:
