@@ -8,7 +8,8 @@ subtree. The least density on its path from the body is the threshold for what s
 above it belong to the text too. An article or main element around the subtree is taken whole.
 
 Inside, menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and hidden elements are left out
-by element, role and class or id words. Blocks keep page order, white space in a block is one space, blocks are
+by element, role and class or id words; the words don't count for an element that wraps an article or most of the
+page's text (such as class "with-sidebar"). Blocks keep page order, white space in a block is one space, blocks are
 joined by an empty line; character references are decoded; nothing else is dropped.
 
 Null html counts as empty and gives an empty text; text without tags is one block. Unclosed, misnested and cut-off
@@ -47,7 +48,7 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("attributes", "chars", "children", "density", "links", "link_chars", "parent", "tag", "tags", "total")
+    __slots__ = ("attributes", "chars", "children", "density", "links", "link_chars", "parent", "tag", "tags", "total", "wraps")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.attributes, self.children = tag, parent, attributes, []
@@ -116,7 +117,7 @@ def left_out(node: Node, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             words = {w.lower() for w in WORDS.findall(value)}
-            if words & OUT_WORDS or "header" in words and not in_article:
+            if not node.wraps and (words & OUT_WORDS or "header" in words and not in_article):
                 return True
     return False
 
@@ -132,6 +133,7 @@ def measured(root: Node) -> Node:
         stack += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
         node.chars = node.tags = node.links = node.link_chars = 0
+        node.wraps = any(isinstance(c, Node) and (c.wraps or c.tag in ("article", "main")) for c in node.children)
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c) - c.count(" ")
@@ -147,6 +149,7 @@ def measured(root: Node) -> Node:
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.links)
         base = math.log(math.log(c / max(1, c - node.link_chars) * node.link_chars + ratio * c + math.e) + 1e-9) if c else 0
         node.density = c / t * math.log(max(1.0, c / lc * t / lt)) / max(base, 1e-2) if c else 0.0
+        node.wraps = node.wraps or 2 * node.chars > body.chars and 2 * node.link_chars < node.chars
         node.total = sum(x.density for x in node.children if isinstance(x, Node))
     return body
 

@@ -173,6 +173,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</scri
         ("<article><h1>Head &amp; more</h1><p>One <b>two</b><br>three&nbsp;four.<p>Five\n six. <div class=comments><p>A reader says</p></div></article>", "Head & more\n\nOne two three four.\n\nFive six."),
         ("<div id=content><p>First paragraph with enough text to count here.</p><p>Second paragraph with more text than links has it.</p><ul><li>item one<li>item two</ul></div>", "First paragraph with enough text to count here.\n\nSecond paragraph with more text than links has it.\n\nitem one\n\nitem two"),
         ("<main><section><p>a a a a a</p><p>b b b b b</p></section><section><p>c c c</p></section></main>", "a a a a a\n\nb b b b b\n\nc c c"),
+        ("<div class='page with-sidebar'><div class=content><p>kept text that is long enough to be most of it all, by far the most of it</p><p>and more of it</p></div><div class=sidebar><p>side note</p></div></div>", "kept text that is long enough to be most of it all, by far the most of it\n\nand more of it"),
         ("<article><p>cut off <i>here", "cut off here"),
     ],
 )
