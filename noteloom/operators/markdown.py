@@ -266,3 +266,36 @@ def register(spark: SparkSession) -> None:
 
     for name, f in (("harvest_triples", HarvestTriples), ("chunk_markdown", ChunkMarkdown), ("map_outline", MapOutline)):
         spark.udtf.register(name, f)
+
+
+def note_spans(content: str) -> list[tuple[int, int, str, str | None, int | None]]:
+    """(start, end, kind, target, level) of headings, code spans, links, emphasis outside code blocks, by start; of overlapping ones the first stays."""
+    kinds = (
+        ("heading", re.compile(r"^ {0,3}(#{1,6})[ \t]+\S.*$")), ("code", re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)")), ("wikilink", re.compile(r"\[\[([^\[\]]+)\]\]")), ("link", re.compile(r"(?<!!)\[([^\[\]]+)\]\(([^\s)]+)\)")),
+        ("url", re.compile(r"<(https?://[^\s>]+)>")), ("strong", re.compile(r"\*\*(?=\S)(.+?)(?<=\S)\*\*")), ("emphasis", re.compile(r"(?<![*\w])([*_])(?=[^\s*_])(.+?)(?<=[^\s*_])\1(?![*\w])")),
+    )
+    out, at, lines = [], 0, content.split("\n")
+    for line, code in zip(lines, code_lines(lines), strict=True):
+        taken = 0
+        found = [] if code else sorted((m.start(), -m.end(), i, m) for i, (_, p) in enumerate(kinds) for m in p.finditer(line))
+        for s, e, i, m in found:
+            kind = kinds[i][0]
+            if kind == "heading":
+                out.append((at + s, at - e, kind, None, len(m[1])))
+            elif s >= taken:
+                target = {"wikilink": lambda m: clean_target(m[1]), "link": lambda m: m[2], "url": lambda m: m[1]}.get(kind, lambda m: None)(m)
+                out.append((at + s, at - e, kind, target, None))
+                taken = -e
+        at += len(line) + 1
+    return out
+
+
+def spans(notes: DataFrame) -> DataFrame:
+    """path, start, end, kind, target, level of notes (path, content)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, *s) for p, c in zip(f.path, f.content, strict=True) for s in note_spans(c or "")]
+            yield pd.DataFrame(rows, columns=["path", "start", "end", "kind", "target", "level"]).astype({"level": "Int64"})
+
+    return notes.select("path", "content").mapInPandas(run, "path string, start long, end long, kind string, target string, level long")

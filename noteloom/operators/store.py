@@ -64,6 +64,18 @@ def put_vectors(vectors: DataFrame, rows: DataFrame, dims: int) -> DataFrame:
     return vectors.join(rows.select("file", "ord").distinct(), ["file", "ord"], "left_anti").select(*vectors.columns).unionByName(checked.select(*vectors.columns))
 
 
+def set_dims(vectors: DataFrame, known: int | None, dims: int) -> DataFrame:
+    """vectors as they are if their length stays; none, so that all chunks wait for new ones, if it changes."""
+    return vectors if known == dims else vectors.limit(0)
+
+
+def vector_status(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """chunks, embedded and pending: counts, one row."""
+    have = vectors.select("file", "ord", F.lit(1).alias("_have")).dropDuplicates(["file", "ord"])
+    both = chunks.select("file", "ord").join(have, ["file", "ord"], "left")
+    return both.agg(F.count(F.lit(1)).alias("chunks"), F.count("_have").alias("embedded"), (F.count(F.lit(1)) - F.count("_have")).alias("pending"))
+
+
 def repath(table: DataFrame, old: str, new: str, key: str = "path") -> DataFrame:
     """Renames a file or a folder with all below it."""
     inside = (F.col(key) == old) | F.col(key).startswith(old + "/")

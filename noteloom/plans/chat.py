@@ -52,3 +52,17 @@ def payload_text(value: dict) -> str:
         return delta.get("text") or ""
     choices = value.get("choices") or [{}]
     return (choices[0].get("delta") or {}).get("content") or ""
+
+
+def probe(model: ChatModel, seconds: float = 15.0) -> bool:
+    """Whether the model gives a first piece of an answer within the time."""
+    from concurrent.futures import ThreadPoolExecutor
+    from concurrent.futures import TimeoutError as TookTooLong
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(lambda: next(iter(model.stream("ping")), None)).result(seconds) is not None
+    except TookTooLong:
+        return False
+    finally:
+        pool.shutdown(wait=False)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass
 
 
@@ -57,3 +59,12 @@ def parse(text: str) -> Settings:
     except tomllib.TOMLDecodeError:
         values = {}
     return _filled(Settings(), values)
+
+
+def recents(text: str, exists: Callable[[str], bool] = lambda path: True, cap: int = 10) -> list[str]:
+    """The paths of a JSON list, without those that are gone; none if it can't be read."""
+    try:
+        values = json.loads(text)
+    except ValueError:
+        return []
+    return [v for v in values if isinstance(v, str) and exists(v)][:cap] if isinstance(values, list) else []

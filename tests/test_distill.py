@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as tx
 from noteloom.operators import distill
-from noteloom.plans.chat import StubChat, answer, event_payloads, payload_text
+from noteloom.plans.chat import StubChat, answer, event_payloads, payload_text, probe
 from noteloom.plans.distill import distill_documents
 
 
@@ -95,6 +95,7 @@ def test_run(spark):
 def test_model_streams():
     lines = ["event: x", 'data: {"delta": {"text": "a"}}', "data: oops", 'data: {"choices": [{"delta": {"content": "b"}}]}', "data: [DONE]", 'data: {"delta": {"text": "c"}}']
     assert [payload_text(x) for x in event_payloads(iter(lines))] == ["a", "b"]
+    assert probe(StubChat(), 5)
     assert answer(StubChat(), "what\n\nctx") == answer(StubChat(), "what\n\nctx")
 
 

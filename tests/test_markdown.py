@@ -74,3 +74,11 @@ def test_file_tree(spark):
 def test_external_links(spark):
     df = spark.createDataFrame([("a.md", "see [site](https://x.org/a) ![i](https://x.org/i.png) <https://y.org>")], "path string, content string")
     assert {tuple(r)[1:] for r in m.external_links(df).collect()} == {("site", "https://x.org/a"), ("https://y.org", "https://y.org")}
+
+
+def test_spans(spark):
+    text = "# Head\n**b** and *i* `co*d*e` [[A|x]] [l](u)\n```\n**no**\n```\n"
+    got = [(text[a:b], k, t, n) for a, b, k, t, n in m.note_spans(text)]
+    assert got == [("# Head", "heading", None, 1), ("**b**", "strong", None, None), ("*i*", "emphasis", None, None), ("`co*d*e`", "code", None, None), ("[[A|x]]", "wikilink", "A", None), ("[l](u)", "link", "u", None)]
+    df = spark.createDataFrame([("n.md", text), ("o.md", None)], "path string, content string")
+    assert m.spans(df).count() == 6

@@ -142,3 +142,15 @@ def test_settings():
     s = settings.parse('theme = "dark"\n[semantic]\nenabled = true\nmin_score = 7\n[chat]\nprovider = "odd"\nmodel = "m"')
     assert s.theme == "dark" and s.semantic.enabled and s.semantic.min_score == 0.5 and s.chat.provider == "ollama" and s.chat.model == "m"
     assert settings.parse("not toml [") == settings.Settings()
+
+
+def test_recents_list():
+    assert settings.recents('["a", 1, "b", "gone"]', lambda p: p != "gone") == ["a", "b"]
+    assert settings.recents("{") == settings.recents('{"a": 1}') == []
+
+
+def test_vector_status(spark):
+    chunks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "file string, ord int")
+    have = spark.createDataFrame([("a", 0, [1.0])], "file string, ord int, embedding array<double>")
+    assert tuple(store.vector_status(chunks, have).first()) == (3, 1, 2)
+    assert store.set_dims(have, 1, 1).count() == 1 and store.set_dims(have, 1, 2).count() == 0
