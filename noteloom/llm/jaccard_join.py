@@ -44,7 +44,7 @@ def shingles(text: Column, words: int = 5) -> Column:
 
 def _needed(n: Column, t: int) -> Column:
     """ceil(t * n / 100)"""
-    return F.floor((n * t + 99) / 100).cast("int")
+    return F.floor((n.cast("long") * t + 99) / 100).cast("int")
 
 
 def _prefix(sets: Column, n: Column, t: int, more: Column | int = 1) -> Column:
@@ -86,7 +86,7 @@ class Join:
 
     def classes(self) -> DataFrame:
         """One row per document: rid, doc_id, h (a hash of its text), n, and node, the least rid with an equal set (null for an empty set)."""
-        longer = F.greatest(F.lit(1), F.floor(F.col("n") * MORE / 100).cast("int"))
+        longer = F.greatest(F.lit(1), F.floor(F.col("n").cast("long") * MORE / 100).cast("int"))
         self.rows = keep(self.sets(self.docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "h", "n", "k1", "k2", _prefix(F.col("set"), F.col("n"), self.t, longer).alias("prefix")), "sets")
         filled = self.rows.where("n > 0").select("rid", "doc_id", "h", "n", "k1", "k2")
         least = filled.groupBy("n", "k1", "k2").agg(F.min("rid").alias("node"))
@@ -100,7 +100,7 @@ class Join:
         shared = e.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
         counts = e.join(shared, "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
         heads = members.where("rid = node").select("node", "doc_id", "n", "k1", "k2")
-        enough = F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.t * MORE / 10000))
+        enough = F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n").cast("long") * self.t * MORE / 10000))
         out = keep(heads.join(counts.withColumnRenamed("rid", "node"), "node").where(enough).drop("c"), "survivors")
         discard(self.rows)
         return out
@@ -128,11 +128,11 @@ class Join:
         top = lambda s, n: F.slice(s, _needed(n, self.t).cast("int"), n - _needed(n, self.t) + 1)
         c = F.col
         both = pairs.join(x, "a").join(y, "b")
-        long_enough = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * self.t)
+        long_enough = F.least("n1", "n2").cast("long") * 100 >= F.greatest("n1", "n2").cast("long") * self.t
         second = F.arrays_overlap(top(c("s1"), c("n1")), top(c("s2"), c("n2")))
         third = F.arrays_overlap("w1", "w2")
         common = F.when(long_enough & second & third, F.size(F.array_intersect("s1", "s2"))).otherwise(0)
-        return both.where(common * (100 + self.t) >= (c("n1") + c("n2")) * self.t).select("a", "b")
+        return both.where(common.cast("long") * (100 + self.t) >= (c("n1") + c("n2")).cast("long") * self.t).select("a", "b")
 
     def buckets(self, whole: DataFrame) -> DataFrame:
         """node, n, s, rank, token: the prefixes under the first order of those that still have enough shared shingles.
@@ -163,7 +163,7 @@ class Join:
         buckets = self.buckets(whole)
         size = whole.count()
         labels = whole.select("node", F.col("node").alias("comp"))
-        possible = lambda s, n, m: s * (100 + self.t) >= (n + m) * self.t  # noqa: E731  no more than those from here on can be common
+        possible = lambda s, n, m: s.cast("long") * (100 + self.t) >= (n + m).cast("long") * self.t  # noqa: E731  no more than those from here on can be common
         hubs, tested, n_tested, round_, left = 1, None, 0, 0, None
         while True:
             at = buckets.join(labels, "node")
@@ -177,7 +177,7 @@ class Join:
             deal = F.pmod(F.xxhash64("node"), F.lit(hubs))
             least = now.groupBy("token", deal.alias("deal")).agg(F.min("rank").alias("rank")).select("token", "rank")
             hub = now.join(least, ["token", "rank"]).select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("comp").alias("hub_comp"))
-            fit = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.t) & possible(F.least("s", "hub_s"), F.col("n"), F.col("hub_n"))
+            fit = (F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n").cast("long") * 100 >= F.greatest("n", "hub_n").cast("long") * self.t) & possible(F.least("s", "hub_s"), F.col("n"), F.col("hub_n"))
             pairs = now.join(hub, "token").where(fit).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
