@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and high-recall candidates that boosted trees accept or refuse.
 
 Generators propose spans that may overlap others: mail-like strings (also with "(at)", "(dot)" or spaces) and
-number-like strings (digits with separators, parentheses, a plus). Features describe a candidate's format (length,
-digits, groups, separators, Luhn sum, octets) and its context (words before it, neighbouring characters). A forest of
-small trees, fitted by gradient boosting of the logistic loss, scores them; Platt scaling turns scores into
-probabilities and a threshold for each generator is set where held-out precision reaches `precision`. Accepted spans
-that overlap no span of the fixed patterns are added as kinds "mail" and "number".
+number-like strings (digits with separators, parentheses, a plus): whole runs, what spans of the fixed patterns leave
+of a run, and the card- and phone-shaped pieces that start anywhere in it, so that numbers side by side are candidates
+of their own. Features describe a candidate's format (length, digits, groups, separators, Luhn sum, octets) and its
+context (words before it, neighbouring characters and numbers). A forest of small trees, fitted by gradient boosting of
+the logistic loss, scores them; Platt scaling turns scores into probabilities and a threshold for each generator is set
+where held-out precision reaches `precision`. Accepted spans that overlap no span of the fixed patterns are added as
+kinds "mail" and "number"; of number candidates that overlap, the most probable one stays.
 
 The trees are fitted here, on `examples` labelled candidates written by a seeded generator of formats and contexts (the
 bound of the sample); no row of the corpus is used, so every size of corpus meets the same model. Features of the
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import matches
+from .base import let, matches
 from .secrets_scan import SPANS, as_text, masked
 
 KINDS = ("email", "ip", "card", "phone", "mail", "number")
@@ -35,7 +37,14 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 MAIL_LIKE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)*+"
 NUMBER_LIKE = r"\+?\(?[0-9][0-9().\x20/:-]*[0-9]"
-FEATURES = ("chars", "digits", "letters", "dots", "dashes", "spaces", "slashes", "colons", "brackets", "plus", "at", "dotword", "groups", "longest", "shortest", "luhn", "octets", "hint", "against", "glued")
+# Pieces of runs, one at every start: the character consumed is the first, the piece is group 1, so pieces may overlap.
+_SHAPED = r"(?<![0-9(+])(?=(%s)(?![0-9]))[0-9(+]"
+SHAPES = (
+    _SHAPED % r"[0-9]{12,19}|[0-9]{4}([\x20-])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}",
+    _SHAPED % r"(?:\+?[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}",
+    _SHAPED % r"\+?[0-9]{1,4}\x20[0-9]{2,4}\x20[0-9]{3,4}\x20[0-9]{3,4}",
+)
+FEATURES = ("chars", "digits", "letters", "dots", "dashes", "spaces", "slashes", "colons", "brackets", "plus", "at", "dotword", "groups", "longest", "shortest", "luhn", "octets", "hint", "against", "glued", "beside")
 HINTS = r"(?i)(phone|tel|call|mobile|fax|mail|contact|card|visa|account|iban|ssn|social security|reach|write)[^.!?]{0,16}$"
 AGAINST = r"(?i)(version|v\.|order|invoice|date|page|isbn|no\.|nr|#|on|since|in|from|at|between|total|price|sum|born|ticket|build)[^.!?A-Za-z]{0,6}$"
 _none = lambda: F.array().cast(SPANS)
@@ -80,7 +89,7 @@ def base_spans(text: Column) -> Column:
 
 
 def features(hit: Column, before: Column, after: Column) -> Column:
-    """struct of doubles, named as in FEATURES, of a candidate, the characters before it and the one after it."""
+    """struct of doubles, named as in FEATURES, of a candidate, the characters before it and the few after it."""
     left = lambda p: F.length(hit) - F.length(F.regexp_replace(hit, p, ""))
     groups = F.filter(F.split(hit, "[^0-9]+"), lambda g: g != "")
     sizes = F.transform(groups, lambda g: F.length(g))
@@ -91,6 +100,7 @@ def features(hit: Column, before: Column, after: Column) -> Column:
         flag(hit.contains("@")), flag(hit.rlike(r"\.[A-Za-z]|dot")), F.size(groups), F.coalesce(F.array_max(sizes), F.lit(0)), F.coalesce(F.array_min(sizes), F.lit(0)),
         flag(F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)), flag(octets(hit)), flag(before.rlike(HINTS)), flag(before.rlike(AGAINST)),
         flag(before.rlike(r"[A-Za-z0-9_]$")) + flag(after.rlike(r"^[A-Za-z0-9_%]")),
+        flag(before.rlike(r"[0-9][().\x20/:-]{1,3}$")) + flag(after.rlike(r"^[().\x20/:-]{1,3}[0-9]")),
     )
     return F.struct(*[v.cast("double").alias(n) for v, n in zip(values, FEATURES, strict=True)])
 
@@ -117,7 +127,7 @@ def examples(n: int, seed: int) -> list[tuple[str, str, str, int, int]]:
     bad = ["version ", "order ", "invoice no. ", "page ", "in ", "on ", "from ", "since ", "total ", "build ", "ticket #"]
     yes = [
         lambda: (f"({d(3)}) {d(3)}-{d(4)}", 1, 0.6), lambda: (f"{d(3)}-{d(3)}-{d(4)}", 1, 0.9), lambda: (f"+{r.randint(1, 99)} {d(2)} {d(4)} {d(4)}", 1, 0.4), lambda: (f"{d(3)}.{d(3)}.{d(4)}", 1, 1.0),
-        lambda: (f"0{d(3)} {d(3)} {d(4)}", 1, 1.0), lambda: (card(True), 1, 0.5), lambda: (f"{d(3)}-{d(2)}-{d(4)}", 1, 1.0), lambda: (f"{word()} (at) {host()}", 0, 0.4), lambda: (f"{word()}[at]{host()}", 0, 0.4), lambda: (f"{word()}.{word()}@{word()}.com", 0, 0.4),
+        lambda: (f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", 1, 0.4), lambda: (f"0{d(3)} {d(3)} {d(4)}", 1, 1.0), lambda: (card(True), 1, 0.5), lambda: (f"{d(3)}-{d(2)}-{d(4)}", 1, 1.0), lambda: (f"{word()} (at) {host()}", 0, 0.4), lambda: (f"{word()}[at]{host()}", 0, 0.4), lambda: (f"{word()}.{word()}@{word()}.com", 0, 0.4),
     ]
     no = [
         lambda: (f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)} {r.randint(10, 23)}:{r.randint(10, 59)}", 1), lambda: (f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{d(2)}", 1), lambda: (f"{r.randint(1, 9)}.{d(2)}.{d(3)}.{d(4)}", 1), lambda: (f"{r.randint(1, 999)}.{d(3)}.{d(3)}", 1),
@@ -129,11 +139,21 @@ def examples(n: int, seed: int) -> list[tuple[str, str, str, int, int]]:
         if i % 2:
             text, kind, hinted = r.choice(yes)()
             before = r.choice(good) if r.random() < hinted else f"{word()} {word()} "
-            out.append((before, text, r.choice([" ", ".", ",", ""]), kind, 1))
+            after = r.choice([" ", ".", ",", ""])
+            if kind and r.random() < 0.2:  # another number of a person stands beside it
+                other = r.choice([card(True), f"({d(3)}) {d(3)}-{d(4)}", f"10.{d(2)}.{d(2)}.{d(3)}"])
+                before, after = r.choice([(f"{before}{other} ", after), (before, f" {other}")])
+            out.append((before[-24:], text, after[:4], kind, 1))
         else:
             text, kind = r.choice(no)()
             before = r.choice(bad) if r.random() < 0.5 else f"{word()} {word()} " if r.random() < 0.9 else word()
-            out.append((before, text, r.choice([" ", ".", ",", "", "x", "%"]), kind, 0))
+            after = r.choice([" ", ".", ",", "", "x", "%"])
+            if kind and r.random() < 0.2:  # a piece of a longer list of digits
+                text = r.choice([text, card(False), f"{d(3)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"])
+                before, after = r.choice([(f"{before}{d(r.randint(1, 6))}{r.choice(' -.')}", after), (before, f"{r.choice(' -.')}{d(4)}")])
+            elif kind and r.random() < 0.1:  # a hint, but the sum of no card
+                before, text = r.choice(good), card(False)
+            out.append((before[-24:], text, after[:4], kind, 0))
     return out
 
 
@@ -211,21 +231,46 @@ def score(f: Column, model: tuple) -> Column:
 
 
 def scored_spans(text: Column, base: Column, model: tuple) -> Column:
-    """Accepted candidates that overlap no base span; of two overlapping accepted ones both stay."""
+    """Accepted candidates that overlap no base span; of accepted numbers that overlap, the most probable stays, then the longest."""
     guards = (text.contains("@") | text.contains("(at)") | text.contains("[at]"), text.rlike(r"[0-9][^\n]{5,}[0-9]"))
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    over = lambda a, b: (a["start"] < b["end"]) & (a["end"] > b["start"])
+    free = lambda x: ~F.exists(base, lambda b: over(b, x))
+    span = lambda start, hit: F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
 
     def described(x: Column) -> Column:
         at = x["start"].cast("int")
         before = F.substring(text, F.greatest(at - 23, F.lit(1)), F.least(at, F.lit(24)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), features(x["hit"], before, F.substring(text, at + F.length(x["hit"]) + 1, F.lit(1))).alias("f"))
-
-    def proposed(kind: int, pattern: str, guard: Column, least_digits: int) -> Column:
-        found = F.filter(matches(text, pattern), lambda x: free(x) & (F.length(digits_of(x["hit"])) >= least_digits))
-        accepted = F.filter(F.transform(found, described), lambda x: score(x["f"], model) >= model[2][kind - 4])
-        return F.when(guard, F.transform(accepted, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))).otherwise(_none())
-
-    return F.concat(proposed(4, MAIL_LIKE, guards[0], 0), proposed(5, NUMBER_LIKE, guards[1], 7))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), features(x["hit"], before, F.substring(text, at + F.length(x["hit"]) + 1, F.lit(4))).alias("f"))
+
+    def accepted(kind: int, found: Column) -> Column:
+        rated = F.transform(F.transform(found, described), lambda x: F.struct((-score(x["f"], model)).alias("p"), (x["start"] - x["end"]).alias("size"), x["start"].alias("start"), x["end"].alias("end")))
+        return F.filter(rated, lambda x: -x["p"] >= model[2][kind - 4])
+
+    def rest(x: Column) -> Column:
+        """The parts of a run that base spans leave, each from its first digit, bracket or plus to its last digit."""
+        met = F.filter(base, lambda b: over(b, x))
+        starts = F.concat(F.array(x["start"]), F.transform(met, lambda b, i: F.array_max(F.transform(F.slice(met, F.lit(1), i + 1), lambda c: c["end"]))))
+        ends = F.concat(F.transform(met, lambda b: b["start"]), F.array(x["end"]))
+
+        def part(a: Column, i: Column) -> Column:
+            piece = F.substring(x["hit"], (a - x["start"] + 1).cast("int"), F.greatest(F.get(ends, i) - a, F.lit(0)).cast("int"))
+            return span(a + F.greatest(F.regexp_instr(piece, F.lit(NUMBER_LIKE)) - 1, F.lit(0)), F.regexp_extract(piece, NUMBER_LIKE, 0))
+
+        return F.transform(starts, part)
+
+    def apart(found: Column) -> Column:
+        add = lambda kept, x: F.when(F.exists(kept, lambda y: over(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(F.size(found) < 2, found).otherwise(F.aggregate(F.sort_array(found), F.slice(found, 1, 0), add))
+
+    as_kind = lambda kind, found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    runs = F.flatten(F.transform(matches(text, NUMBER_LIKE), lambda x: F.when(free(x), F.array(span(x["start"], x["hit"]))).otherwise(rest(x))))
+    pieces = [F.filter(F.transform(matches(text, p, 1), lambda x: span(x["start"], x["part"])), free) for p in SHAPES]
+    numbers = F.array_distinct(F.filter(F.concat(runs, *pieces), lambda x: F.length(digits_of(x["hit"])) >= 7))
+    mails = F.transform(F.filter(matches(text, MAIL_LIKE), free), lambda x: span(x["start"], x["hit"]))
+    return F.concat(
+        F.when(guards[0], as_kind(4, accepted(4, mails))).otherwise(_none()),
+        F.when(guards[1], as_kind(5, let(accepted(5, numbers), apart))).otherwise(_none()),
+    )
 
 
 def with_spans(docs: DataFrame, model: tuple) -> DataFrame:

@@ -82,6 +82,15 @@ def test_scored_candidates(docs):
     assert got == [(0, 1), (1, 0), (0, 0), (0, 0), (0, 0), (0, 1)]
 
 
+def test_numbers_side_by_side(docs):
+    """Each number is a span of its own where a run holds several, or a run holds a base span too."""
+    texts = ["ask +1 (826) 555-4081 190.137.223.204 today", "pay 4111111111111111 5500005555555559 now", "pay 4111 1111 1111 1111 5500 0055 5555 5559 now", "call me at 212-555-0187 212-555-0199, please"]
+    want = [["ip", "+1 (826) 555-4081"], ["4111111111111111", "5500005555555559"], ["4111 1111 1111 1111", "5500 0055 5555 5559"], ["212-555-0187", "212-555-0199"]]
+    for r in pii.scan(docs(*texts)).collect():
+        t, spans = texts[r["doc_id"]], [x.split(":") for x in r["spans"].split(",")]
+        assert sorted(t[int(a) : int(b)] if k == "number" else k for k, a, b in spans) == sorted(want[r["doc_id"]])
+
+
 def test_trees_hold_out(spark):
     forest, _, least = pii.fit(spark)
     fresh = pii.examples(1500, 99)
