@@ -4,7 +4,9 @@ A text is cut into tokens (runs without ASCII white space, at most `token_chars`
 tokens form a k-mer, numbered by its occurrence in the text, so that repeats differ. A hash deals the numbered
 k-mers over 2 * tuples bins; each bin selects its minimal one. Two neighbouring bins form a tuple whose members
 keep their text order, and the hash of the ordered tuple is one part of the signature. Moving a passage changes
-the order and so the tuples, which a plain MinHash would not see.
+the order and so the tuples, which a plain MinHash would not see. With `dense`, a bin that is empty borrows the k-mer
+whose hash is nearest, by exclusive or, to a random number of the bin's own; so every tuple is an ordered pair as soon
+as the text has two k-mers. Fingerprints of documents are dense.
 
 Everything is one column expression over a row: no explode, no shuffle, memory in proportion to one text.
 Null text counts as empty. A text without tokens has an empty signature; one with fewer than k tokens is one k-mer.
@@ -12,6 +14,7 @@ Null text counts as empty. A text without tokens has an empty signature; one wit
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,19 @@ from .base import let
 POS = 28  # bits for a k-mer's place
 
 
-def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16) -> Column:
-    """array<long>: for each non-empty tuple its number (above bit 32) and the hash of its ordered members."""
+def borrower(number: int) -> int:
+    """The random number of a bin: 63 bits, of which those of the place are 0."""
+    x = (number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return (x ^ x >> 31) >> 1 >> POS << POS
+
+
+def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16, dense: bool = False) -> Column:
+    """array<long>: for each non-empty tuple its number (above bit 32) and the hash of its ordered members.
+
+    dense: empty bins borrow, so that a text with two k-mers has every tuple, each an ordered pair.
+    """
     bin_bits = (2 * tuples - 1).bit_length()
     if 2 * tuples != 1 << bin_bits or bin_bits > 16:
         raise ValueError("tuples must be a power of two up to 32768")
@@ -51,23 +65,38 @@ def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16)
         bin_of = lambda x: F.shiftright(x, 63 - bin_bits)
         return F.filter(v, lambda x, i: (i == 0) | (bin_of(F.get(v, i - 1)) != bin_of(x)))
 
-    def ordered(m: Column) -> Column:
-        number = lambda x: F.shiftright(x, 64 - bin_bits)
+    def hashed(number: Column, a: Column, b: Column) -> Column:
         key = lambda x: F.shiftright(x, POS)
         where = lambda x: x.bitwiseAND(place)
+        h = F.when(b.isNull(), F.xxhash64(key(a))).when(where(a) < where(b), F.xxhash64(key(a), key(b))).otherwise(F.xxhash64(key(b), key(a)))
+        return F.shiftleft(number.cast("long"), 32).bitwiseOR(h.bitwiseAND((1 << 32) - 1))
+
+    def ordered(m: Column) -> Column:
+        number = lambda x: F.shiftright(x, 64 - bin_bits)
         pairs = F.transform(m, lambda x, i: F.struct(x.alias("a"), F.when(number(F.get(m, i + 1)) == number(x), F.get(m, i + 1)).alias("b"), ((i == 0) | (number(F.get(m, i - 1)) != number(x))).alias("lead")))
 
-        def hashed(p: Column) -> Column:
-            a, b = p["a"], p["b"]
-            h = F.when(b.isNull(), F.xxhash64(key(a))).when(where(a) < where(b), F.xxhash64(key(a), key(b))).otherwise(F.xxhash64(key(b), key(a)))
-            return F.shiftleft(number(a), 32).bitwiseOR(h.bitwiseAND((1 << 32) - 1))
+        return F.transform(F.filter(pairs, lambda p: p["lead"]), lambda p: hashed(number(p["a"]), p["a"], p["b"]))
+
+    def filled(m: Column, v: Column) -> Column:
+        """All tuples: m holds the minima of the bins that have one, v all values, from which the other bins borrow."""
+
+        def pair(t: Column, bins: Column) -> Column:
+            own = lambda j: F.get(m, (F.array_position(bins, j) - 1).cast("int"))
+            near = lambda j, other: F.array_min(F.transform(v, lambda x: F.when(other.isNull() | (x != other), x.bitwiseXOR(F.get(borrowers, j.cast("int")))))).bitwiseXOR(F.get(borrowers, j.cast("int")))
+            both = lambda a, y: hashed(t, a, F.coalesce(F.when(y != a, y), near(2 * t + 1, a)))
+            return let(own(2 * t + 1), lambda y: let(F.coalesce(own(2 * t), near(2 * t, y), y), lambda a: both(a, y)))
 
-        return F.transform(F.filter(pairs, lambda p: p["lead"]), hashed)
+        return F.when(F.size(m) == 2 * tuples, ordered(m)).when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(
+            let(F.transform(m, lambda x: F.shiftright(x, 63 - bin_bits)), lambda bins: F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)).cast("array<long>"), lambda t: pair(t, bins)))
+        )
 
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % token_chars), F.lit(0))
     packed = let(words, kmers)
     values = let(F.sort_array(packed), numbered)
-    return let(let(F.sort_array(values), minima), ordered)
+    if not dense:
+        return let(let(F.sort_array(values), minima), ordered)
+    borrowers = F.lit(np.array([borrower(j) for j in range(2 * tuples)]))
+    return let(F.sort_array(values), lambda v: let(minima(v), lambda m: filled(m, v)))
 
 
 def as_text(sig: Column) -> Column:
@@ -111,7 +140,7 @@ def fingerprint_documents(docs: DataFrame, k: int = 3, tuples: int = 64, buckets
     cut = cut.withColumn("edited", F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), size - half), F.substring("next", F.lit(1), half))))
     signed = cut.select(
         "doc_id", "bucket", "guest", "was_null", "n_chars", F.monotonically_increasing_id().alias("nth"),
-        F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), k, tuples).alias("sig"), F.when(~F.col("guest"), signature(F.col("edited"), k, tuples)).alias("edited_sig"),
+        F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), k, tuples, dense=True).alias("sig"), F.when(~F.col("guest"), signature(F.col("edited"), k, tuples, dense=True)).alias("edited_sig"),
     )
     v = Window.partitionBy("bucket").orderBy("nth")
     both = signed.withColumn("next_sig", F.lead("sig").over(v)).where(~F.col("guest"))

@@ -75,6 +75,43 @@ def test_order_counts(spark):
     assert sketches(spark, text, " ".join(f"v{i}" for i in range(600))) == 0 and sketches(spark, "", "") == 1
 
 
+def borrowed(text, k=3, tuples=64):
+    """The dense signature, by plain loops: its numbered k-mers are those of brute()."""
+    import xxhash
+
+    w = (text or "").split()
+    grams = [words_hash(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [words_hash(w)] if w else []
+    seen, values = {}, []
+    for place, g in enumerate(grams):
+        key = g >> 28
+        seen[key] = occurrence = seen.get(key, -1) + 1
+        values.append((xxhash.xxh64_intdigest((occurrence & 0xFFFFFFFF).to_bytes(4, "little"), xxhash.xxh64_intdigest((key & M).to_bytes(8, "little"), 42)) & ((1 << 35) - 1)) << 28 | place)
+    out = []
+    for t in range(tuples if values else 0):
+        pair = [min((v for v in values if v >> 56 == j), default=None) for j in (2 * t, 2 * t + 1)]
+        for i in (0, 1):
+            if pair[i] is None:
+                pair[i] = min((v for v in values if v != pair[1 - i]), key=lambda v: v ^ o.borrower(2 * t + i), default=None)
+        members = sorted((v for v in pair if v is not None), key=lambda v: v & ((1 << 28) - 1))
+        out.append(f"{(t << 32) | (xx(*[v >> 28 for v in members]) & 0xFFFFFFFF):010x}")
+    return "".join(out)
+
+
+def test_short_texts_keep_order(spark, docs):
+    """Every tuple of a short text is an ordered pair, so that swapped halves are told apart."""
+    rng = random.Random(3)
+    texts = []
+    for n in (4, 20, 40, 80) * 6:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [words, words[n // 2 :] + words[: n // 2]]
+    got = {r["doc_id"]: r for r in o.fingerprint_documents(docs(*map(" ".join, texts), "", "one", "a b c d")).collect()}
+    for i, words in enumerate([*texts, [], ["one"], list("abcd")]):
+        assert got[i]["fingerprint"] == borrowed(" ".join(words)), words
+    for c in (1, 2, 3):
+        near = [got[i]["near_next"] for i in range(2 * c, len(texts), 8)]
+        assert sum(near) / len(near) < 0.65, (c, near)
+
+
 def edited(texts):
     out = []
     for i, t in enumerate(texts):
