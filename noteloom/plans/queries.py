@@ -427,10 +427,31 @@ def graph_components(spark, d):
     return graph.components(n, e)
 
 
+def star_graph(spark, d):
+    """All nodes and edges of the star tables, customers and segments too."""
+    e = star_edges(spark, d)
+    return graph.nodes(star_files(spark, d), e), e
+
+
+@query()
+def pagerank_star(spark, d):
+    """pagerank over the whole graph; the SQL of pagerank, and so its rows, are those of small_graph()."""
+    return rounded(graph.pagerank(*star_graph(spark, d)), "rank")
+
+
+@query()
+def components_star(spark, d):
+    return graph.components(*star_graph(spark, d))
+
+
+@query()
+def radial_star(spark, d):
+    return layouts.radial_layout(*star_graph(spark, d)).withColumns({c: F.round(c, 4) for c in "xy"})
+
+
 @query()
 def communities(spark, d):
-    n, e = small_graph(spark, d)
-    return graph.communities(n, e)
+    return graph.communities(*star_graph(spark, d))
 
 
 RINGS = f"""{SMALL}, b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e), deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id),
@@ -447,8 +468,7 @@ def radial_layout(spark, d):
 
 @query()
 def groups_layout(spark, d):
-    n, e = small_graph(spark, d)
-    return layouts.groups_layout(graph.communities(n, e))
+    return layouts.groups_layout(graph.communities(*star_graph(spark, d)))
 
 
 def capped_graph(spark, d):

@@ -1,9 +1,13 @@
 import math
+import os
 
 import pytest
 
 from noteloom.operators import graph, layouts
 from noteloom.operators.layouts import block_positions, force_positions, tree_positions
+from noteloom.plans.queries import QUERIES
+
+STAR = "/root/testdata/sf0.001"
 
 FILES = [("A.md", "A"), ("B.md", "B"), ("C.md", "C"), ("projects/Roadmap.md", "Roadmap"), ("X.map.md", "X")]
 TRIPLES = [("A", "links_to", "B", "A.md"), ("A", "links_to", "Ghost", "A.md"), ("B", "links_to", "C", "B.md"), ("A", "links_to", "A", "A.md"), ("X", "links_to", "A", "X.map.md")]
@@ -119,3 +123,32 @@ def test_radial_and_groups(spark):
 def test_folder_groups(spark):
     df = spark.createDataFrame([("a", "x/a.md"), ("b", "b.md"), ("g", None)], "id string, path string")
     assert {r["id"]: r["group"] for r in graph.folder_groups(df).collect()} == {"a": "x", "b": "(root)", "g": None}
+
+
+@pytest.mark.skipif(not os.path.isdir(STAR), reason="the tables are not here")
+def test_star_queries_against_brute_force(spark):
+    """The graph queries see every customer and segment."""
+    edges = {(r["source"], r["target"], r["relation"]) for r in QUERIES["graph_edges"](spark, STAR).collect()}
+    ids = sorted({x for a, b, _ in edges for x in (a, b)})
+    assert {"lives_in", "segment"} <= {r for _, _, r in edges}
+    out = {i: [b for a, b, _ in edges if a == i] for i in ids}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(50):
+        lost = sum(rank[i] for i in ids if not out[i]) / len(ids)
+        new = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * lost)
+        for i in ids:
+            for b in out[i]:
+                new[b] += 0.85 * rank[i] / len(out[i])
+        rank = new
+    assert {r["id"]: r["rank"] for r in QUERIES["pagerank_star"](spark, STAR).collect()} == pytest.approx(rank, abs=2e-6)
+    label = {i: i for i in ids}
+    for _ in ids:
+        for a, b, _ in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["id"]: r["component"] for r in QUERIES["components_star"](spark, STAR).collect()} == label
+    labels = graph.sweep(ids, [(a, b) for a, b, _ in edges])
+    first = sorted({min(i for i in ids if labels[i] == x) for x in set(labels.values())})
+    want = {i: first.index(min(j for j in ids if labels[j] == labels[i])) for i in ids}
+    assert {r["id"]: r["community"] for r in QUERIES["communities"](spark, STAR).collect()} == want
+    for name in ("groups_layout", "radial_star"):
+        assert sorted(r["id"] for r in QUERIES[name](spark, STAR).collect()) == ids
