@@ -4,8 +4,8 @@ The page becomes a DOM tree. For a node with C characters, T tags, LC characters
 body's ratio of link characters r, the composite density is
 C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + r * C + e)), zero counts being one: characters per tag,
 lowered by links. The density sum of a node adds its children's densities; the node with the largest sum is the main
-subtree. The least density on its path from the body is the threshold for what stands beside it: siblings at or
-above it belong to the text too. An article or main element around the subtree is taken whole.
+subtree. The least density on its path from the body is the threshold for what stands beside that path at every level:
+nodes at or above it belong to the text too, and so does bare text. An article or main element around the subtree is taken whole.
 
 Inside, menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and hidden elements are left out
 by element, role and class or id words; the words don't count for an element that wraps an article or most of the
@@ -21,7 +21,9 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +46,7 @@ OUT_WORDS = frozenset(
     "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related recommended "
     "newsletter subscribe subscription signup login search toolbar pagination pager widget skip tags".split()
 )
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol table figure".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -198,9 +201,28 @@ def main_text(page: str | None) -> str:
     if best is body:
         return "\n\n".join(blocks_of([best], False))
     threshold = min(x.density for x in path)
-    plain = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "table", "figure")
-    chosen = [x for x in best.parent.children if x is best or isinstance(x, Node) and x.density >= threshold and x.density > 0 and (x.total >= threshold or x.tag in plain)]
-    return "\n\n".join(blocks_of(chosen, False))
+    chosen: deque = deque([best])
+    for inner, outer in zip(path, path[1:], strict=False):
+        at = next(i for i, x in enumerate(outer.children) if x is inner)
+        edge = [None] if inner.tag in BLOCK else []
+        chosen.extendleft(reversed(beside(outer.children[:at], threshold) + edge))
+        chosen.extend(edge + beside(outer.children[at + 1 :], threshold))
+    return "\n\n".join(blocks_of(list(chosen), False))
+
+
+def beside(nodes: list, threshold: float) -> list:
+    """What belongs to the text of the nodes beside the path: blocks dense enough, and bare text with its inline elements unless links prevail."""
+    out: list = []
+    for inline, group in groupby(nodes, lambda x: isinstance(x, str) or x.tag not in BLOCK):
+        run = list(group)
+        if inline:
+            chars = sum(len(x) - x.count(" ") if isinstance(x, str) else x.chars for x in run)
+            links = sum(x.link_chars for x in run if isinstance(x, Node))
+            if 2 * links <= chars:
+                out += run
+                continue
+        out += [x for x in run if isinstance(x, Node) and x.density >= threshold and x.density > 0 and (x.total >= threshold or x.tag in PLAIN)]
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

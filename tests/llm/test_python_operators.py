@@ -202,3 +202,13 @@ def test_page_articles(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", source[r["page_id"]], re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if x == "br" else "", part)).split()) for part in re.split(r"</?(?:p|h1)>", article) for x in ("br",)]
         assert r["text"].split() == " ".join(w for w in want if w).split()
+
+
+@pytest.mark.parametrize("sizes", [(5, 4), (8, 6, 6), (20, 15, 10)])
+def test_sections_beside_the_densest(sizes):
+    """All sections of a page without article count, and bare text beside them; a bar of links does not."""
+    paragraphs = [[f"s{i}p{j} " + "plain words of a paragraph " * 6 for j in range(n)] for i, n in enumerate(sizes)]
+    sections = "".join("<div><div>" + "".join(f"<p>{p}</p>" for p in ps) + "</div></div>" for ps in paragraphs)
+    links = "".join(f"<a href='/{i}'>link {i}</a> | " for i in range(9))
+    page = f"<html><body><div>{links}</div>Bare <b>lead</b> text.<div>{sections}</div>{links}</body></html>"
+    assert html_main.main_text(page).split("\n\n") == ["Bare lead text.", *(p.strip() for ps in paragraphs for p in ps)]
