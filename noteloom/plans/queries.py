@@ -471,15 +471,14 @@ def groups_layout(spark, d):
     return layouts.groups_layout(graph.communities(*star_graph(spark, d)))
 
 
-def capped_graph(spark, d):
-    """A slice of a bounded size for the layouts that run as one group."""
-    top, inside = graph.global_slice(star_files(spark, d), star_edges(spark, d), 60)
-    return top, inside
+def capped_graph(spark, d, most=5000):
+    """The whole graph where the operators that run as one group take it, else its `most` nodes of highest degree."""
+    return graph.global_slice(star_files(spark, d), star_edges(spark, d), most)
 
 
 @query()
 def mincut(spark, d):
-    return graph.bisected(*capped_graph(spark, d))
+    return graph.bisected(*capped_graph(spark, d, 2000))
 
 
 @query()

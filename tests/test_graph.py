@@ -152,3 +152,9 @@ def test_star_queries_against_brute_force(spark):
     assert {r["id"]: r["community"] for r in QUERIES["communities"](spark, STAR).collect()} == want
     for name in ("groups_layout", "radial_star"):
         assert sorted(r["id"] for r in QUERIES[name](spark, STAR).collect()) == ids
+
+
+@pytest.mark.skipif(not os.path.isdir(STAR), reason="the tables are not here")
+@pytest.mark.parametrize("name", ["mincut", "force_layout", "tree_layout", "blocks_layout"])
+def test_one_group_queries_take_the_whole_graph(spark, name):
+    assert ids(QUERIES[name](spark, STAR)) == ids(QUERIES["graph_nodes"](spark, STAR))
