@@ -30,8 +30,9 @@ from .secrets_scan import SPANS, as_text, masked
 
 KINDS = ("email", "ip", "card", "phone", "mail", "number")
 # Runs are possessive and start at the run's first character (or where the last match ended), which gives the same
-# matches as the plain patterns and keeps long runs linear.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# matches as the plain patterns and keeps long runs linear. Repeated groups are possessive too: a greedy one takes a
+# frame of the JVM's stack for every repeat, so a long dotted run would end the executor.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
