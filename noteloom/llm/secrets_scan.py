@@ -2,9 +2,9 @@
 
 Candidates are runs of key characters of `least` or more with a digit and a letter. A candidate belongs to the
 narrowest character class that holds it (hexadecimal, upper-case alphanumeric, base64), which sets the window and the
-entropy it must reach. The window slides one character at a time: the sum of c * log2(c) over the counts c changes
-only in the counts of the leaving and the entering character, so each step is an update, not a recount. The largest
-window entropy decides. Suppressed by the allow-list: UUIDs, runs of consecutive characters (alphabets), strings
+entropy it must reach. The window slides one character at a time: the counts c of its characters, and the sum of
+c * log2(c), are carried along and change only for the leaving and the entering character. The largest window entropy
+decides. Suppressed by the allow-list: UUIDs, runs of consecutive characters (alphabets), strings
 marked as examples, plain decimal numbers. Candidates that overlap a span of the fixed patterns add nothing.
 
 Spans are in code points, end exclusive. Null text counts as empty: no spans. Repeated rows stay; empty tables give
@@ -35,28 +35,35 @@ SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def window_entropy(s: Column, width: int) -> Column:
-    """The largest Shannon entropy (bits per character) of any `width` consecutive characters; of s itself if shorter."""
+    """The largest Shannon entropy (bits per character) of any `width` consecutive characters; of s itself if shorter.
+
+    The accumulator holds the count of each distinct character of s inside the window (at most as many as the class
+    has characters), and the entropy's sum; a step changes the counts of the leaving and the entering one.
+    """
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    count = lambda w, ch: F.size(F.filter(w, lambda x: x == ch))
 
-    def slide(chars: Column) -> Column:
+    def slide(chars: Column, letters: Column, codes: Column) -> Column:
         w = F.least(F.lit(width), F.size(chars))
-        start = F.slice(chars, F.lit(1), w)
-        total = F.aggregate(F.array_distinct(start), F.lit(0.0), lambda a, ch: a + term(count(start, ch)))
         entropy = lambda t: F.log2(w.cast("double")) - t / w
 
         def step(acc: Column, i: Column) -> Column:
-            window = F.slice(chars, i - w + 1, w)  # before the step
-            out, new = F.get(chars, i - w), F.get(chars, i)
-            gone, come = count(window, out), count(window, new)
+            out, new = F.get(codes, i - w), F.get(codes, i)
+            gone, come = F.get(acc["counts"], out), F.get(acc["counts"], new)
             t = F.when(out == new, acc["t"]).otherwise(acc["t"] - term(gone) + term(gone - 1) - term(come) + term(come + 1))
-            return F.struct(t.alias("t"), F.greatest(acc["best"], entropy(t)).alias("best"))
+            counts = F.transform(acc["counts"], lambda c, j: F.when(out == new, c).when(j == out, c - 1).when(j == new, c + 1).otherwise(c))
+            return F.struct(counts.alias("counts"), t.alias("t"), F.greatest(acc["best"], entropy(t)).alias("best"))
+
+        def run(counts: Column) -> Column:
+            total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + term(c))
+            first = F.struct(counts.alias("counts"), total.alias("t"), entropy(total).alias("best"))
+            steps = F.when(F.size(chars) > w, F.sequence(w, F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(steps, first, step, lambda acc: acc["best"])
 
-        first = F.struct(total.alias("t"), entropy(total).alias("best"))
-        steps = F.when(F.size(chars) > w, F.sequence(w, F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, first, step, lambda acc: acc["best"])
+        start = F.slice(codes, F.lit(1), w)
+        return let(F.transform(letters, lambda _, j: F.size(F.filter(start, lambda x: x == j))), run)
 
-    return let(F.split(s, ""), slide)
+    coded = lambda chars, letters: F.transform(chars, lambda ch: (F.array_position(letters, ch) - 1).cast("int"))
+    return let(F.split(s, ""), lambda chars: let(F.array_distinct(chars), lambda letters: let(coded(chars, letters), lambda codes: slide(chars, letters, codes))))
 
 
 def is_secret(s: Column) -> Column:
