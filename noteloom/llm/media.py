@@ -2,9 +2,11 @@
 
 The payload is the text in UTF-8, filled up with spaces to a positive multiple of `frame` bytes. It is stored as mono
 8-bit samples, which is lossless, and read back from the stored bytes. A short-time Fourier transform (a window of
-one frame, moved by half a frame) gives magnitudes; in each time slot the strongest bins of two frequency bands are
-peaks, and each peak is paired with those of the next two slots. A pair is one integer (both bins and the distance in
-slots) with the slot as its time code. The arrays are whole: every pair of every slot is there.
+one frame, moved by half a frame, with half a frame of silence before and after the samples, so that a single frame has
+three slots; silence is the level of the filling spaces) gives magnitudes. A peak is a bin above its neighbours; in each
+time slot each of two frequency bands keeps its strongest peak, without peaks its strongest bin, and none if it is silent.
+Peaks are paired with those of the next two slots. A pair is one integer (both
+bins and the distance in slots) with the slot as its time code. The arrays are whole: every pair of every slot is there.
 
 Null text counts as empty. Repeated rows stay. Empty tables give none. Memory is in proportion to one text.
 """
@@ -25,6 +27,7 @@ from .base import arrow_limits
 
 FRAME = 192
 RATE = 8000
+SILENCE = 32
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
     "pair_times array<int>, pair_codes array<int>"
@@ -53,22 +56,26 @@ def read_back(media: bytes) -> bytes:
 
 def peak_pairs(samples: bytes, frame: int = FRAME, slots: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Time codes and pair codes. Blocks of `slots` windows bound the memory of the transform."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    x = np.pad(np.frombuffer(samples, np.uint8).astype(np.float32) - SILENCE, frame // 2)  # for the transform alone
     windows = np.lib.stride_tricks.sliding_window_view(x, frame)[:: frame // 2]
-    taper = np.hanning(frame).astype(np.float32)
+    taper = np.hamming(frame).astype(np.float32)
     half = frame // 4
     peaks = np.empty((len(windows), 2), np.int32)
     for i in range(0, len(windows), slots):
-        power = np.abs(np.fft.rfft(windows[i : i + slots] * taper, axis=1))
-        peaks[i : i + slots, 0] = power[:, 1:half].argmax(1) + 1
-        peaks[i : i + slots, 1] = power[:, half:].argmax(1) + half
+        power = np.abs(np.fft.rfft(windows[i : i + slots] * taper, axis=1)).round(1)  # rounded, so that noise makes no peak
+        inner = power[:, 1:-1]  # bin j stands at j - 1
+        tops = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
+        for band, part in enumerate((slice(0, half - 1), slice(half - 1, None))):
+            own = np.where(tops[:, part].any(1, keepdims=True), tops[:, part], inner[:, part])
+            peaks[i : i + slots, band] = np.where(own.any(1), own.argmax(1) + part.start + 1, 0)
     times, codes = [], []
     for d in (1, 2):
         for a in (0, 1):
             for b in (0, 1):
                 here, there = peaks[: len(peaks) - d, a], peaks[d:, b]
-                times.append(np.arange(len(here), dtype=np.int32))
-                codes.append((here << 16) | (there << 4) | d)
+                both = np.flatnonzero((here > 0) & (there > 0))
+                times.append(both.astype(np.int32))
+                codes.append((here[both] << 16) | (there[both] << 4) | d)
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order], c[order]
