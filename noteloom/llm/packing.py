@@ -7,14 +7,16 @@ So every window is exactly full, and a tier's leftovers move down to the next sh
 task end in a padded sequence. Full windows have the length of their tier, a power of two, and need no padding.
 
 Packing is local to an input partition: no shuffle, no global state, a lost task is repeated with the same result.
-Memory is bounded: ids wait as 16-bit arrays until `buffer_tokens` are there, then all full windows leave.
-Step groups: windows of one tier fill groups of equally many tokens, so every optimizer step costs the same.
+Memory is bounded: ids wait as arrays of 16 bits (32 for larger vocabularies) until `buffer_tokens` are there, then all full windows leave.
+Step groups: windows of one tier fill groups of equally many tokens, so every optimizer step costs the same. Groups
+are those of a task; the last one of each tier in a task is shorter, as is the task's one padded sequence.
 
 Null text counts as empty and has only the end id. Repeated rows are packed once for each row. Empty tables give none.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -34,11 +36,32 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: c for c, b in enumerate((b for b in range(256) if b not in _PRINTABLE), 256)}
 
 
+#: What a tokenizer file must say for the cache of words to be valid.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def splits_at_spaces(file: dict) -> bool:
+    """Whether a tokenizer file normalizes and splits as WordCachedTokenizer's cache assumes."""
+    parts = lambda key, of: ((file.get(key) or {}).get("type"), (file.get(key) or {}).get(of))
+    model, added = file.get("model") or {}, [x["content"] for x in file.get("added_tokens") or []]
+    return (
+        parts("normalizer", "normalizers") == ("Sequence", NORMALIZERS) and parts("pre_tokenizer", "pretokenizers") == ("Sequence", SPLITTERS)
+        and model.get("type") == "BPE" and not model.get("dropout") and not file.get("truncation") and not file.get("padding")
+        and not any(x.isalpha() or any(c.isspace() for c in x) for x in added)
+    )
+
+
 class WordCachedTokenizer:
-    """ids of whole texts. The vocabulary's splitter never crosses a space, so parts between spaces are cached.
+    """ids of whole texts, equal to the tokenizer's own.
 
-    It also always splits a run of letters from a run of other signs without an apostrophe, and lowers ASCII letters,
-    so "Word," is put together from the cached ids of "word" and ",".
+    Where the file's splitter never crosses a space (splits_at_spaces), parts between spaces are cached. Such a
+    splitter also always splits a run of letters from a run of other signs without an apostrophe, and lowers ASCII
+    letters, so "Word," is put together from the cached ids of "word" and ",". Any other file encodes whole texts.
+    Ids take 16 bits if the vocabulary allows it, else 32.
     """
 
     SIGNS = ".,;:!?%&*#$"
@@ -51,6 +74,9 @@ class WordCachedTokenizer:
 
         self.tokenizer, self.cached, self.known, self.units = Tokenizer.from_file(path), cached, {}, {"": b""}
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            self.by_words = splits_at_spaces(json.load(f))
+        self.code, self.dtype = ("H", "<u2") if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else ("I", "<u4")
 
     @classmethod
     def of_process(cls, path: str) -> WordCachedTokenizer:
@@ -75,7 +101,7 @@ class WordCachedTokenizer:
             units.clear()
             units[""] = b""
         for x in {u for m in made for u in m[1:] if u not in units}:
-            units[x] = array("H", self.encoded(x)).tobytes()
+            units[x] = array(self.code, self.encoded(x)).tobytes()
         for x, core, tail in made:
             self.known[x] = units[core] + units[tail]
 
@@ -86,6 +112,8 @@ class WordCachedTokenizer:
         return self.tokenizer.encode(x, add_special_tokens=False).ids
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         parts = text.replace("\n", " ").split(" ")
         new = [x for x in set(parts) if x not in self.known]
         if len(self.known) + len(new) > self.cached:
@@ -93,7 +121,7 @@ class WordCachedTokenizer:
             new = list(set(parts))
         if new:
             self.learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u2")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), self.dtype)
 
 
 class Packer:
@@ -170,7 +198,7 @@ def packed_pieces(path: str, end_id: int, tiers: tuple[int, ...], buffer_tokens:
         from pyspark import TaskContext
 
         tokenizer, packer = WordCachedTokenizer.of_process(path), Packer(TaskContext.get().partitionId(), tiers, group_tokens)
-        end = np.array([end_id], "<u2")
+        end = np.array([end_id], tokenizer.dtype if end_id < 1 << 16 else "<u4")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.document(doc_id, np.concatenate([tokenizer.ids(text.as_py() or ""), end]))
