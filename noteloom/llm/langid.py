@@ -1,8 +1,8 @@
 """Language identification by a Bloom filter whose slots hold language bitmasks.
 
-Training: each language's most frequent letter n-grams (all n-grams of a bounded sample of its labelled documents,
-counted on the executors; the bound is `docs_per_language`) are inserted into one table of fixed size: an n-gram sets
-its language's bit in k slots, if it is at least `rival` times as frequent there as in any other language. A lookup ANDs the k slots, which returns all languages that hold the n-gram at once.
+Training: all letter n-grams of a bounded sample of each language's labelled documents (the bound is
+`docs_per_language`) are inserted into one table of fixed size: an n-gram sets its language's bit in k slots. A lookup
+ANDs the k slots, which returns all languages that hold the n-gram at once.
 
 Prediction: all n-grams of the whole text are looked up, a popcount per language gives its hits, and the hits that a
 filter of its fill would give by chance are taken off: (hits - n * p) / (1 - p) with p the fill to the power k. The
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .base import arrow_limits
 
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also holds signs such as a half or a superscript
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,6 +44,10 @@ def grams(text: str, n: int, letters: np.ndarray) -> np.ndarray:
     return code
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def letter_table() -> np.ndarray:
     """Whether a code point of the basic plane is a letter; those above count as letters."""
     t = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
@@ -85,7 +89,7 @@ class Model:
         return np.maximum((hits - len(codes) * chance) / (1 - chance), 0)
 
     def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return "und", 0.0, 0.0
         codes = grams(text, self.n, letters)
         got = self.counts(codes)
@@ -97,50 +101,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, n: int = 3, k: int = 3, slot_bits: int = 17, docs_per_language: int = 2000, grams_per_language: int = 4000, rival: float = 0.5, planes: int = 1) -> Model:
-    """Learn from the documents that are not held out and have a lang: at most docs_per_language of each, by a digest of doc_id."""
+def fit(docs: DataFrame, n: int = 4, k: int = 3, slot_bits: int = 20, docs_per_language: int = 2000, planes: int = 1) -> Model:
+    """Learn from the documents that are not held out and have a lang: at most docs_per_language of each, by a digest of doc_id.
+
+    Each task sets bits in a table of its own, and the tables are joined by bit_or over slots, so what reaches the
+    driver is at most the table, whatever the number of documents or n-grams.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= docs_per_language).select("doc_id", "lang")
+    languages = sorted((r.lang for r in known.select("lang").distinct().limit(64 * planes + 1).collect()), key=lambda x: x.encode())
+    if len(languages) > 64 * planes:
+        raise ValueError(f"more languages than the {64 * planes} that the bitmasks hold")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, sums = letter_table(), {}
+    def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, table = letter_table(), np.zeros((1 << slot_bits, planes), np.uint64)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                c, m = np.unique(grams(text.as_py(), n, letters), return_counts=True)
-                at = sums.setdefault(lang, {})
-                for x, y in zip(c.tolist(), m.tolist(), strict=True):
-                    at[x] = at.get(x, 0) + y
-        for lang, at in sums.items():
-            codes = np.fromiter(at, np.uint64, len(at)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(codes), pa.array(np.fromiter(at.values(), np.int64, len(at)))], ["lang", "gram", "n"])
-
-    counted = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("nth") <= grams_per_language)
-    rows = top.select("lang", "gram", "n").collect()
-    languages = sorted({r.lang for r in rows}, key=lambda x: x.encode())
-    if len(languages) > 64 * planes:
-        raise ValueError(f"{len(languages)} languages; the bitmasks hold {64 * planes}")
+                i = languages.index(lang)
+                for s in slots_of(np.unique(grams(text.as_py(), n, letters)), k, slot_bits):
+                    table[s, i // 64] |= np.uint64(1 << (i % 64))
+        slot, plane = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(plane.astype(np.int32)), pa.array(table[slot, plane].view(np.int64))], ["slot", "plane", "bits"])
+
+    rows = texts.select("lang", "text").mapInArrow(fill_in, "slot int, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros((1 << slot_bits, planes), np.uint64)
-    totals, most = dict.fromkeys(languages, 0), {}
-    for r in rows:
-        totals[r.lang] += r.n
-    for r in rows:
-        most[r.gram] = max(most.get(r.gram, 0), r.n / totals[r.lang])
-    for i, lang in enumerate(languages):
-        codes = np.array([r.gram for r in rows if r.lang == lang and r.n / totals[lang] >= rival * most[r.gram]], np.int64).view(np.uint64)
-        for s in slots_of(codes, k, slot_bits):
-            np.bitwise_or.at(table[:, i // 64], s, np.uint64(1 << (i % 64)))
+    table[rows["slot"].to_numpy(), rows["plane"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill, n, k)
 
 
 def identify(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, coverage for every row; with keep_columns, the columns of docs and the last three."""
+    """doc_id, held_out, lang_pred, score, coverage for every row; with keep_columns, the columns of docs and the last three.
+
+    Columns of docs named like one of the last three give way to it.
+    """
     arrow_limits(docs.sparkSession)
+    if keep_columns:
+        docs = docs.drop("lang_pred", "score", "coverage")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letters = model, letter_table()  # of fixed size: slots, not documents

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from noteloom.llm import html_main, langid, media, packing
 from noteloom.llm.base import table
@@ -94,6 +95,19 @@ def test_cached_ids_are_the_tokenizer_s():
         assert t.ids(x).tolist() == plain_ids(x)[:-1], x
 
 
+def test_other_tokenizers_are_read_plainly(tmp_path):
+    """A file whose splitter is not the known one, and one with more than 16 bits of ids."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = {w: i for i, w in enumerate(["[UNK]", "a b", "a", "b", *(f"w{i}" for i in range(70_000))])}
+    t = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    t.save(str(tmp_path / "t.json"))
+    mine = packing.WordCachedTokenizer(str(tmp_path / "t.json"))
+    assert not mine.by_words and mine.ids("a b|w69999|x").tolist() == [1, words["w69999"], 0]
+    assert packing.WordCachedTokenizer(PATH).by_words
+
+
 # --- media
 
 
@@ -125,6 +139,33 @@ def test_media_bytes_and_pairs():
     assert (again[0] == times).all() and (again[1] == codes).all() and (np.diff(times) >= 0).all()
 
 
+def brute_pairs(samples, frame=192):
+    """Peak pairs by a plain Fourier sum."""
+    x = [0.0] * (frame // 2) + [b - 32.0 for b in samples] + [0.0] * (frame // 2)
+    taper = np.hamming(frame).astype(np.float32)
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(frame // 2 + 1), np.arange(frame)) / frame)
+    slots = []
+    for i in range(0, len(x) - frame + 1, frame // 2):
+        power = np.abs(wave @ (np.array(x[i : i + frame], np.float32) * taper)).round(1)
+        slot = []
+        for band in (range(1, frame // 4), range(frame // 4, frame // 2)):
+            tops = [j for j in band if power[j] > power[j - 1] and power[j] >= power[j + 1]] or band
+            best = max(tops, key=lambda j: power[j])
+            slot += [best] if power[best] > 0 else []
+        slots.append(slot)
+    return sorted((i, (a << 16) | (b << 4) | d) for i in range(len(slots)) for d in (1, 2) if i + d < len(slots) for a in slots[i] for b in slots[i + d])
+
+
+def test_media_pairs_against_brute_force():
+    r = random.Random(3)
+    for text in ("x", "one short text", "another short text", " ".join(f"word{r.randrange(999)}" for _ in range(200))):
+        samples = media.payload(text)[1]
+        times, codes = media.peak_pairs(samples)
+        assert list(zip(times.tolist(), codes.tolist(), strict=True)) == brute_pairs(samples) != []
+    short = [media.peak_pairs(media.payload(t)[1])[1].tolist() for t in ("one", "two", "three words here")]
+    assert short[0] != short[1] != short[2] != short[0]
+
+
 # --- language
 
 
@@ -146,7 +187,7 @@ def test_filter_returns_all_languages(spark):
     letters = langid.letter_table()
     assert m.predict("alpha gamma", letters)[0] == "xx" and m.predict("kappa delta", letters)[0] == "yy"
     # no n-gram of the training is lost by the filter
-    codes = langid.grams("alpha beta", 3, letters)
+    codes = langid.grams("alpha beta", m.n, letters)
     assert m.counts(codes)[m.languages.index("xx")] > 0.9 * len(codes)
 
 
@@ -156,6 +197,36 @@ def test_language_odd(odd, empty):
     assert len(got) == odd.count() and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 7)} == {"und"}
     assert langid.identify(odd, langid.fit(empty)).where("lang_pred <> 'und' or score <> 0").count() == 0
     assert langid.identify(odd, m, keep_columns=True).columns[: len(odd.columns)] == odd.columns
+    clash = odd.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    assert dict(langid.identify(clash, m, keep_columns=True).dtypes)["score"] == "double"
+
+
+def test_no_letters_is_und():
+    m = langid.Model(["aa"], np.full((1 << 10, 1), 1, np.uint64), np.array([0.5]), 4, 3)
+    letters = langid.letter_table()
+    assert [m.predict(t, letters)[0] for t in (None, "", "½ ² ①", "12 _ !", "٣", "ª", "x", "Ⅷ")] == ["und"] * 5 + ["aa", "aa", "und"]
+
+
+def brute_prediction(m, known, text):
+    """The language whose exact set of n-grams holds most of the text's."""
+    codes = langid.grams(text, m.n, langid.letter_table())
+    hits = [sum(c in known[x] for c in codes.tolist()) for x in m.languages]
+    return {x for x, h in zip(m.languages, hits, strict=True) if h >= max(hits) - 0.01 * len(codes)}
+
+
+@needs_tables
+def test_filter_against_exact_sets(spark):
+    """Predictions from the Bloom filter against plain sets of all n-grams of the learned documents."""
+    d = table(spark, DIR, "documents")
+    m, letters = langid.fit(d), langid.letter_table()
+    rows = d.select("doc_id", "lang", "text").collect()
+    known = {x: set() for x in m.languages}
+    for r in rows:
+        if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            known[r["lang"]].update(langid.grams(r["text"], m.n, letters).tolist())
+    for r in langid.identify(d, m, keep_columns=True).collect():
+        if r["lang_pred"] != "und":
+            assert r["lang_pred"] in brute_prediction(m, known, r["text"])
 
 
 # --- pages
