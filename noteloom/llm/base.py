@@ -23,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary folder serves local sessions, whose executors are this process; a cluster without
+    the setting raises, since a folder of one machine would be lost with it.
+    """
     sc = spark.sparkContext
     set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("noteloom.work.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="noteloom-")
@@ -73,6 +79,14 @@ def _delete_all() -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: lambdas see it as a bound variable."""
     return F.transform(F.array(value), body).getItem(0)

@@ -19,7 +19,9 @@ order of all shingles their prefixes of n - o + 1 share one. Under several unrel
 5. Links are contracted by label propagation with pointer jumping on tables, never on the driver.
 
 Hot shingles, classes, hubs and components are only aggregated with partial sums or joined, and joins may be split.
-Rounds end in written tables. Text null or without words has an empty set and is its own component. Repeated rows
+Rounds end in written tables.
+What is taken for equal by hash: a shingle's words by one 64-bit hash, a set by its size and two 64-bit hashes of its
+shingles' hashes, a text (for repeated rows) by one 64-bit hash. Text null or without words has an empty set and is its own component. Repeated rows
 are separate documents with equal sets. Equal or null doc_ids do no harm: rows have ids of their own. An empty table
 gives none. Columns other than doc_id and text are ignored.
 """
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import discard, keep, let, split_words
+from .base import discard, keep, let, split_words, unused
 
 
 def shingles(text: Column, words: int = 5) -> Column:
@@ -95,11 +97,16 @@ class Join:
         return keep(members.union(empty), "members")
 
     def survivors(self, members: DataFrame) -> DataFrame:
-        """Classes with enough prefix shingles in common with others: node, doc_id, n, k1, k2."""
-        e = self.rows.select("rid", F.shiftright("k1", 33).alias("k"), F.explode("prefix").alias("token"))
-        shared = e.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
-        counts = e.join(shared, "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
+        """Classes with enough prefix shingles in common with other classes: node, doc_id, n, k1, k2.
+
+        Only a class's head lays out its prefix, so a shingle that is met twice belongs to two classes.
+        """
         heads = members.where("rid = node").select("node", "doc_id", "n", "k1", "k2")
+        n = heads.count()
+        hint = F.broadcast if n <= self.broadcast_rows else lambda df: df
+        e = self.rows.join(hint(heads.select(F.col("node").alias("rid"))), "rid", "left_semi").select("rid", F.explode("prefix").alias("token"))
+        shared = e.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+        counts = e.join(shared, "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
         enough = F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n").cast("long") * self.t * MORE / 10000))
         out = keep(heads.join(counts.withColumnRenamed("rid", "node"), "node").where(enough).drop("c"), "survivors")
         discard(self.rows)
@@ -221,11 +228,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     at = _labelled(docs, words, percent)
     best = at.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("best"))
     gone = at.join(best, "comp").where(~F.struct("doc_id", "h").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    own = F.xxhash64(F.col("text").cast("string"))
-    left = docs.withColumn("__own", own).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left_anti")
+    own = unused(docs, "own")
+    left = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    left = left.join(gone.toDF(*(theirs := [unused(docs, "d"), unused(docs, "h")])), F.col("doc_id").cast("long").eqNullSafe(F.col(theirs[0])) & (F.col(own) == F.col(theirs[1])), "left_anti")
     if at.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "__own"])
-    return left.drop("__own")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)
 
 
 #: The same rows in DuckDB, by counting common shingles of all pairs.

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import keep, n_words
+from .base import keep, n_words, unused
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -84,12 +84,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     """
     key = ["doc_id", "source", "h"]
     copies = keep(with_copies(docs, weights, most, seed).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
-    c = copies.where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("h").alias("__h"), F.col("copies").cast("int").alias("__copies"))
-    own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    own, d, s, h, times, nth = (unused(docs, x) for x in ("own", "d", "s", "h", "times", "nth"))
+    c = copies.where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("h").alias(h), F.col("copies").cast("int").alias(times))
+    left = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
     if copies.where("rows > 1").limit(1).count():
-        own = own.dropDuplicates(["doc_id", "source", "__own"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__own") == F.col("__h"))
-    out = own.join(c, same).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        left = left.dropDuplicates(["doc_id", "source", own])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (F.col(own) == F.col(h))
+    out = left.join(c, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 

@@ -292,4 +292,5 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", model: tuple | None = None
     """docs with its columns, every span replaced by mark."""
     names = docs.columns
     s = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text")), model or fit(docs.sparkSession))
-    return s.select("row.*", masked(F.col("text"), F.col("spans"), mark).alias("__masked")).select(*[F.col("__masked").alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    text = masked(F.col("text"), F.col("spans"), mark)
+    return s.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])

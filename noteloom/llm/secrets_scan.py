@@ -132,4 +132,4 @@ def redact(docs: DataFrame, least: int = 20, mark: str = "[REDACTED]") -> DataFr
     names = docs.columns
     s = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text")), least)
     text = masked(F.col("text"), F.col("spans"), mark)
-    return s.select("row.*", text.alias("__masked")).select(*[F.col("__masked").alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    return s.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
