@@ -1,12 +1,14 @@
 """Order MinHash fingerprints: sketches whose agreement follows edit distance, not only set overlap.
 
-A text is cut into tokens (runs without ASCII white space, at most `token_chars` long). Every k consecutive
-tokens form a k-mer, numbered by its occurrence in the text, so that repeats differ. A hash deals the numbered
-k-mers over 2 * tuples bins; each bin selects its minimal one. Two neighbouring bins form a tuple whose members
-keep their text order, and the hash of the ordered tuple is one part of the signature. Moving a passage changes
-the order and so the tuples, which a plain MinHash would not see. With `dense`, a bin that is empty borrows the k-mer
-whose hash is nearest, by exclusive or, to a random number of the bin's own; so every tuple is an ordered pair as soon
-as the text has two k-mers. Fingerprints of documents are dense.
+A text is cut into tokens: its runs without ASCII white space, and inside a run longer than `token_chars` the windows
+of `window` characters that start at each of its characters, so that one character put in front of a text without
+spaces changes a few tokens and not all. Every k consecutive tokens form a k-mer, numbered by its occurrence in the
+text, so that repeats differ. A hash deals the numbered k-mers over 2 * tuples bins; each bin selects its minimal one.
+Two neighbouring bins form a tuple whose members keep their text order, and the hash of the ordered tuple is one part
+of the signature. Moving a passage changes the order and so the tuples, which a plain MinHash would not see. A bin that
+is empty borrows the k-mer whose hash is nearest, by exclusive or, to a random number of the bin's own: the minimal one
+of an order of the bin's own. So every tuple is an ordered pair as soon as the text has two k-mers. (Without `dense`
+empty bins stay empty, and a tuple of one bin has no order.)
 
 Everything is one column expression over a row: no explode, no shuffle, memory in proportion to one text.
 Null text counts as empty. A text without tokens has an empty signature; one with fewer than k tokens is one k-mer.
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .base import let
 
+SOLID = r"[^\x20\x09-\x0D]"
 POS = 28  # bits for a k-mer's place
 
 
@@ -31,8 +34,15 @@ def borrower(number: int) -> int:
     return (x ^ x >> 31) >> 1 >> POS << POS
 
 
-def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16, dense: bool = False) -> Column:
-    """array<long>: for each non-empty tuple its number (above bit 32) and the hash of its ordered members.
+def tokens(text: Column, token_chars: int = 16, window: int = 4) -> Column:
+    """array<string>: runs of at most token_chars; of longer ones, the windows that start at each character."""
+    run = r"(?<!%s)%s{1,%d}(?!%s)" % (SOLID, SOLID, token_chars, SOLID)
+    # what is consumed is a whole run or one character of a longer one; group 1 is the token, which may reach beyond
+    return F.regexp_extract_all(text, F.lit(r"(?=(%s|%s{1,%d}))(?:%s|%s)" % (run, SOLID, window, run, SOLID)), F.lit(1))
+
+
+def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16, dense: bool = True, window: int = 4) -> Column:
+    """array<long>: for each tuple its number (above bit 32) and the hash of its ordered members; none of a text without tokens.
 
     dense: empty bins borrow, so that a text with two k-mers has every tuple, each an ordered pair.
     """
@@ -90,8 +100,7 @@ def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16,
             let(F.transform(m, lambda x: F.shiftright(x, 63 - bin_bits)), lambda bins: F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)).cast("array<long>"), lambda t: pair(t, bins)))
         )
 
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % token_chars), F.lit(0))
-    packed = let(words, kmers)
+    packed = let(tokens(F.coalesce(text, F.lit("")), token_chars, window), kmers)
     values = let(F.sort_array(packed), numbered)
     if not dense:
         return let(let(F.sort_array(values), minima), ordered)
@@ -140,7 +149,7 @@ def fingerprint_documents(docs: DataFrame, k: int = 3, tuples: int = 64, buckets
     cut = cut.withColumn("edited", F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), size - half), F.substring("next", F.lit(1), half))))
     signed = cut.select(
         "doc_id", "bucket", "guest", "was_null", "n_chars", F.monotonically_increasing_id().alias("nth"),
-        F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), k, tuples, dense=True).alias("sig"), F.when(~F.col("guest"), signature(F.col("edited"), k, tuples, dense=True)).alias("edited_sig"),
+        F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), k, tuples).alias("sig"), F.when(~F.col("guest"), signature(F.col("edited"), k, tuples)).alias("edited_sig"),
     )
     v = Window.partitionBy("bucket").orderBy("nth")
     both = signed.withColumn("next_sig", F.lead("sig").over(v)).where(~F.col("guest"))

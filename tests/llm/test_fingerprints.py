@@ -30,11 +30,19 @@ def words_hash(words):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def brute(text, k=3, tuples=64):
-    """The signature, by plain loops over tuples of words."""
+def tokens(text):
+    """Runs without white space; of those longer than 16, the windows of 4 that start at each character."""
     import re
 
-    w = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
+    out = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        out += [run] if len(run) <= 16 else [run[i : i + 4] for i in range(len(run))]
+    return out
+
+
+def brute(text, k=3, tuples=64):
+    """The signature without borrowing, by plain loops over tuples of words."""
+    w = tokens(text)
     grams = [words_hash(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [words_hash(w)] if w else []
     seen, bins = {}, {}
     for place, g in enumerate(grams):
@@ -54,7 +62,7 @@ def brute(text, k=3, tuples=64):
 
 
 def test_signature_against_brute_force(spark, odd):
-    rows = odd.select("text", o.as_text(o.signature(F.col("text"))).alias("s")).collect()
+    rows = odd.select("text", o.as_text(o.signature(F.col("text"), dense=False)).alias("s")).collect()
     for r in rows:
         assert r["s"] == brute(r["text"]), (r["text"] or "")[:40]
 
@@ -79,7 +87,7 @@ def borrowed(text, k=3, tuples=64):
     """The dense signature, by plain loops: its numbered k-mers are those of brute()."""
     import xxhash
 
-    w = (text or "").split()
+    w = tokens(text)
     grams = [words_hash(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [words_hash(w)] if w else []
     seen, values = {}, []
     for place, g in enumerate(grams):
@@ -112,6 +120,19 @@ def test_short_texts_keep_order(spark, docs):
         assert sum(near) / len(near) < 0.65, (c, near)
 
 
+def test_texts_without_spaces(spark):
+    """One character more or less, anywhere, keeps the likeness; another text has none of it."""
+    rng = random.Random(11)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    latin = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    for a, b in ((text, "x" + text), (text, text[:1500] + text[1501:]), (latin, "q" + latin), (text[:40], "x" + text[:40])):
+        assert sketches(spark, a, b) > 0.5
+    assert sketches(spark, text, other) == 0 and sketches(spark, text, text[1500:] + text[:1500]) < 0.8
+    got = spark.createDataFrame([(text,), ("x" * 17,), ("x" * 16,), ("a" * 40 + " b",)], "t string").select("t", o.as_text(o.signature(F.col("t"))).alias("s")).collect()
+    assert all(r["s"] == borrowed(r["t"]) for r in got)
+
+
 def edited(texts):
     out = []
     for i, t in enumerate(texts):
