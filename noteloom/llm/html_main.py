@@ -5,15 +5,22 @@ body's ratio of link characters r, the composite density is
 C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + r * C + e)), zero counts being one: characters per tag,
 lowered by links. The density sum of a node adds its children's densities; the node with the largest sum is the main
 subtree. The least density on its path from the body is the threshold for what stands beside that path at every level:
-nodes at or above it belong to the text too, and so does bare text. An article or main element around the subtree is taken whole.
+nodes at or above it belong to the text too, and so does bare text. An article or main element around the subtree is
+the subtree. Inside the subtree, what is off the path to the densest node is held against densities as well: blocks
+whose characters are mostly those of links (three links or more; a paragraph of an article may have them) go, and so
+do lists of records, such as reader comments, whose density is below the threshold (densities are taken again without
+what goes anyway). Records are two or more blocks of one element name, side by side, that hold two elements or more.
 
-Inside, menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and hidden elements are left out
-by element, role and class or id words; the words don't count for an element that wraps an article or most of the
-page's text (such as class "with-sidebar"). Blocks keep page order, white space in a block is one space, blocks are
-joined by an empty line; character references are decoded; nothing else is dropped.
+Density can't tell a dense advert or a long comment from the article. So menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts and hidden elements also go by element, role and class or id words; the words don't
+count for an element that wraps an article or most of the page's text (such as class "with-sidebar"), and a line of
+copyright outside an article goes. Blocks keep page order, white space in a block is one space, blocks are joined by an
+empty line; character references are decoded; nothing else is dropped.
 
 Null html counts as empty and gives an empty text; text without tags is one block. Unclosed, misnested and cut-off
-markup is accepted. Repeated rows stay; an empty table gives none. Columns other than page_id, url, html are ignored.
+markup is accepted: a quote without its pair ends with its tag, and a tag without an end is text. Elements deeper than
+DEPTH join the level above. Work is linear in the page. Repeated rows stay; an empty table gives none. Columns other
+than page_id, url, html are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -31,7 +38,9 @@ from pyspark.sql import DataFrame
 from .base import arrow_limits
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote counts after an equals sign, if its pair follows. The last group is empty for a tag that the page cuts off.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(>?)", re.S)
+DEPTH = 200
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|aria-modal)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math canvas object".split())
@@ -44,17 +53,24 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related recommended "
-    "newsletter subscribe subscription signup login search toolbar pagination pager widget skip tags".split()
+    "newsletter subscribe subscription signup login search toolbar pagination pager widget skip tags "
+    "werbung anzeige anzeigen seitenleiste navigationsleiste fusszeile fussleiste kopfzeile hinweis kommentar kommentare "
+    "publicite annonce pied entete avis commentaire commentaires publicidad anuncio anuncios pie cabecera barra aviso comentario comentarios".split()
 )
+COPYRIGHT = re.compile(r"\s*(?:©|\(c\)\s*\d{4}|copyright\s*(?:©|\(c\)|\d{4}))", re.I)
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol table figure".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("attributes", "chars", "children", "density", "links", "link_chars", "parent", "tag", "tags", "total", "wraps")
+    __slots__ = ("attributes", "chars", "children", "density", "depth", "links", "link_chars", "names", "on_path", "parent", "tag", "tags", "total", "wraps")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.attributes, self.children = tag, parent, attributes, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.on_path = False
+        above = parent.names if parent else frozenset()  # of the elements from the root to here
+        self.names = above if tag in above else above | {tag}
 
 
 def parse(page: str) -> Node:
@@ -67,11 +83,14 @@ def parse(page: str) -> Node:
 
     for m in iter(lambda: TAG.search(page, at), None):
         put(page[at : m.start()])
+        if m[2] and not m[4]:  # no end anywhere: text
+            at = m.start()
+            break
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            node = top
+            node = top if tag in top.names else root
             while node is not root and node.tag != tag:
                 if node.tag in ("table", "body") and tag not in ("body", "html"):
                     node = root  # an end tag does not reach out of a table
@@ -82,13 +101,13 @@ def parse(page: str) -> Node:
             continue
         if tag in CLOSES:
             closed, until = CLOSES[tag]
-            node = top
+            node = root if top.names.isdisjoint(closed.split()) else top
             while node is not root and node.tag not in until.split():
                 if node.tag in closed.split():
                     top = node.parent
                 node = node.parent
         if tag in BLOCK:  # a block ends an open paragraph
-            node = top
+            node = top if "p" in top.names else root
             while node is not root and node.tag not in ("table", "td", "button", "article", "section", "div", "body"):
                 if node.tag == "p":
                     top = node.parent
@@ -101,7 +120,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
-        else:
+        elif top.depth < DEPTH:
             top = node
     put(page[at:])
     return root
@@ -157,7 +176,34 @@ def measured(root: Node) -> Node:
     return body
 
 
-def blocks_of(nodes: list[Node], in_article: bool) -> list[str]:
+def records(node: Node) -> bool:
+    """Whether the node's blocks are mostly records: alike in name and with elements of their own."""
+    blocks = [x for x in node.children if isinstance(x, Node) and x.tag in BLOCK]
+    alike = Counter(x.tag for x in blocks if x.tags >= 2)
+    return bool(alike) and 2 <= max(alike.values()) >= len(blocks) / 2
+
+
+def linked(node: Node, inside: bool) -> bool:
+    """Whether a block off the path is mostly links."""
+    return node.tag in BLOCK and not node.on_path and node.links >= 3 and 2 * node.link_chars > node.chars and not (inside and node.tag == "p")
+
+
+def prune(body: Node) -> None:
+    """Take out what is left out whatever the threshold, so that it does not dilute the densities of the rest."""
+    stack = [(body, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [x for x in node.children if isinstance(x, str) or x.on_path or not (left_out(x, inside) or linked(x, inside))]
+        stack += [(x, inside) for x in node.children if isinstance(x, Node)]
+
+
+def sparse(node: Node, inside: bool, threshold: float) -> bool:
+    """Whether a block off the path is too thin: links, or records below the threshold."""
+    return linked(node, inside) or node.tag in BLOCK and not node.on_path and node.tag not in PLAIN and node.density < threshold and records(node)
+
+
+def blocks_of(nodes: list[Node], in_article: bool, threshold: float = 0.0) -> list[str]:
     out: list[list[str]] = [[]]
     stack: list = [(x, in_article) for x in reversed(nodes)]
     while stack:
@@ -168,13 +214,16 @@ def blocks_of(nodes: list[Node], in_article: bool) -> list[str]:
             out[-1].append(item)
         elif item.tag == "br":
             out[-1].append(" ")
-        elif not left_out(item, inside):
+        elif not (left_out(item, inside) or sparse(item, inside, threshold)):
             inside = inside or item.tag in ("article", "main")
             if item.tag in BLOCK:
                 out.append([])
                 stack.append((None, inside))
             stack += [(x, inside) for x in reversed(item.children)]
-    return [t for t in (" ".join("".join(b).split()) for b in out) if t]
+    texts = [t for t in (" ".join("".join(b).split()) for b in out) if t]
+    while not in_article and len(texts) > 1 and len(texts[-1]) < 200 and COPYRIGHT.match(texts[-1]):
+        texts.pop()
+    return texts
 
 
 def main_text(page: str | None) -> str:
@@ -194,20 +243,25 @@ def main_text(page: str | None) -> str:
     path, node = [], best
     while node is not None:
         path.append(node)
+        node.on_path = True
         node = body if node is not body and node.parent is None else node.parent if node is not body else None
-    around = [x for x in path if x.tag in ("article", "main")]
-    if around:
-        return "\n\n".join(blocks_of([around[-1]], True))
-    if best is body:
-        return "\n\n".join(blocks_of([best], False))
     threshold = min(x.density for x in path)
-    chosen: deque = deque([best])
+    around = [x for x in path if x.tag in ("article", "main")]
+    chosen: deque = deque(around[-1:] or [best])
+    if around or best is body:
+        path = []
     for inner, outer in zip(path, path[1:], strict=False):
         at = next(i for i, x in enumerate(outer.children) if x is inner)
         edge = [None] if inner.tag in BLOCK else []
         chosen.extendleft(reversed(beside(outer.children[:at], threshold) + edge))
         chosen.extend(edge + beside(outer.children[at + 1 :], threshold))
-    return "\n\n".join(blocks_of(list(chosen), False))
+    prune(body)
+    measured(root)
+    node, threshold = best, best.density
+    while node is not body:
+        node = node.parent if node.parent is not None else body
+        threshold = min(threshold, node.density)
+    return "\n\n".join(blocks_of(list(chosen), bool(around), threshold))
 
 
 def beside(nodes: list, threshold: float) -> list:

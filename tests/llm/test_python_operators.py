@@ -275,6 +275,56 @@ def test_page_articles(spark):
         assert r["text"].split() == " ".join(w for w in want if w).split()
 
 
+PARAGRAPHS = [f"Paragraph {i} says enough words, one after another, to look like the text of an article it is." for i in range(5)]
+TEXT = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(20)) + "</ul>"
+READERS = "<div{}>" + "".join(f"<div><b>Reader {i}</b><span>today</span><p>I agree.</p></div>" for i in range(4)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article>{MENU}{TEXT}</article>", f"<article>{TEXT}{READERS.format('')}</article>", f"<article>{TEXT}{READERS.format(' class=kommentare')}</article>",
+        f"{MENU}{TEXT}<p>© 2024 Some Company</p>", f"{MENU}{TEXT}Copyright 2024, all rights reserved.", f"<div>{MENU}</div><div><div>{TEXT}</div></div>",
+        f"<div class='wrap'><div>{MENU}</div><div>{TEXT}</div><div>{READERS.format('')}</div></div>", f"<table><tr><td>{MENU}</td><td>{TEXT}</td></tr></table>",
+        f"<div class=Kommentare><p>A long reader comment that is as dense as the text of the article itself can ever be.</p></div><article>{TEXT}</article>",
+    ],
+)
+def test_thin_blocks_go_by_density(body):
+    """Menus and comments of unknown names go, in an article and without one; every paragraph of the text stays."""
+    assert html_main.main_text(f"<html><body>{body}</body></html>").split("\n\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize(
+    "extra",
+    ["<h2>Short head</h2>", "<p>Yes.</p>", "<section><h2>Facts</h2><p>One.</p><p>Two.</p></section>", "<div><p>A note.</p></div>", "<ul><li>one</li><li>two</li></ul>", "<p><a href=x>Source</a></p>", "<p>See <a>a</a>, <a>b</a>, <a>c</a></p>", "<table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>"],
+)
+def test_short_parts_of_an_article_stay(extra):
+    import re
+
+    plain = " ".join(re.sub("<[^>]*>", " ", extra).split())
+    got = html_main.main_text(f"<html><body><nav>{MENU}</nav><article>{TEXT}{extra}{TEXT}</article></body></html>")
+    assert " ".join(got.split()).replace(" ,", ",") == " ".join([*PARAGRAPHS, plain, *PARAGRAPHS]).replace(" ,", ",")
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [("<p title=don't>hello world</p>", "hello world"), ("<p title='a > b'>x</p>", "x"), ('<p title="it\'s">x</p><p>y</p>', "x\n\ny"), ("<p a=\"open>x</p><p>y</p>", "x\n\ny"), ("if a <b then c", "if a <b then c"), ("<p>a</p><p cla", "a\n\n<p cla"), ("<a href=x'y'z>t</a>", "t"), ("<p a = 'v>w' >x", "x")],
+)
+def test_quotes_and_cut_tags(page, want):
+    assert html_main.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a x='", '<a x="', "<a x='>", "<p ", "<ul>", "<li>", "<b><p>", "<table><i>", "</p>", "<!--", "<a =", "&amp", "<script>", "<div><p>x<br></p>", "<td><li>"])
+def test_hostile_pages_are_linear(piece):
+    import time
+
+    page = "<p>text</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_main.main_text(page)
+    assert time.process_time() - began < 20  # seconds on a busy machine
+
+
 @pytest.mark.parametrize("sizes", [(5, 4), (8, 6, 6), (20, 15, 10)])
 def test_sections_beside_the_densest(sizes):
     """All sections of a page without article count, and bare text beside them; a bar of links does not."""
