@@ -7,18 +7,36 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks of Latin-1 and Latin Extended-A and the letters they are based on, derived from their decompositions.
-_MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+def _marks() -> tuple[dict[str, str], str]:
+    """Characters that decompose into a base and combining marks, with their base; and the marks themselves."""
+    based, marks = {}, []
+    for c in map(chr, range(0x10000)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:])):
+            based[c] = d[0]
+    return based, "".join(marks)
+
+
+#: Derived from the Unicode tables, for code points of the basic plane.
+BASED, MARKS = _marks()
+_FOLD = str.maketrans(BASED | dict.fromkeys(MARKS, ""))
 TOKEN = r"([\p{L}\p{N}]+)"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks, as the full-text index stores tokens."""
-    return F.translate(F.lower(text), "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+    """Lower case without marks, whether they are composed or not: the form in which texts and queries meet."""
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.translate(low, "".join(BASED) + MARKS, "".join(BASED.values())))
+
+
+def folded(text: str) -> str:
+    """fold() of a plain string."""
+    return text.lower().translate(_FOLD)
 
 
 def tokens(text: Column) -> Column:
-    """array<string>: folded maximal runs of letters and digits. Null text has none."""
+    """array<string>: maximal runs of letters and digits of the folded text. Null text has none."""
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 

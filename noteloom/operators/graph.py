@@ -5,24 +5,13 @@ edges: source, target, relation; a node is a note's name, or the text of an obje
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the cluster's shared folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteloom-"))
-    return df.checkpoint()
+from .workspace import cut
 
 
 def resolved(files: DataFrame, triples: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut, min_cut
+from .graph import min_cut
+from .workspace import cut
 
 W, H = 800.0, 600.0
 
@@ -38,7 +39,7 @@ def force_positions(ids, pairs, width=W, height=H, iterations=300, seed=None, fi
     n = len(ids)
     k, centre = math.sqrt(width * height / max(1, n)), np.array([width / 2, height / 2])
     angle = 2 * np.pi * np.arange(n) / max(1, n)
-    p = centre + np.stack([np.cos(angle), np.sin(angle)], 1) * min(width, height) * 0.35
+    p = centre + np.stack([np.cos(angle), np.sin(angle)], 1) * (0.3 * min(width, height) if n > 1 else 0.0)  # a single node sits in the centre
     row = {v: i for i, v in enumerate(ids)}
     for v, xy in {**(seed or {}), **(fixed or {})}.items():
         if v in row:
@@ -174,7 +175,7 @@ def groups_layout(communities: DataFrame, width: float = W, height: float = H) -
     ring = F.when(F.col("k") == 1, 0.0).otherwise(0.32 * small)
     a = 2 * math.pi * F.col("g") / F.col("k") - math.pi / 2
     own = 0.05 * small * F.sqrt("m")
-    local = F.when(F.col("k") == 1, F.least(F.lit(0.4 * small), own)).otherwise(F.least(0.8 * 0.32 * small * F.sin(math.pi / F.col("k")), own))
+    local = F.when(F.col("k") == 1, F.least(F.lit(0.38 * small), own)).otherwise(F.least(0.8 * 0.32 * small * F.sin(math.pi / F.col("k")), own))
     centres = ranked.select("community", "m", (width / 2 + ring * F.cos(a)).alias("cx"), (height / 2 + ring * F.sin(a)).alias("cy"), F.when(F.col("m") == 1, 0.0).otherwise(local).alias("r"))
     both = communities.join(centres, "community").withColumn("i", F.row_number().over(Window.partitionBy("community").orderBy("id")) - 1)
     b = 2 * math.pi * F.col("i") / F.col("m") - math.pi / 2

@@ -1,29 +1,63 @@
-"""Full-text search: a positional index, prefix-AND matching, BM25 ranks and snippets.
+"""Full-text search: an index of postings, prefix-AND matching, BM25 ranks and snippets.
 
 notes: key, title, body. A query's tokens are prefixes; a note matches if each occurs in title or body. The score is
 sum of idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / average length)), idf = ln((N - n + 0.5) / (n + 0.5)) of at
 least 1e-6, f counting all tokens with the prefix in both columns.
+
+Every function takes notes, which are then tokenized, or a TextIndex, which is read where the query's prefixes stand.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import MARKS, folded, tokens
+from .workspace import few
 
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(rf"(?:[^\W_]|[{re.escape(MARKS)}])+")
+_FOLDED = re.compile(r"[^\W_]+")
 
 
 def query_tokens(query: str) -> list[str]:
-    folded = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    return _TOKEN.findall(folded)
+    return _FOLDED.findall(folded(query))
+
+
+@dataclass
+class TextIndex:
+    """notes: key, title, body, n (tokens); postings: token, key, n, f (how often the note holds the token); total notes, mean n.
+
+    Postings are clustered by token, so that a prefix is a range of few files and row groups; a frequent token spreads
+    over several.
+    """
+
+    notes: DataFrame
+    postings: DataFrame
+    total: int
+    mean: float
+
+
+def build_index(notes: DataFrame, base: str) -> TextIndex:
+    """Write the index of notes (key, title, body) below base, which must be new."""
+    spark = notes.sparkSession
+    t = notes.select("key", "title", "body", F.concat(tokens(F.col("title")), tokens(F.col("body"))).alias("tokens"))
+    t.select("key", "title", "body", F.size("tokens").cast("long").alias("n")).write.parquet(f"{base}/notes")
+    each = t.select("key", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    counted = each.groupBy("token", "key", "n").agg(F.count(F.lit(1)).alias("f"))  # mostly counted before the shuffle: a note's tokens stand in one task
+    counted.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.parquet(f"{base}/postings")
+    return open_index(spark, base)
+
+
+def open_index(spark: SparkSession, base: str) -> TextIndex:
+    notes = spark.read.parquet(f"{base}/notes")
+    one = notes.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean")).first()
+    return TextIndex(notes, spark.read.parquet(f"{base}/postings"), one["total"], one["mean"] or 0.0)
 
 
 def postings(notes: DataFrame) -> DataFrame:
@@ -32,37 +66,52 @@ def postings(notes: DataFrame) -> DataFrame:
     return each("title").unionByName(each("body")).select("key", "field", "token", "pos")
 
 
-def lengths(notes: DataFrame) -> DataFrame:
+def lengths(notes: DataFrame | TextIndex) -> DataFrame:
+    if isinstance(notes, TextIndex):
+        return notes.notes.select("key", "n")
     return notes.select("key", (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).cast("long").alias("n"))
 
 
-def _counted(notes: DataFrame, terms: list[str]) -> DataFrame:
-    """notes with n (tokens) and f0, f1, ... : one pass, no shuffle, no row per token."""
-    t = notes.withColumn("_tokens", F.concat(tokens(F.col("title")), tokens(F.col("body"))))
-    hits = [F.size(F.filter("_tokens", _prefixed(q))).alias(f"f{i}") for i, q in enumerate(terms)]
-    return t.select(*notes.columns, F.size("_tokens").alias("n"), *hits)
+def _counted(notes: DataFrame | TextIndex, terms: list[str]) -> DataFrame:
+    """key, n (tokens) and f0, f1, ... of at least the notes that hold a term."""
+    names = [f"f{i}" for i in range(len(terms))]
+    if isinstance(notes, TextIndex):
+        started = [F.col("token").startswith(q) for q in terms]
+        some = notes.postings.where(reduce(Column.__or__, started))
+        return some.groupBy("key").agg(F.max("n").alias("n"), *[F.sum(F.when(c, F.col("f")).otherwise(0)).alias(x) for c, x in zip(started, names, strict=True)])
+    t = notes.select("key", F.concat(tokens(F.col("title")), tokens(F.col("body"))).alias("tokens"))
+    hits = F.struct(F.size("tokens").alias("n"), *[F.size(F.filter("tokens", _prefixed(q))).alias(x) for q, x in zip(terms, names, strict=True)])
+    return t.select("key", F.explode(F.array(hits)).alias("c")).select("key", "c.*")  # no filter goes below explode, which would tokenize again
 
 
 def _prefixed(term: str):
     return lambda x: x.startswith(term)
 
 
-def matching(notes: DataFrame, query: str) -> DataFrame:
+def _matched(terms: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(f"f{i}") > 0 for i in range(len(terms))])
+
+
+def matching(notes: DataFrame | TextIndex, query: str) -> DataFrame:
     """Keys of the notes that hold every query token as a prefix; none for a query without tokens."""
     terms = list(dict.fromkeys(query_tokens(query)))
     if not terms:
-        return notes.select("key").limit(0)
-    return _counted(notes.select("key", "title", "body"), terms).where(reduce(Column.__and__, [F.col(f"f{i}") > 0 for i in range(len(terms))])).select("key")
+        return lengths(notes).select("key").limit(0)
+    return _counted(notes, terms).where(_matched(terms)).select("key")
 
 
-def bm25(notes: DataFrame, query: str) -> DataFrame:
+def bm25(notes: DataFrame | TextIndex, query: str) -> DataFrame:
     """key, score of all matching notes."""
     terms = query_tokens(query)
     if not terms:
-        return notes.select("key", F.lit(0.0).alias("score")).limit(0)
-    c = _counted(notes.select("key", "title", "body"), terms)
-    total = c.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    all_in = c.where(reduce(Column.__and__, [F.col(f"f{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(total))  # total is one row
+        return lengths(notes).select("key", F.lit(0.0).alias("score")).limit(0)
+    c = _counted(notes, terms)
+    held = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
+    if isinstance(notes, TextIndex):
+        total = c.agg(*held).select("*", F.lit(notes.total).alias("total"), F.lit(notes.mean).alias("mean"))
+    else:
+        total = c.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean"), *held)
+    all_in = c.where(_matched(terms)).crossJoin(F.broadcast(total))  # total is one row
 
     def part(i: int) -> Column:
         idf = F.greatest(F.log((F.col("total") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
@@ -71,10 +120,12 @@ def bm25(notes: DataFrame, query: str) -> DataFrame:
     return all_in.select("key", reduce(Column.__add__, map(part, range(len(terms)))).alias("score"))
 
 
-def search(notes: DataFrame, query: str, limit: int = 50, snippet: bool = True) -> DataFrame:
+def search(notes: DataFrame | TextIndex, query: str, limit: int = 50, snippet: bool = True) -> DataFrame:
     """key, title, score and snippet of the best `limit` notes, best first, ties by key."""
-    best = bm25(notes, query).orderBy(F.desc("score"), "key").limit(limit)
-    hits = notes.select("key", "title", *(["body"] if snippet else [])).join(F.broadcast(best), "key")  # at most `limit` rows
+    best = few(bm25(notes, query).orderBy(F.desc("score"), "key").limit(limit))
+    rows = notes.notes if isinstance(notes, TextIndex) else notes
+    keys = [r["key"] for r in best.collect()]  # at most `limit`: the scan skips row groups without them
+    hits = rows.select("key", "title", *(["body"] if snippet else [])).where(F.col("key").isin(keys) if keys else F.lit(False)).join(F.broadcast(best), "key")
     if not snippet:
         return hits.orderBy(F.desc("score"), "key")
     terms, names = query_tokens(query), ["key", "title", "score", "snippet"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import distill, fusion, graph, layouts, links, markdown, search, store, telemetry, vectors
+from . import indexed
 from ..sources import convert
 from ..sources.tables import STAR_SQL, star_files, star_triples, table
 
@@ -35,6 +36,10 @@ def notes(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"))
 
 
+def note_index(spark, d, again=False):
+    return indexed.text_index(spark, "notes", d, lambda: notes(spark, d), again)
+
+
 TOKENS = r"regexp_extract_all(strip_accents(lower(COALESCE({0}, ''))), '[\p{{L}}\p{{N}}]+')"
 NOTES = rf"""n AS (
   SELECT doc_id AS key, source || ' ' || lang AS title, text AS body, list_concat({TOKENS.format("source || ' ' || lang")}, {TOKENS.format("text")}) AS tokens FROM documents
@@ -54,21 +59,45 @@ def bm25_sql(words: str, source: str = "n") -> str:
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
+@query(f"WITH {NOTES}, t AS (SELECT key, unnest(tokens) AS token FROM n) SELECT token, count(*) AS tokens, count(DISTINCT key) AS notes FROM t GROUP BY token")
+def index_build(spark, d):
+    """The text index built anew; what its postings hold of each token."""
+    p = note_index(spark, d, again=True).postings
+    return p.groupBy("token").agg(F.sum("f").alias("tokens"), F.count(F.lit(1)).alias("notes"))
+
+
 @query(f"WITH {NOTES}, {bm25_sql(WORDS)} SELECT key, title, round(score, 6) AS score FROM scored JOIN n USING (key) ORDER BY score DESC, key LIMIT 50")
 def bm25_search(spark, d):
-    return rounded(search.search(notes(spark, d), WORDS, snippet=False), "score")
+    return rounded(search.search(note_index(spark, d), WORDS, snippet=False), "score")
+
+
+@query(f"WITH {NOTES}, {bm25_sql(WORDS)} SELECT key, round(score, 6) AS score FROM scored")
+def bm25_scan(spark, d):
+    """Scores of all matching notes without an index: one pass over the texts."""
+    return rounded(search.bm25(notes(spark, d), WORDS), "score")
+
 
+def snippet_sql(words: str, hits: str, size: int = 10) -> str:
+    """snips(key, snippet) of hits (key, body): the earliest window of `size` tokens with the most distinct terms, then tokens, those marked."""
+    term = " ".join(f"WHEN starts_with(strip_accents(lower(x)), '{q}') THEN {i}" for i, q in enumerate(dict.fromkeys(words.split())))
+    return rf"""cutup AS (SELECT key, body, regexp_extract_all(body, '[\p{{L}}\p{{N}}]+') AS toks, regexp_split_to_array(body, '[\p{{L}}\p{{N}}]+') AS seps FROM {hits}),
+    marked AS (SELECT *, len(toks) AS m, list_transform(toks, lambda x: CASE {term} END) AS terms FROM cutup),
+    windows AS (SELECT key, s, list_filter(terms[s + 1:s + {size}], lambda t: t IS NOT NULL) AS got FROM (SELECT key, terms, unnest(range(0, greatest(1, m - {size} + 1))) AS s FROM marked WHERE m > 0)),
+    best AS (SELECT key, arg_min(s, (-len(list_distinct(got)), -len(got), s)) AS s FROM windows GROUP BY key),
+    snips AS (SELECT key, CASE WHEN s IS NULL THEN body ELSE (CASE WHEN s > 0 THEN '…' ELSE seps[1] END) || array_to_string(list_transform(range(s + 1, least(m, s + {size}) + 1),
+      lambda j: (CASE WHEN j > s + 1 THEN seps[j] ELSE '' END) || CASE WHEN terms[j] IS NULL THEN toks[j] ELSE '<mark>' || toks[j] || '</mark>' END), '') || (CASE WHEN s + {size} < m THEN '…' ELSE seps[m + 1] END) END AS snippet
+      FROM marked LEFT JOIN best USING (key))"""
 
-@query(f"WITH {NOTES}, {bm25_sql(WORDS)} SELECT key, title, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, key LIMIT 50) JOIN n USING (key)")
+
+@query(f"""WITH {NOTES}, {bm25_sql(WORDS)}, hits AS (SELECT key, title, body, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, key LIMIT 50) JOIN n USING (key)), {snippet_sql(WORDS, "hits")}
+SELECT key, title, score, snippet FROM hits JOIN snips USING (key)""")
 def search_with_snippets(spark, d):
-    """The hits; snippets are checked by tests and only counted on here."""
-    hits = search.search(notes(spark, d), WORDS)
-    return rounded(hits.where(F.col("snippet").contains("<mark>")).drop("snippet"), "score")
+    return rounded(search.search(note_index(spark, d), WORDS), "score")
 
 
 @query(f"WITH {NOTES}, {bm25_sql('the ea')} SELECT key FROM scored")
 def prefix_and_match(spark, d):
-    return search.matching(notes(spark, d), "the ea")
+    return search.matching(note_index(spark, d), "the ea")
 
 
 @query(rf"""WITH t AS (SELECT unnest({TOKENS.format("text")}) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY token""")
@@ -263,13 +292,15 @@ def related_unlinked(spark, d):
     return rounded(vectors.related_unlinked(e, linked), "score")
 
 
-@query("""WITH l AS (SELECT 0 AS list_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank, source AS key FROM documents WHERE doc_id < 100
-UNION ALL SELECT 1, row_number() OVER (ORDER BY doc_id) - 1, source FROM documents WHERE doc_id < 50) SELECT key, round(sum(1 / (61 + rank)), 6) AS score FROM l GROUP BY key""")
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank, c_custkey AS key FROM customer
+UNION ALL SELECT row_number() OVER (ORDER BY orders DESC, key) - 1, key FROM (SELECT o_custkey AS key, count(*) AS orders FROM orders GROUP BY 1) QUALIFY row_number() OVER (ORDER BY orders DESC, key) <= 30)
+SELECT key, round(sum(1 / (61 + rank)), 6) AS score FROM l WHERE rank < 50 GROUP BY key""")
 def rrf_fuse(spark, d):
-    docs = table(spark, d, "documents").withColumnRenamed("source", "key")
-    a = fusion.ranked(docs.where("doc_id < 100"), 0, F.desc("n_chars"), "doc_id")
-    b = fusion.ranked(docs.where("doc_id < 50"), 1, "doc_id")
-    return rounded(fusion.rrf(a.unionByName(b)), "score")
+    """Two ranked lists of customers fused: the 50 of highest balance and the 30 with most orders, out of all."""
+    top = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal").orderBy(F.desc("c_acctbal"), "key").limit(50)
+    busy = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders")).orderBy(F.desc("orders"), "key").limit(30)
+    lists = fusion.ranked(top, 0, F.desc("c_acctbal"), "key").unionByName(fusion.ranked(busy, 1, F.desc("orders"), "key"))
+    return rounded(fusion.rrf(lists), "score")
 
 
 QUESTION = "the thin erst of anon"
@@ -282,10 +313,17 @@ def vector_sql(rows: str, key: str, text: str) -> str:
     near AS (SELECT k.key, 2 - 2 * COALESCE(sum(a.x * b.x), 0) AS distance FROM (SELECT DISTINCT key FROM unit WHERE key >= 0) k LEFT JOIN unit a ON a.key = k.key LEFT JOIN unit b ON b.key = -1 AND a.dim = b.dim GROUP BY k.key)"""
 
 
-def document_chunks(spark, d):
-    """Every document as one chunk, with its vector."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("ord"), "text")
-    return vectors.hashed_embedding(docs)
+def document_chunks(spark, d, again=False):
+    """Every document as one chunk, with its vector: file, ord, text, embedding; embedded once and stored."""
+    docs = lambda: table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("ord"), "text")
+    return indexed.stored(spark, "vectors", d, lambda: vectors.hashed_embedding(docs()), again)
+
+
+@query(r"SELECT doc_id AS file, len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 AS filled FROM documents")
+def vectors_build(spark, d):
+    """The documents' vectors made anew: unit vectors, zero where a text has no word."""
+    v = document_chunks(spark, d, again=True)
+    return v.select("file", F.round(tx.dot(F.col("embedding"), F.col("embedding")), 3).alias("x")).select("file", F.when(F.col("x").isin(0.0, 1.0), F.col("x") == 1.0).alias("filled"))
 
 
 HYBRID = f"""{NOTES}, {bm25_sql(QUESTION)}, {vector_sql("documents", "doc_id", "text")},
@@ -305,26 +343,35 @@ ORDER BY sum(1 / (61 + rank)) DESC, min((NOT semantic)::INT * -1), key LIMIT 200
 def hybrid_fusion(spark, d):
     """Text and vector hits of a question fused; all fused rows."""
     _, near = _question_hits(spark, d, 30)
-    texts = search.bm25(notes(spark, d), QUESTION).orderBy(F.desc("score"), "key").limit(50)
+    texts = search.bm25(note_index(spark, d), QUESTION).orderBy(F.desc("score"), "key").limit(50)
     fused = fusion.rrf(fusion.ranked(texts, 0, F.desc("score"), "key").unionByName(fusion.ranked(near, 1, "distance", "key")))
     return rounded(fused.join(near.select("key", F.lit(True).alias("semantic")), "key", "left").select("key", "score", F.coalesce("semantic", F.lit(False)).alias("semantic")), "score")
 
 
-@query()
+@query(f"""WITH {HYBRID}, hits AS (SELECT key, title, body FROM texts JOIN n USING (key)), {snippet_sql(QUESTION, "hits")},
+fused AS (SELECT key, sum(1 / (61 + rank)) AS s, bool_or(semantic) AS semantic, min((semantic::INT, rank)) AS first FROM (SELECT key, rank, false AS semantic FROM texts UNION ALL SELECT key, rank, true FROM nearest) GROUP BY key ORDER BY round(s, 12) DESC, first LIMIT 50)
+SELECT key, title, round(s, 6) AS score, semantic, COALESCE(snippet, left(trim(regexp_replace(body, '\\s+', ' ', 'g')), 180)) AS snippet FROM fused JOIN n USING (key) LEFT JOIN snips USING (key)""")
 def hybrid_search(spark, d):
-    docs = notes(spark, d)
-    return fusion.hybrid_notes(docs, document_chunks(spark, d), QUESTION, vectors.embed_text(QUESTION, 384, {}))
+    v = vectors.embed_text(QUESTION, 384, {})
+    return rounded(fusion.hybrid_notes(note_index(spark, d), document_chunks(spark, d), QUESTION, v), "score")
 
 
-@query()
+ALONE = rf"""n AS (SELECT doc_id AS key, {TOKENS.format("text")} AS tokens FROM documents)"""
+
+
+@query(f"""WITH {ALONE}, {bm25_sql(QUESTION)}, {vector_sql("documents", "doc_id", "text")},
+l AS (SELECT 0 AS list_id, key, row_number() OVER (ORDER BY round(distance, 6), key) - 1 AS rank FROM near QUALIFY rank < 8 UNION ALL SELECT 1, key, row_number() OVER (ORDER BY round(score, 12) DESC, key) - 1 AS rank FROM scored QUALIFY rank < 30)
+SELECT key, key::VARCHAR AS file, '' AS heading, round(sum(1 / (61 + rank)), 6) AS score FROM l GROUP BY key ORDER BY round(sum(1 / (61 + rank)), 12) DESC, min((list_id, rank)) LIMIT 8""")
 def ask_context(spark, d):
+    """The chunks that answer a question's words and vector best, from the stored index and vectors."""
     chunks = document_chunks(spark, d).select(F.col("file").alias("key"), F.col("file").cast("string").alias("file"), F.lit("").alias("heading"), "text", "embedding")
-    return fusion.retrieve_chunks(chunks, QUESTION, vectors.embed_text(QUESTION, 384, {})).drop("text")
+    index = indexed.text_index(spark, "chunks", d, lambda: chunks.select("key", F.lit("").alias("title"), F.col("text").alias("body")))
+    return rounded(fusion.retrieve_chunks(chunks, QUESTION, vectors.embed_text(QUESTION, 384, {}), index=index).drop("text"), "score")
 
 
 @query(f"WITH {NOTES}, {bm25_sql(WORDS)}, r AS (SELECT source, row_number() OVER (ORDER BY score DESC, key) AS nth FROM scored JOIN documents ON key = doc_id ORDER BY score DESC, key LIMIT 20) SELECT source AS file FROM r GROUP BY source")
 def ask_citations(spark, d):
-    hits = search.bm25(notes(spark, d), WORDS).orderBy(F.desc("score"), "key").limit(20).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("file")), "key")
+    hits = search.bm25(note_index(spark, d), WORDS).orderBy(F.desc("score"), "key").limit(20).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("file")), "key")
     return fusion.cited_notes(hits)
 
 

@@ -37,6 +37,36 @@ def test_snippets(notes):
     assert s.startswith("…") and s.endswith("…") and "<mark>needle</mark>" in s
 
 
+def test_one_folding_for_texts_and_queries(spark):
+    import unicodedata
+
+    words = ["tiếng", "ώρα", "résumé", "Ångström", "ЙОГА", "ﬁn", "naïve", "שָׁלוֹם"]
+    rows = [(i, unicodedata.normalize(form, w), "") for i, (w, form) in enumerate((w, f) for w in words for f in ("NFC", "NFD"))]
+    df = spark.createDataFrame(rows, "key long, title string, body string")
+    for i, w in enumerate(words):
+        for form in ("NFC", "NFD"):
+            q = unicodedata.normalize(form, w)
+            assert {2 * i, 2 * i + 1} <= {r["key"] for r in search.matching(df, q).collect()}, (w, form)
+            assert search.query_tokens(q) == df.where(f"key = {2 * i}").select(search.tokens(F.col("title"))).first()[0]
+    assert search.snippet_of(unicodedata.normalize("NFD", "un résumé"), ["resume"]).endswith("</mark>")
+
+
+@pytest.mark.parametrize("query", ["claim", "CLAIM cafe", "the claim", "zzz", "--", "claim claim"])
+def test_index_gives_what_the_scan_gives(notes, tmp_path, query):
+    index = search.build_index(notes, str(tmp_path / "index"))
+    assert (index.total, index.mean) == (4, 15 / 4)
+    for f in (search.matching, search.bm25, search.search):
+        a, b = ([tuple(r) for r in f(x, query).collect()] for x in (notes, index))
+        assert sorted(map(repr, a)) == sorted(map(repr, b))
+    empty = search.build_index(notes.limit(0), str(tmp_path / "none"))
+    assert search.search(empty, query).count() == 0 and search.matching(empty, query).count() == 0
+
+
+def test_index_reads_the_prefix_only(notes, tmp_path):
+    plan = search.matching(search.build_index(notes, str(tmp_path / "i")), "clai")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,clai)" in plan
+
+
 def test_rrf(spark):
     def fuse(*lists):
         rows = [(i, r, k) for i, ks in enumerate(lists) for r, k in enumerate(ks)]
