@@ -97,12 +97,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _ASCII, _ASCII.lower()))
 
 
-def split_words(text: Column) -> Column:
-    """The words of the text with A-Z lowered, in order: WORD's matches, by a split at single spaces."""
-    spaced = lower_ascii(text)
+def words_of(text: Column) -> Column:
+    """The words of the text in order: WORD's matches, by a split at single spaces."""
     for c in "\t\n\x0b\x0c\r":
-        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def split_words(text: Column) -> Column:
+    """words_of(text) with A-Z lowered."""
+    return words_of(lower_ascii(text))
 
 
 def n_words(text: Column) -> Column:

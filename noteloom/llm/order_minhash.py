@@ -6,9 +6,9 @@ spaces changes a few tokens and not all. Every k consecutive tokens form a k-mer
 text, so that repeats differ. A hash deals the numbered k-mers over 2 * tuples bins; each bin selects its minimal one.
 Two neighbouring bins form a tuple whose members keep their text order, and the hash of the ordered tuple is one part
 of the signature. Moving a passage changes the order and so the tuples, which a plain MinHash would not see. A bin that
-is empty borrows the k-mer whose hash is nearest, by exclusive or, to a random number of the bin's own: the minimal one
-of an order of the bin's own. So every tuple is an ordered pair as soon as the text has two k-mers. (Without `dense`
-empty bins stay empty, and a tuple of one bin has no order.)
+is empty borrows the k-mer whose hash is the first from a random number of the bin's own on, cyclically: the minimal
+one of an order of the bin's own. So every tuple is an ordered pair as soon as the text has two k-mers. (Without
+`dense` empty bins stay empty, and a tuple of one bin has no order.)
 
 Everything is one column expression over a row: no explode, no shuffle, memory in proportion to one text.
 Null text counts as empty. A text without tokens has an empty signature; one with fewer than k tokens is one k-mer.
@@ -20,25 +20,34 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import let
+from .base import let, words_of
 
-SOLID = r"[^\x20\x09-\x0D]"
 POS = 28  # bits for a k-mer's place
 
 
 def borrower(number: int) -> int:
-    """The random number of a bin: 63 bits, of which those of the place are 0."""
+    """The random number of a bin: 63 bits, of which those of the place are 1, which no k-mer's are."""
     x = (number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
     x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-    return (x ^ x >> 31) >> 1 >> POS << POS
+    return (x ^ x >> 31) >> 1 | (1 << POS) - 1
+
+
+def marks_of(bins: int, bits: int) -> dict[str, np.ndarray]:
+    """values: the sorted marks, that is one below each bin's first value (and the end) and each bin's random number; begins, numbers: where they stand."""
+    begins, numbers = [(j << bits) - 1 for j in range(bins + 1)], [borrower(j) for j in range(bins)]
+    values = np.sort(np.array(begins + numbers))
+    return {"values": values, "begins": np.searchsorted(values, begins).astype(np.int32), "numbers": np.searchsorted(values, numbers).astype(np.int32)}
 
 
 def tokens(text: Column, token_chars: int = 16, window: int = 4) -> Column:
     """array<string>: runs of at most token_chars; of longer ones, the windows that start at each character."""
-    run = r"(?<!%s)%s{1,%d}(?!%s)" % (SOLID, SOLID, token_chars, SOLID)
-    # what is consumed is a whole run or one character of a longer one; group 1 is the token, which may reach beyond
-    return F.regexp_extract_all(text, F.lit(r"(?=(%s|%s{1,%d}))(?:%s|%s)" % (run, SOLID, window, run, SOLID)), F.lit(1))
+    long = lambda w: F.length(w) > token_chars
+
+    def windows(run: Column) -> Column:
+        return let(F.split(run, ""), lambda c: F.transform(c, lambda x, i: F.concat(x, *[F.coalesce(F.get(c, i + d), F.lit("")) for d in range(1, window)])))
+
+    return let(words_of(text), lambda w: F.when(F.exists(w, long), F.flatten(F.transform(w, lambda x: F.when(long(x), windows(x)).otherwise(F.array(x))))).otherwise(w))
 
 
 def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16, dense: bool = True, window: int = 4) -> Column:
@@ -71,8 +80,9 @@ def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16,
 
         return F.when(F.size(s) == 0, F.array().cast("array<long>")).otherwise(let(first, run))
 
+    bin_of = lambda x: F.shiftright(x, 63 - bin_bits)
+
     def minima(v: Column) -> Column:
-        bin_of = lambda x: F.shiftright(x, 63 - bin_bits)
         return F.filter(v, lambda x, i: (i == 0) | (bin_of(F.get(v, i - 1)) != bin_of(x)))
 
     def hashed(number: Column, a: Column, b: Column) -> Column:
@@ -87,25 +97,39 @@ def signature(text: Column, k: int = 3, tuples: int = 64, token_chars: int = 16,
 
         return F.transform(F.filter(pairs, lambda p: p["lead"]), lambda p: hashed(number(p["a"]), p["a"], p["b"]))
 
-    def filled(m: Column, v: Column) -> Column:
-        """All tuples: m holds the minima of the bins that have one, v all values, from which the other bins borrow."""
+    def completed(v: Column) -> Column:
+        """All tuples of the sorted values; a bin without one borrows.
+
+        Marks (where bins begin, and the bins' random numbers) are sorted in among the values; the place of a mark less
+        the marks before it is the number of values below it.
+        """
+        n = F.size(v)
+        known = lambda name, i: F.get(F.lit(marks[name]), i.cast("int"))
+
+        def tuples_of(below: Column) -> Column:
+            def pair(t: Column) -> Column:
+                first = lambda j: F.get(below, known("begins", j))
+                own = lambda j: F.when(first(j) < first(j + 1), F.get(v, first(j)))
+
+                def borrowed(j: Column, other: Column) -> Column:
+                    other_than = lambda x: F.when(other.isNull() | (x != other), x)
+                    return let(F.get(below, known("numbers", j)), lambda i: F.coalesce(other_than(F.get(v, i % n)), other_than(F.get(v, (i + 1) % n))))
+
+                both = lambda a, y: hashed(t, a, F.coalesce(F.when(y != a, y), borrowed(2 * t + 1, a)))
+                return let(own(2 * t + 1), lambda y: let(F.coalesce(own(2 * t), borrowed(2 * t, y), y), lambda a: both(a, y)))
 
-        def pair(t: Column, bins: Column) -> Column:
-            own = lambda j: F.get(m, (F.array_position(bins, j) - 1).cast("int"))
-            near = lambda j, other: F.array_min(F.transform(v, lambda x: F.when(other.isNull() | (x != other), x.bitwiseXOR(F.get(borrowers, j.cast("int")))))).bitwiseXOR(F.get(borrowers, j.cast("int")))
-            both = lambda a, y: hashed(t, a, F.coalesce(F.when(y != a, y), near(2 * t + 1, a)))
-            return let(own(2 * t + 1), lambda y: let(F.coalesce(own(2 * t), near(2 * t, y), y), lambda a: both(a, y)))
+            return F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)).cast("array<long>"), pair)
 
-        return F.when(F.size(m) == 2 * tuples, ordered(m)).when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(
-            let(F.transform(m, lambda x: F.shiftright(x, 63 - bin_bits)), lambda bins: F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)).cast("array<long>"), lambda t: pair(t, bins)))
-        )
+        at = lambda all_: F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: F.get(all_, i).bitwiseAND(place) == place)
+        below = let(F.sort_array(F.concat(v, F.lit(marks["values"]))), lambda all_: F.transform(at(all_), lambda p, k: p - k))
+        return F.when(n == 0, F.array().cast("array<long>")).otherwise(let(below, tuples_of))
 
     packed = let(tokens(F.coalesce(text, F.lit("")), token_chars, window), kmers)
     values = let(F.sort_array(packed), numbered)
     if not dense:
-        return let(let(F.sort_array(values), minima), ordered)
-    borrowers = F.lit(np.array([borrower(j) for j in range(2 * tuples)]))
-    return let(F.sort_array(values), lambda v: let(minima(v), lambda m: filled(m, v)))
+        return let(F.sort_array(values), lambda v: let(minima(v), ordered))
+    marks = marks_of(2 * tuples, 63 - bin_bits)
+    return let(F.sort_array(values), completed)
 
 
 def as_text(sig: Column) -> Column:

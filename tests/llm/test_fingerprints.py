@@ -99,7 +99,7 @@ def borrowed(text, k=3, tuples=64):
         pair = [min((v for v in values if v >> 56 == j), default=None) for j in (2 * t, 2 * t + 1)]
         for i in (0, 1):
             if pair[i] is None:
-                pair[i] = min((v for v in values if v != pair[1 - i]), key=lambda v: v ^ o.borrower(2 * t + i), default=None)
+                pair[i] = min((v for v in values if v != pair[1 - i]), key=lambda v: (v - o.borrower(2 * t + i)) % (1 << 63), default=None)
         members = sorted((v for v in pair if v is not None), key=lambda v: v & ((1 << 28) - 1))
         out.append(f"{(t << 32) | (xx(*[v >> 28 for v in members]) & 0xFFFFFFFF):010x}")
     return "".join(out)
