@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
-from .workspace import cut
+from .workspace import cut, numbered
 
 
 def resolved(files: DataFrame, triples: DataFrame) -> DataFrame:
@@ -170,26 +170,48 @@ def sweep(ids: list[str], pairs: list[tuple[str, str]], sweeps: int = 20) -> dic
     return labels
 
 
-def communities(node_ids: DataFrame, edge_rows: DataFrame, sweeps: int = 20) -> DataFrame:
+def communities(node_ids: DataFrame, edge_rows: DataFrame, sweeps: int = 20, most: int = 5_000_000) -> DataFrame:
     """id, community (numbered by first appearance in id order).
 
-    The sweep is sequential, but labels never leave a connected component, so each component is a task of its own.
+    The sweep is sequential by definition (each node sees the labels that the nodes before it have just taken), but
+    labels never leave a connected component, so each component is a task of its own. One of more than `most` nodes
+    and edges raises before any task starts, since it would not fit a worker: slice the graph first.
     """
     edge_rows = cut(edge_rows)
     c = components(node_ids, edge_rows)
     known = c.select(F.col("id").alias("source"), "component")
     link = edge_rows.join(known, "source").join(c.select(F.col("id").alias("target")), "target").select("component", "source", "target")
-    both = c.select("component", F.col("id").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(link)
+    both = cut(c.select("component", F.col("id").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(link))
+    largest = both.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a component of {largest} nodes and edges; label sweeps take at most {most}")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         e = f[f.target.notna()]
         labels = sweep(f.source[f.target.isna()].tolist(), list(zip(e.source, e.target, strict=True)), sweeps)
         return pd.DataFrame({"id": list(labels), "label": list(labels.values())})
 
-    got = both.groupBy("component").applyInPandas(run, "id string, label string")
-    first = got.groupBy("label").agg(F.min("id").alias("first"))
-    numbered = first.withColumn("community", (F.row_number().over(Window.orderBy("first")) - 1).cast("long"))  # one row per community
-    return got.join(numbered, "label").select("id", "community")
+    got = cut(both.groupBy("component").applyInPandas(run, "id string, label string"))
+    first = numbered(got.groupBy("label").agg(F.min("id").alias("first")), "community", "first")
+    return got.join(first, "label").select("id", "community")
+
+
+def without_relations(node_rows: DataFrame, edge_rows: DataFrame, relations: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A slice as a legend shows it with some relations switched off: their edges go, the nodes stay."""
+    return node_rows, edge_rows.where(~F.col("relation").isin(relations) | F.col("relation").isNull()) if relations else edge_rows
+
+
+def without_nodes(node_rows: DataFrame, edge_rows: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A slice without the nodes of hidden (id) and the edges that touch them."""
+    gone = hidden.select("id").distinct()
+    left = edge_rows.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+    return node_rows.join(gone, "id", "left_anti").select(*node_rows.columns), left.select(*edge_rows.columns)
+
+
+def incident(edge_rows: DataFrame, node: str) -> DataFrame:
+    """direction (in, out), relation, other of every edge that touches node."""
+    out = edge_rows.where(F.col("source") == node).select(F.lit("out").alias("direction"), "relation", F.col("target").alias("other"))
+    return out.unionByName(edge_rows.where(F.col("target") == node).select(F.lit("in").alias("direction"), "relation", F.col("source").alias("other")))
 
 
 def folder_groups(node_rows: DataFrame) -> DataFrame:

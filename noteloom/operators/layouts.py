@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import min_cut
-from .workspace import cut
+from .workspace import cut, numbered
 
 W, H = 800.0, 600.0
 
@@ -132,7 +132,8 @@ def block_positions(ids, pairs, width=W, height=H) -> dict:
 
 
 def blocks_layout(node_ids: DataFrame, edge_rows: DataFrame, **options) -> DataFrame:
-    return _one_group(node_ids, edge_rows, lambda ids, pairs: block_positions(ids, pairs, **options))
+    """At most 2,000 nodes, as bisected(): its cuts are cubic."""
+    return _one_group(node_ids, edge_rows, lambda ids, pairs: block_positions(ids, pairs, **options), 2000)
 
 
 def hops(node_ids: DataFrame, edge_rows: DataFrame, centre: str) -> DataFrame:
@@ -170,8 +171,8 @@ def groups_layout(communities: DataFrame, width: float = W, height: float = H) -
     """id, community, x, y: communities by size on a ring, each one's nodes by id on a circle around its place."""
     small = min(width, height)
     sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("m"))
-    order = Window.orderBy(F.desc("m"), "community")  # one row per community
-    ranked = sizes.withColumn("g", F.row_number().over(order) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy()))
+    ranked = numbered(sizes, "g", F.desc("m"), "community")
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("k"))))  # one row
     ring = F.when(F.col("k") == 1, 0.0).otherwise(0.32 * small)
     a = 2 * math.pi * F.col("g") / F.col("k") - math.pi / 2
     own = 0.05 * small * F.sqrt("m")

@@ -6,7 +6,9 @@ Block structure is sequential within a note, so parsing runs per row in Arrow ba
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql.functions import udtf
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*))?$")
-_FIELD = re.compile(r"^[ \t>]*([A-Za-z][A-Za-z0-9_ -]*?)\s*::\s*(\S.*?)\s*$")
+_KEY_SIGNS = frozenset("_ -")
 _LIST = re.compile(r"^\s*(?:[-*+]|\d{1,9}[.)])\s+")
 _QUOTE = re.compile(r"^(?: {0,3}> ?)+")
 
@@ -24,6 +26,21 @@ def clean_target(inner: str) -> str:
     return inner.split("|")[0].split("#")[0].strip()
 
 
+def heading_of(line: str) -> tuple[int, str] | None:
+    """(level, text) of a line that starts with one to six # and white space."""
+    text = line.lstrip("#")
+    level = len(line) - len(text)
+    return (level, text.strip()) if 1 <= level <= 6 and text[:1].isspace() else None
+
+
+def field_of(line: str) -> tuple[str, str] | None:
+    """(key, value) of a typed field, key:: value; the key starts with a letter, the value is not blank."""
+    key, sign, value = line.partition("::")
+    key, value = key.lstrip(" \t>").rstrip(), value.strip()
+    plain = key.isascii() and key[:1].isalpha() and all(c.isalnum() or c in _KEY_SIGNS for c in key)
+    return (key, value) if sign and plain and value else None
+
+
 def code_lines(lines: list[str]) -> list[bool]:
     """Whether each line belongs to a fenced or an indented code block."""
     out, fence, paragraph, in_list = [], None, False, False
@@ -96,13 +113,11 @@ def harvest_note(path: str, content: str) -> tuple[str, list[tuple[str, str, str
         if m:
             flush()
     flush()
-    for raw, is_code in zip(lines, code, strict=True):
-        m = None if is_code else _FIELD.match(raw)
-        if m:
-            only = re.match(r"^\[\[(.+)\]\]$", m[2])
-            value = clean_target(only[1]) if only else m[2]
-            if value:
-                triples.append((name, m[1], value))
+    for key, value in filter(None, (field_of(raw) for raw, is_code in zip(lines, code, strict=True) if not is_code)):
+        if len(value) > 4 and value.startswith("[[") and value.endswith("]]"):
+            value = clean_target(value[2:-2])
+        if value:
+            triples.append((name, key, value))
     return title or name, triples
 
 
@@ -121,31 +136,38 @@ def triples_of(harvested: DataFrame) -> DataFrame:
     return harvested.select(F.col("path").alias("source_file"), F.explode("triples").alias("t")).select("t.subject", "t.relation", "t.object", "source_file")
 
 
-def chunk_markdown(content: str, most: int = 1600) -> list[tuple[str, int, int, str]]:
-    """(heading path, start, end, text): runs of lines under one heading, of at most `most` characters where lines allow."""
-    out, stack, heading, buffer, start, at = [], [], "", "", 0, 0
+def sections(content: str) -> Iterator[tuple[str, int, list[int]]]:
+    """(heading path, start, ends of the lines) of what stands between headings; an end counts the line's break."""
+    ends = list(accumulate(len(line) + 1 for line in content.split("\n")))
+    path: dict[int, str] = {}
+    first, inside = 0, []
+    for start, end in zip([0, *ends], ends, strict=False):
+        head = heading_of(content[start : end - 1])
+        if head is None:
+            inside.append(end)
+            continue
+        yield " > ".join(path[x] for x in sorted(path) if path[x]), first, inside
+        path = {x: t for x, t in path.items() if x < head[0]} | {head[0]: head[1]}
+        first, inside = end, []
+    yield " > ".join(path[x] for x in sorted(path) if path[x]), first, inside
 
-    def flush(end: int) -> None:
-        if buffer.strip():
-            out.append((heading, start, end, buffer.strip()))
 
-    for line in content.split("\n"):
-        m = re.match(r"^(#{1,6})\s+(.*)$", line)
-        if m:
-            flush(at)
-            buffer = ""
-            level = len(m[1])
-            stack = (stack + [""] * level)[: level - 1] + [m[2].strip()]
-            heading = " > ".join(x for x in stack if x)
-        else:
-            if buffer.strip() and len(buffer) + len(line) + 1 > most:
-                flush(at)
-                buffer = ""
-            if not buffer:
-                start = at
-            buffer += line + "\n"
-        at += len(line) + 1
-    flush(len(content))
+def chunk_markdown(content: str, most: int = 1600) -> list[tuple[str, int, int, str]]:
+    """(heading path, start, end, text): lines under one heading, cut before the line that would exceed `most` characters.
+
+    A cut needs text before it, so blank lines and a line longer than `most` stay whole.
+    """
+    out = []
+    for heading, start, ends in sections(content):
+        cuts, filled, at = [start], False, start
+        for end in ends:
+            if filled and end - cuts[-1] > most:
+                cuts.append(at)
+                filled = False
+            filled, at = filled or not content[at:end].isspace() and at < len(content), end
+        for x, y in pairwise([*cuts, min(at, len(content))]):
+            if text := content[x:y].strip():
+                out.append((heading, x, y, text))
     return out
 
 
@@ -160,30 +182,75 @@ def chunks(notes: DataFrame, most: int = 1600) -> DataFrame:
     return notes.select("path", "content").mapInPandas(run, "file string, ord int, heading string, start long, end long, text string, embed_text string")
 
 
+def pieces(text: str) -> Iterator[tuple[bool, str]]:
+    """(is a link, inner text) of the parts of text, in order; a link is [[ ]] around text without ]."""
+    at = 0
+    while (start := text.find("[[", at)) >= 0:
+        end = text.find("]", start + 2)
+        if end > start + 2 and text.startswith("]]", end):
+            yield False, text[at:start]
+            yield True, text[start + 2 : end]
+            at = end + 2
+        else:
+            yield False, text[at : start + 1]
+            at = start + 1
+    yield False, text[at:]
+
+
+def shown(text: str) -> str:
+    """text with each link replaced by its alias, else its page."""
+    alias = lambda x: (x.split("|")[1] if "|" in x else x.split("#")[0]).strip()
+    return "".join(alias(x) if is_link else x for is_link, x in pieces(text))
+
+
+def first_target(text: str) -> str | None:
+    return next((clean_target(x) for is_link, x in pieces(text) if is_link), None)
+
+
+def item_of(line: str) -> tuple[int, str] | None:
+    """(indent, text) of a bullet."""
+    text = line.lstrip()
+    bullet = text[:1] in ("-", "*", "+") and text[1:2].isspace()
+    return (len(line) - len(text), text[2:].strip()) if bullet else None
+
+
+def relation_of(text: str) -> tuple[str, str, str] | None:
+    """(source, relation, target) of a text of two links with words between them."""
+    parts = list(pieces(text))
+    links = [i for i, (is_link, _) in enumerate(parts) if is_link]
+    if len(links) < 2 or links[0] != 1 or parts[0][1] or links[-1] != len(parts) - 2 or parts[-1][1]:
+        return None
+    middle = "".join(f"[[{x}]]" if is_link else x for is_link, x in parts[2:-2])
+    if not (middle[:1].isspace() and middle[-1:].isspace() and middle.strip()):
+        return None
+    return clean_target(parts[1][1]), middle.strip(), clean_target(parts[-2][1])
+
+
 def parse_map(content: str) -> tuple[str | None, list[tuple], list[tuple]]:
-    """Title, nodes (id, parent id, place among siblings, depth, label, target) and edges (source, relation, target)."""
-    link = re.compile(r"\[\[([^\]]+?)\]\]")
-    shown = lambda x: (x.split("|")[1] if "|" in x else x.split("#")[0]).strip()
-    plain = lambda s: link.sub(lambda m: shown(m[1]), s)
-    title, nodes, edges, stack, in_edges, kids = None, [], [], [], False, {}
-    for raw in content.split("\n"):
-        line = raw.replace("\t", "  ")
-        if m := re.match(r"^(#{1,6})\s+(.*)$", line):
-            text = m[2].strip()
-            if title is None and len(m[1]) == 1:
-                title = plain(text)
-            in_edges, stack = text.lower() == "edges", []
-        elif in_edges:
-            if m := re.match(r"^\s*[-*+]\s+\[\[([^\]]+?)\]\]\s+(.+?)\s+\[\[([^\]]+?)\]\]\s*$", line):
-                edges.append((clean_target(m[1]), m[2].strip(), clean_target(m[3])))
-        elif m := re.match(r"^(\s*)[-*+]\s+(.*)$", line):
-            indent, text = len(m[1]), m[2].strip()
-            while stack and stack[-1][0] >= indent:
-                stack.pop()
-            parent, first = stack[-1][1] if stack else None, link.search(text)
-            kids[parent] = kids.get(parent, -1) + 1
-            nodes.append((len(nodes), parent, kids[parent], len(stack), plain(text), clean_target(first[1]) if first else None))
-            stack.append((indent, nodes[-1][0]))
+    """Title, nodes (id, parent id, place among siblings, depth, label, target) and edges (source, relation, target).
+
+    Headings part the map; under one named edges, bullets are relations, elsewhere nodes. A node's parent is the
+    nearest bullet above, under the same heading, with a smaller indent. A tab is two spaces.
+    """
+    lines = content.replace("\t", "  ").split("\n")
+    heads = [heading_of(x) for x in lines]
+    title = next((shown(h[1]) for h in heads if h and h[0] == 1), None)
+    part = list(accumulate(h is not None for h in heads))
+    of_edges = {p for p, h in zip(part, heads, strict=True) if h and h[1].lower() == "edges"}
+    items = [(p, *item) for p, h, item in zip(part, heads, map(item_of, lines), strict=True) if item and not h]
+    edges = [e for p, _, text in items if p in of_edges and (e := relation_of(text))]
+    outline = [x for x in items if x[0] not in of_edges]
+    parents: list[int | None] = []
+    for i, (p, indent, _) in enumerate(outline):
+        above = i - 1 if i else None
+        while above is not None and (outline[above][0] != p or outline[above][1] >= indent):
+            above = parents[above] if outline[above][0] == p else None
+        parents.append(above)
+    nodes, siblings, depths = [], Counter(), []
+    for i, (parent, (_, _, text)) in enumerate(zip(parents, outline, strict=True)):
+        depths.append(0 if parent is None else depths[parent] + 1)
+        nodes.append((i, parent, siblings[parent], depths[i], shown(text), first_target(text)))
+        siblings[parent] += 1
     return title, nodes, edges
 
 

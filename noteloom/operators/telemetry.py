@@ -35,22 +35,29 @@ def worst(samples: DataFrame, k: int = 6) -> DataFrame:
     return samples.orderBy(F.desc("ms"), "at").limit(k)
 
 
-def rolling(samples: DataFrame, minutes: int = 5, block_days: int = 1) -> DataFrame:
+def rolling(samples: DataFrame, minutes: int = 5, block_minutes: int = 60) -> DataFrame:
     """samples with n, mean and worst over the window that ends at each sample.
 
-    Days are separate tasks: a row near a day's start also needs the end of the day before, so each sample is also
-    sent to the next day if it can matter there.
+    Blocks of time are separate tasks: a row near a block's start also needs the end of the block before, so each
+    sample is also sent to the next block if it can matter there. A block is at least as long as the window.
     """
     span = minutes * 60 * 1_000_000
-    day = block_days * 86_400_000_000
+    size = max(minutes, block_minutes) * 60 * 1_000_000
     t = samples.withColumn("_t", F.unix_micros(F.col("at").cast("timestamp")))
-    block = F.floor(F.col("_t") / day)
-    t = t.withColumn("_b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_t") + span) / day))))).withColumn("_own", F.col("_b") == block)
+    block = F.floor(F.col("_t") / size)
+    t = t.withColumn("_b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_t") + span) / size))))).withColumn("_own", F.col("_b") == block)
     w = Window.partitionBy("_b").orderBy("_t").rangeBetween(-span, Window.currentRow)
     out = t.withColumn("n", F.count("ms").over(w)).withColumn("mean", F.avg("ms").over(w)).withColumn("worst", F.max("ms").over(w))
     return out.where("_own").drop("_t", "_b", "_own")
 
 
+def sparkline(samples: DataFrame, height: int = 16, by: str = "at") -> DataFrame:
+    """by, level: ms scaled between its least and largest value to 0..height; the middle if all are equal."""
+    ends = samples.agg(F.min("ms").alias("_lo"), F.max("ms").alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("ms") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+    return samples.crossJoin(F.broadcast(ends)).select(by, F.round(share * height).cast("int").alias("level"))  # one row
+
+
 def progress(loaded: Column, total: Column) -> Column:
     """Share of bytes loaded, at most 1; null without a total. Aggregates over rows."""
     return F.when(F.sum(total) > 0, F.least(F.lit(1.0), F.sum(loaded) / F.sum(total)))

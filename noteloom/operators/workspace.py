@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
 def few(df: DataFrame) -> DataFrame:
     """A result that a limit bounds, computed once: its rows become a local table."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with a column of numbers from 0 in the given total order, without bringing all rows to one task.
+
+    Rows are dealt into ranges of the order; a range's rows are numbered inside, after the counts of the ranges before.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    both = ranged.withColumn("_nth", inside).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return both.withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_range", "_nth", "_before")

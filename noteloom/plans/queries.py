@@ -443,13 +443,13 @@ def folder_colours(spark, d):
     return graph.folder_groups(graph.nodes(star_files(spark, d), star_edges(spark, d)))
 
 
-def small_graph(spark, d):
-    """The edges among nations and regions, and suppliers to nations."""
-    e = star_edges(spark, d).where("relation in ('part_of', 'located_in')")
+def star_graph(spark, d):
+    """All nodes and edges of the star tables, customers and segments too."""
+    e = star_edges(spark, d)
     return graph.nodes(star_files(spark, d), e), e
 
 
-SMALL = f"{EDGES}, e AS (SELECT source, target FROM edges WHERE relation IN ('part_of', 'located_in')), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e), outs AS (SELECT source, count(*) AS o FROM e GROUP BY source)"
+WHOLE = f"{EDGES}, e AS (SELECT source, target FROM edges), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e), outs AS (SELECT source, count(*) AS o FROM e GROUP BY source)"
 
 
 def pagerank_sql(iterations: int) -> str:
@@ -459,49 +459,27 @@ def pagerank_sql(iterations: int) -> str:
             f"r{i + 1} AS MATERIALIZED (SELECT id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (COALESCE(got, 0) + (SELECT COALESCE(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT source FROM outs)) / (SELECT count(*) FROM ids)) AS rank "
             f"FROM ids LEFT JOIN (SELECT target AS id, sum(rank / o) AS got FROM e JOIN r{i} ON e.source = r{i}.id JOIN outs USING (source) GROUP BY target) USING (id))"
         )
-    return f"WITH {SMALL}, {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{iterations}"
+    return f"WITH {WHOLE}, {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{iterations}"
 
 
 @query(pagerank_sql(50))
 def pagerank(spark, d):
-    n, e = small_graph(spark, d)
+    n, e = star_graph(spark, d)
     return rounded(graph.pagerank(n, e), "rank")
 
 
-@query(f"WITH RECURSIVE {SMALL}, b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e), reach(id, other) AS (SELECT id, id FROM ids UNION SELECT reach.id, y FROM reach JOIN b ON other = x) SELECT id, min(other) AS component FROM reach GROUP BY id")
+@query(f"WITH RECURSIVE {WHOLE}, b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e), reach(id, other) AS (SELECT id, id FROM ids UNION SELECT reach.id, y FROM reach JOIN b ON other = x) SELECT id, min(other) AS component FROM reach GROUP BY id")
 def graph_components(spark, d):
-    n, e = small_graph(spark, d)
+    n, e = star_graph(spark, d)
     return graph.components(n, e)
 
 
-def star_graph(spark, d):
-    """All nodes and edges of the star tables, customers and segments too."""
-    e = star_edges(spark, d)
-    return graph.nodes(star_files(spark, d), e), e
-
-
-@query()
-def pagerank_star(spark, d):
-    """pagerank over the whole graph; the SQL of pagerank, and so its rows, are those of small_graph()."""
-    return rounded(graph.pagerank(*star_graph(spark, d)), "rank")
-
-
-@query()
-def components_star(spark, d):
-    return graph.components(*star_graph(spark, d))
-
-
-@query()
-def radial_star(spark, d):
-    return layouts.radial_layout(*star_graph(spark, d)).withColumns({c: F.round(c, 4) for c in "xy"})
-
-
 @query()
 def communities(spark, d):
     return graph.communities(*star_graph(spark, d))
 
 
-RINGS = f"""{SMALL}, b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e), deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id),
+RINGS = f"""{WHOLE}, b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e), deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id),
 c AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), walk(id, ring) AS (SELECT id, 0 FROM c UNION SELECT y, ring + 1 FROM walk JOIN b ON id = x WHERE ring < 8), near AS (SELECT id, min(ring) AS ring FROM walk GROUP BY id),
 rings AS (SELECT id, COALESCE(ring, (SELECT max(ring) + 1 FROM near)) AS ring FROM ids LEFT JOIN near USING (id))"""
 
@@ -509,12 +487,13 @@ rings AS (SELECT id, COALESCE(ring, (SELECT max(ring) + 1 FROM near)) AS ring FR
 @query(f"""WITH RECURSIVE {RINGS}, p AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY ring ORDER BY id) - 1) / count(*) OVER (PARTITION BY ring) - pi() / 2 AS a, ring * 252.0 / (SELECT greatest(1, max(ring)) FROM rings) AS r FROM rings)
 SELECT id, ring::INTEGER AS ring, round(400 + r * cos(a), 4) AS x, round(300 + r * sin(a), 4) AS y FROM p""")
 def radial_layout(spark, d):
-    n, e = small_graph(spark, d)
+    n, e = star_graph(spark, d)
     return layouts.radial_layout(n, e).withColumns({c: F.round(c, 4) for c in "xy"})
 
 
 @query()
 def groups_layout(spark, d):
+    """Communities on a ring; the numbers of the communities are those of the query of that name."""
     return layouts.groups_layout(graph.communities(*star_graph(spark, d)))
 
 
@@ -540,7 +519,7 @@ def tree_layout(spark, d):
 
 @query()
 def blocks_layout(spark, d):
-    return layouts.blocks_layout(*capped_graph(spark, d))
+    return layouts.blocks_layout(*capped_graph(spark, d, 2000))
 
 
 # --- distillation --------------------------------------------------------------------------------------------------

@@ -50,7 +50,7 @@ def test_ground(spark):
 def test_trigrams(spark):
     s = lambda a, b: one(spark, tx.trigram_similarity(F.lit(a), F.lit(b)))
     assert s("same", "same") == 1 and s("", "") == 1
-    assert s("Political faction", "Political factions") > 0.5 and s("apple", "quantum field") < 0.2
+    assert s("Political lantern", "Political lanterns") > 0.5 and s("apple", "quantum field") < 0.2
 
 
 def note(title, *spans, links=()):
@@ -58,34 +58,34 @@ def note(title, *spans, links=()):
 
 
 def test_dedup():
-    got, merged = distill.dedup_notes([note("Faction", (0, 5), links="x"), note("Faction", (10, 15), links="xy")])
+    got, merged = distill.dedup_notes([note("Lantern", (0, 5), links="x"), note("Lantern", (10, 15), links="xy")])
     assert merged == 1 and len(got[0]["citations"]) == 2 and len(got[0]["links"]) == 2
     assert len(distill.dedup_notes([note("One", (0, 5)), note("Entirely else", (0, 5))])[0]) == 1
     assert len(distill.dedup_notes([note("One", (0, 5)), note("Entirely else", (6, 9))])[0]) == 2
     assert len(distill.dedup_notes([note("One"), note("Entirely else")], similarity=lambda a, b: 0.95)[0]) == 1
-    assert distill.dedup_notes([note("Factions", (0, 1)), note("Faction", (3, 4), (5, 6))])[0][0]["title"] == "Faction"
+    assert distill.dedup_notes([note("Lanterns", (0, 1)), note("Lantern", (3, 4), (5, 6))])[0][0]["title"] == "Lantern"
 
 
 def test_emit(spark):
-    rows = [(0, "Faction", "concept", "S", [("is-a/kind", "Group: x")], [("d/Book.md", 2, 5, 9, "a\n b")]), (1, "faction", "claim", "", [("9", "y")], [])]
+    rows = [(0, "Lantern", "concept", "S", [("is-a/kind", "Tool: x")], [("d/Almanac.md", 2, 5, 9, "a\n b")]), (1, "lantern", "claim", "", [("9", "y")], [])]
     df = spark.createDataFrame(rows, "ord int, title string, kind string, summary string, links array<struct<relation:string,target:string>>, citations array<struct<file:string,chunkId:long,start:long,end:long,quote:string>>")
     a, b = distill.render(distill.unique_names(df)).orderBy("name").collect()
-    assert a["content"] == "---\nkind: concept\nsource: Book\ncite:\n  - chunk: 2\n    span: 5-9\n---\n\n# Faction\n\nsource:: [[Book]]\nis-a_kind:: [[Group x]]\n\nS\n\n> a b\n"
-    assert b["file_name"] == "faction 2.md" and b["content"] == "---\nkind: claim\n---\n\n# faction 2\n"
+    assert a["content"] == "---\nkind: concept\nsource: Almanac\ncite:\n  - chunk: 2\n    span: 5-9\n---\n\n# Lantern\n\nsource:: [[Almanac]]\nis-a_kind:: [[Tool x]]\n\nS\n\n> a b\n"
+    assert b["file_name"] == "lantern 2.md" and b["content"] == "---\nkind: claim\n---\n\n# lantern 2\n"
 
 
 def test_names(spark):
     assert one(spark, tx.note_name(F.lit("Checks/balances: ambition #1"))) == "Checks balances ambition 1"
     assert one(spark, tx.note_name(F.lit("///"))) == "untitled"
     assert [one(spark, tx.is_safe_run_id(F.lit(x))) for x in ("../evil", "a/b", ".hidden", "a..b", "", "sapiens")] == [False] * 5 + [True]
-    assert one(spark, tx.run_id(F.lit("x/My Book (2).pdf"))) == "My-Book-2"
+    assert one(spark, tx.run_id(F.lit("x/Old Almanac (2).pdf"))) == "Old-Almanac-2"
 
 
 def test_run(spark):
-    text = "# Book\n\n" + "\n\n".join(f"## Part {i}\n\nThe {w} of part {i} is told here at length." for i, w in enumerate(("river", "mountain", "harbour", "forest", "desert", "city")))
-    run = distill_documents(spark.createDataFrame([("b/book.md", text)], "path string, content string"))
+    text = "# Almanac\n\n" + "\n\n".join(f"## Part {i}\n\nThe {w} of part {i} is told here at length." for i, w in enumerate(("river", "mountain", "harbour", "forest", "desert", "city")))
+    run = distill_documents(spark.createDataFrame([("b/almanac.md", text)], "path string, content string"))
     names = {r["name"]: r["content"] for r in run.rendered.collect()}
-    assert names and all("source:: [[book]]" in c for c in names.values())
+    assert names and all("source:: [[almanac]]" in c for c in names.values())
     assert run.stats()["chunks"] == 6 and run.stats()["failed"] == 0
     starts = [(c["start"], c["end"], c["quote"]) for r in run.notes.collect() for c in r["citations"]]
     lead = 1  # spans count from the chunk's first line, whose blank start the text has lost

@@ -3,8 +3,11 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from noteloom.operators import graph, layouts
 from noteloom.operators.layouts import block_positions, force_positions, tree_positions
+from noteloom.operators.workspace import numbered
 from noteloom.plans.queries import QUERIES
 
 STAR = "/root/testdata/sf0.001"
@@ -140,17 +143,17 @@ def test_star_queries_against_brute_force(spark):
             for b in out[i]:
                 new[b] += 0.85 * rank[i] / len(out[i])
         rank = new
-    assert {r["id"]: r["rank"] for r in QUERIES["pagerank_star"](spark, STAR).collect()} == pytest.approx(rank, abs=2e-6)
+    assert {r["id"]: r["rank"] for r in QUERIES["pagerank"](spark, STAR).collect()} == pytest.approx(rank, abs=2e-6)
     label = {i: i for i in ids}
     for _ in ids:
         for a, b, _ in edges:
             label[a] = label[b] = min(label[a], label[b])
-    assert {r["id"]: r["component"] for r in QUERIES["components_star"](spark, STAR).collect()} == label
+    assert {r["id"]: r["component"] for r in QUERIES["graph_components"](spark, STAR).collect()} == label
     labels = graph.sweep(ids, [(a, b) for a, b, _ in edges])
     first = sorted({min(i for i in ids if labels[i] == x) for x in set(labels.values())})
     want = {i: first.index(min(j for j in ids if labels[j] == labels[i])) for i in ids}
     assert {r["id"]: r["community"] for r in QUERIES["communities"](spark, STAR).collect()} == want
-    for name in ("groups_layout", "radial_star"):
+    for name in ("groups_layout", "radial_layout"):
         assert sorted(r["id"] for r in QUERIES[name](spark, STAR).collect()) == ids
 
 
@@ -158,3 +161,38 @@ def test_star_queries_against_brute_force(spark):
 @pytest.mark.parametrize("name", ["mincut", "force_layout", "tree_layout", "blocks_layout"])
 def test_one_group_queries_take_the_whole_graph(spark, name):
     assert ids(QUERIES[name](spark, STAR)) == ids(QUERIES["graph_nodes"](spark, STAR))
+
+
+def test_layout_constants(spark):
+    """Seeds stand on 0.3 of the shorter side, a single node in the centre; one community's circle ends at 0.38 of it."""
+    one = layouts.force_positions(["a"], [])
+    assert one["a"] == pytest.approx((400, 300), abs=1e-9)
+    start = layouts.force_positions(list("abcd"), [], iterations=0)
+    assert {k: (round(x, 6), round(y, 6)) for k, (x, y) in start.items()} == {"a": (580, 300), "b": (400, 480), "c": (220, 300), "d": (400, 120)}
+    many = spark.range(400).select(F.format_string("n%03d", "id").alias("id"), F.lit(0).alias("community"))
+    first = layouts.groups_layout(many).orderBy("id").first()
+    assert (first["x"], first["y"]) == pytest.approx((400, 300 - 0.38 * 600))
+    with pytest.raises(Exception, match="at most 2000"):
+        layouts.blocks_layout(spark.range(2001).select(F.col("id").cast("string").alias("id")), spark.createDataFrame([], "source string, target string")).count()
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.col("id").alias("w"))
+    assert [r["v"] for r in numbered(df, "n", F.desc("v")).orderBy("n").collect()] == list(range(999, -1, -1))
+    assert numbered(df.limit(0), "n", "v").count() == 0
+
+
+def test_legend_hide_and_inspector(spark):
+    e = spark.createDataFrame([("a", "b", "r"), ("a", "c", "q"), ("c", "a", "r")], "source string, target string, relation string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert graph.without_relations(n, e, ["r"])[1].count() == 1 and graph.without_relations(n, e, [])[1].count() == 3
+    left, edges = graph.without_nodes(n, e, spark.createDataFrame([("b",)], "id string"))
+    assert {r["id"] for r in left.collect()} == {"a", "c"} and edges.count() == 2
+    assert {tuple(r) for r in graph.incident(e, "a").collect()} == {("out", "r", "b"), ("out", "q", "c"), ("in", "r", "c")}
+
+
+def test_a_giant_component_raises(spark):
+    e = spark.range(50).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    n = spark.range(51).select(F.col("id").cast("string").alias("id"))
+    with pytest.raises(ValueError, match="at most 100"):
+        graph.communities(n, e, most=100)

@@ -17,9 +17,9 @@ from noteloom.streaming import telemetry as stream_telemetry
 def test_merge_and_undo(spark):
     v = spark.createDataFrame([("a.md", "A")], "path string, content string")
     run = spark.createDataFrame([("x.md", "X"), ("y.md", "Y")], "file_name string, content string")
-    merged, manifest = store.merge_run(v, run, "sapiens")
-    assert {r["path"] for r in merged.collect()} == {"a.md", "Distilled/sapiens/x.md", "Distilled/sapiens/y.md"}
-    assert store.undo_merge(merged, manifest, "sapiens").collect() == v.collect()
+    merged, manifest = store.merge_run(v, run, "almanac")
+    assert {r["path"] for r in merged.collect()} == {"a.md", "Distilled/almanac/x.md", "Distilled/almanac/y.md"}
+    assert store.undo_merge(merged, manifest, "almanac").collect() == v.collect()
 
 
 def test_rechunk_only_what_changed(spark):
