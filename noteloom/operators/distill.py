@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,9 +94,10 @@ def parse_extraction(reply: str | None) -> tuple[bool, list[dict]]:
 
     def number(v) -> int | None:
         try:
-            return None if isinstance(v, bool) or v is None else int(float(v))
-        except (TypeError, ValueError, OverflowError):
+            x = float(v)
+        except (TypeError, ValueError):
             return None
+        return int(x) if not isinstance(v, bool) and x.is_integer() else None  # no chunk has a broken number
 
     out = []
     for x in items:
@@ -167,18 +169,28 @@ def dedup_notes(notes: list[dict], title_threshold: float = 0.6, similarity: Cal
         t = f"  {t.strip().lower()} "
         return {t[i : i + 3] for i in range(len(t) - 2)} if t.strip() else set()
 
-    def alike(a: dict, b: dict) -> bool:
-        x, y = grams(a["title"]), grams(b["title"])
-        if (1.0 if not (x | y) else len(x & y) / len(x | y)) >= title_threshold:
-            return True
-        if any(c["file"] == d["file"] and c["start"] < d["end"] and d["start"] < c["end"] for c in a["citations"] for d in b["citations"]):
-            return True
-        return bool(similarity) and similarity(a, b) >= hook_threshold
-
+    own = [grams(n["title"]) for n in notes]
+    holders: dict[str, list[int]] = {}  # notes by a trigram of their title, and by a file they cite
+    citing: dict[str, list[tuple[int, int, int]]] = {}
     groups: list[list[dict]] = []
-    for n in notes:
-        home = next((g for g in groups if any(alike(m, n) for m in g)), None)
-        home.append(n) if home is not None else groups.append([n])
+    group_of: list[int] = []
+    for i, n in enumerate(notes):
+        common = Counter(j for g in own[i] for j in holders.get(g, ()))
+        alike = {j for j, c in common.items() if c / (len(own[i]) + len(own[j]) - c) >= title_threshold}
+        if not own[i] or title_threshold <= 0:
+            alike |= {j for j in range(i) if not own[j] or title_threshold <= 0}
+        alike |= {j for c in n["citations"] for j, start, end in citing.get(c["file"], ()) if c["start"] < end and start < c["end"]}
+        if similarity:
+            alike |= {j for j in range(i) if similarity(notes[j], n) >= hook_threshold}
+        home = min((group_of[j] for j in alike), default=len(groups))
+        if home == len(groups):
+            groups.append([])
+        groups[home].append(n)
+        group_of.append(home)
+        for g in own[i]:
+            holders.setdefault(g, []).append(i)
+        for c in n["citations"]:
+            citing.setdefault(c["file"], []).append((i, c["start"], c["end"]))
     out = []
     for g in groups:
         lead = max(enumerate(g), key=lambda p: (len(p[1]["citations"]), -p[0]))[1]

@@ -1,7 +1,10 @@
 """Incremental tables: replace, remove and re-chunk by key, snapshot differences, and merge or undo of a run.
 
 Tables are DataFrames; each function returns the table's next state, which the caller writes to a new place and
-swaps in (write_table), so readers never meet half a state.
+publishes (write_table, update_table). A table's folder holds versions and numbered manifests that name the parts of
+each state. A manifest appears by one rename to a name that is new, and readers take the one of highest number, so
+there is always a whole state to read. The two newest states stay readable; what only older ones used is deleted. One
+writer at a time.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def replace(table: DataFrame, rows: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
@@ -105,24 +109,96 @@ def undo_merge(vault: DataFrame, manifest: DataFrame, run_id: str) -> DataFrame:
     return vault.join(manifest.where(F.col("run_id") == run_id).select("path"), "path", "left_anti").select(*vault.columns)
 
 
-def write_table(df: DataFrame, base: str) -> str:
-    """Writes df as the next version below base and then points base/current.json at it; returns the version's path."""
-    path = f"{base}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    at, tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/current.json"), jvm.org.apache.hadoop.fs.Path(f"{base}/.current-{uuid.uuid4().hex}")
-    fs = at.getFileSystem(conf)
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    p, fs = _fs(spark, folder)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _manifests(spark: SparkSession, base: str) -> list[str]:
+    return [n for n in _names(spark, base) if n.startswith("manifest-")]
+
+
+def _manifest(spark: SparkSession, base: str, name: str) -> dict:
+    return json.loads(spark.read.text(f"{base}/{name}").first()[0])
+
+
+def _publish(spark: SparkSession, base: str, manifest: dict) -> None:
+    """Make manifest the newest state, and delete what neither it nor the state before uses."""
+    old = _manifests(spark, base)
+    number = int(old[-1][9:-5]) + 1 if old else 0
+    tmp, fs = _fs(spark, f"{base}/.manifest-{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
-    out.write(json.dumps({"path": path}).encode())
+    out.write(json.dumps(manifest).encode())
     out.close()
-    fs.delete(at, False)
-    fs.rename(tmp, at)
-    return path
+    if not fs.rename(tmp, _fs(spark, f"{base}/manifest-{number:010d}.json")[0]):
+        raise RuntimeError(f"another writer has published state {number} of {base}")
+    used = set(manifest["parts"].values())
+    if old:
+        used |= set(_manifest(spark, base, old[-1])["parts"].values())
+    versions = {p.split("/")[0] for p in used}
+    for name in _names(spark, base):
+        if name in old[:-1] or name.startswith("v-") and name not in versions:
+            fs.delete(_fs(spark, f"{base}/{name}")[0], True)
+        elif name.startswith("v-") and name not in used:
+            for part in _names(spark, f"{base}/{name}"):
+                if part.startswith("_bucket=") and f"{name}/{part}" not in used:
+                    fs.delete(_fs(spark, f"{base}/{name}/{part}")[0], True)
+
+
+def write_table(df: DataFrame, base: str) -> str:
+    """Writes df as the table's next state; returns the version's path."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{version}")
+    _publish(df.sparkSession, base, {"schema": df.schema.json(), "parts": {"whole": version}})
+    return f"{base}/{version}"
 
 
 def read_table(spark: SparkSession, base: str) -> DataFrame:
-    at = spark.read.text(f"{base}/current.json").first()[0]
-    return spark.read.parquet(json.loads(at)["path"])
+    names = _manifests(spark, base)
+    if not names:
+        raise FileNotFoundError(f"no table at {base}")
+    m = _manifest(spark, base, names[-1])
+    schema = StructType.fromJson(json.loads(m["schema"]))
+    parts = [f"{base}/{p}" for p in m["parts"].values()]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def update_table(base: str, rows: DataFrame, keys: DataFrame, key: str = "path", buckets: int = 64) -> None:
+    """The table's next state: without the rows of keys, and with rows, whose keys are among them.
+
+    Rows lie in buckets by a hash of their key. Only buckets of keys are read and written anew; the others are taken
+    over from the state before as they are. Doing it twice changes nothing. The number of buckets is the table's, from
+    its first state on.
+    """
+    spark = rows.sparkSession
+    names = _manifests(spark, base)
+    m = _manifest(spark, base, names[-1]) if names else {"schema": rows.schema.json(), "parts": {}, "buckets": buckets}
+    if "buckets" not in m:
+        raise ValueError(f"{base} was written whole; it has no buckets")
+    bucket = F.pmod(F.xxhash64(key), F.lit(m["buckets"])).cast("int")
+    touched = [str(r["b"]) for r in keys.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+    if not touched:
+        return
+    schema = StructType.fromJson(json.loads(m["schema"]))
+    here = [f"{base}/{m['parts'][b]}" for b in touched if b in m["parts"]]
+    now = spark.read.schema(schema).parquet(*here) if here else spark.createDataFrame([], schema)
+    version = f"v-{uuid.uuid4().hex}"
+    replace(now, rows, keys, key).withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{base}/{version}")
+    written = {n.partition("=")[2]: f"{version}/{n}" for n in _names(spark, f"{base}/{version}") if n.startswith("_bucket=")}
+    kept = {b: p for b, p in m["parts"].items() if b not in touched}
+    _publish(spark, base, {**m, "parts": kept | written})
+
+
+def drop_tables(spark: SparkSession, base: str, names: tuple[str, ...] = ("chunks", "vectors", "hashes")) -> None:
+    """Drops a layer: the tables of those names below base are gone, whatever their state; others stay."""
+    for name in names:
+        p, fs = _fs(spark, f"{base}/{name}")
+        fs.delete(p, True)
 
 
 def merge_recents(recents: DataFrame, opened: DataFrame, cap: int = 10) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 
@@ -54,6 +57,38 @@ def payload_text(value: dict) -> str:
     return (choices[0].get("delta") or {}).get("content") or ""
 
 
+#: Public endpoints and the environment variables that hold their keys (fixed values of the providers' interfaces).
+ENDPOINTS = {"anthropic": ("https://api.anthropic.com", "ANTHROPIC_API_KEY"), "openai": ("https://api.openai.com/v1", "OPENAI_API_KEY"), "ollama": ("http://localhost:11434/v1", "")}
+
+
+@dataclass
+class HttpChat:
+    """A model behind one of the two common streaming interfaces. The key comes from the environment, else from `key`."""
+
+    provider: str
+    model: str
+    base_url: str = ""
+    key: str = ""
+    max_tokens: int = 4096
+    timeout: float = 60.0
+
+    def request(self, prompt: str) -> urllib.request.Request:
+        base, variable = ENDPOINTS[self.provider]
+        base, key = (self.base_url or base).rstrip("/"), os.environ.get(variable, "") or self.key
+        body = {"model": self.model, "stream": True, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": prompt}]}
+        if self.provider == "anthropic":
+            url, headers = f"{base}/v1/messages", {"x-api-key": key, "anthropic-version": "2023-06-01"}
+        else:
+            url, headers = f"{base}/chat/completions", {"authorization": f"Bearer {key}"} if key else {}
+        return urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        with urllib.request.urlopen(self.request(prompt), timeout=self.timeout) as reply:
+            for value in event_payloads(line.decode().rstrip("\n") for line in reply):
+                if text := payload_text(value):
+                    yield text
+
+
 def probe(model: ChatModel, seconds: float = 15.0) -> bool:
     """Whether the model gives a first piece of an answer within the time."""
     from concurrent.futures import ThreadPoolExecutor

@@ -5,11 +5,12 @@ All documents run at once; every step is a DataFrame step per document, so the g
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distill, markdown, vectors
@@ -21,17 +22,42 @@ LINK = "struct<relation:string,target:string>"
 
 @dataclass
 class Run:
-    """The tables of a run; stats counts the funnel."""
+    """The tables of a run. cited: the extracted items of which a quote was found; they are merged into notes."""
 
     chunks: DataFrame
     clusters: DataFrame
     items: DataFrame
+    each: DataFrame
+    cited: DataFrame
     notes: DataFrame
     rendered: DataFrame
 
     def stats(self) -> dict[str, int]:
-        raw = self.items.select(F.explode("items")).count()
-        return {"chunks": self.chunks.count(), "clusters": self.clusters.count(), "failed": self.items.where(~F.col("ok")).count(), "extracted": raw, "notes": self.notes.count()}
+        """The funnel, from chunks to notes."""
+        n = {"chunks": self.chunks.count(), "clusters": self.clusters.count(), "failed": self.items.where(~F.col("ok")).count(), "extracted": self.each.count(), "grounded": self.cited.count(), "notes": self.notes.count()}
+        return n | {"dropped": n["extracted"] - n["grounded"], "merged": n["grounded"] - n["notes"]}
+
+    def ungrounded(self) -> DataFrame:
+        """file, title of the items that were dropped because none of their quotes was found."""
+        return self.each.join(self.cited.select("item_id"), "item_id", "left_anti").select("file", F.col("item.title").alias("title"))
+
+    def release(self) -> None:
+        for df in (self.chunks, self.clusters, self.items, self.each, self.cited, self.notes):
+            df.unpersist()
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started inside, by this thread, end when another one calls cancel() with the tag."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def distill_documents(documents: DataFrame, ask: Callable[[str], str] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, most: int = 1600) -> Run:
@@ -48,7 +74,7 @@ def distill_documents(documents: DataFrame, ask: Callable[[str], str] | None = N
     grounded = distill.ground(keyed, source)
     number = F.element_at(F.split("chunk_id", "#"), -1).cast("long")
     cites = grounded.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct("file", number.alias("chunkId"), "start", "end", "quote").alias("c")))), lambda x: x["c"]).alias("citations"))
-    cited = each.join(cites, "item_id").select("file", "cluster", "nth", "item.kind", "item.title", "item.summary", "item.links", "citations")
+    cited = each.join(cites, "item_id").select("file", "cluster", "nth", "item.kind", "item.title", "item.summary", "item.links", "citations", "item_id").persist()
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         rows = f.sort_values(["cluster", "nth"])
@@ -57,6 +83,6 @@ def distill_documents(documents: DataFrame, ask: Callable[[str], str] | None = N
         kept, _ = distill.dedup_notes(notes)
         return pd.DataFrame([{"file": f.file.iloc[0], "ord": i, **n} for i, n in enumerate(kept)], columns=["file", "ord", "kind", "title", "summary", "links", "citations"])
 
-    notes = cited.groupBy("file").applyInPandas(merge, f"file string, ord int, kind string, title string, summary string, links array<{LINK}>, citations array<{CITATION}>").persist()
+    notes = cited.drop("item_id").groupBy("file").applyInPandas(merge, f"file string, ord int, kind string, title string, summary string, links array<{LINK}>, citations array<{CITATION}>").persist()
     named = distill.unique_names(notes.withColumn("_o", F.struct("file", "ord")), order="_o").drop("_o")
-    return Run(chunks, clusters, items, notes, distill.render(named))
+    return Run(chunks, clusters, items, each, cited, notes, distill.render(named))

@@ -61,6 +61,27 @@ def parse(text: str) -> Settings:
     return _filled(Settings(), values)
 
 
+def edited(text: str, key: str, value: str | float | bool) -> str:
+    """TOML text with one key (dotted: table.key) set in place; all other lines, comments too, stay as they are."""
+    table, _, name = key.rpartition(".")
+    shown = json.dumps(value) if isinstance(value, str | bool) else repr(value)
+    lines, here, last = text.split("\n"), "", -1 if not table else None
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if bare.startswith("["):
+            here = bare.partition("]")[0].lstrip("[").strip()
+            last = i if here == table else last
+        elif here == table and "=" in bare and not bare.startswith("#"):
+            if bare.partition("=")[0].strip().strip('"') == name:
+                lines[i] = f"{name} = {shown}"
+                return "\n".join(lines)
+            last = i
+    if last is None:  # no such table yet
+        return text.rstrip("\n") + ("\n\n" if text.strip() else "") + f"[{table}]\n{name} = {shown}\n"
+    lines.insert(last + 1, f"{name} = {shown}")
+    return "\n".join(lines)
+
+
 def recents(text: str, exists: Callable[[str], bool] = lambda path: True, cap: int = 10) -> list[str]:
     """The paths of a JSON list, without those that are gone; none if it can't be read."""
     try:

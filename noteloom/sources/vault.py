@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,21 +39,76 @@ def folders(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(r,) for r, is_dir, _ in _listed(spark, root) if is_dir], "rel string")
 
 
+def _relative(path: Column, root: str) -> Column:
+    """A file's path below root, whatever scheme either is written with."""
+    top = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z0-9]+:/+", "/")
+    return F.substring(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), F.length(top) + 2, F.length(path))
+
+
 def notes(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content, mtime of all notes below root; contents are read by the executors."""
+    """path (relative), content, mtime of all notes below root; files are found by one recursive scan and read by the executors.
+
+    Spark's scan passes over names with a leading underscore; those few are listed, and read one by one.
+    """
     base = root.rstrip("/")
-    names = [(r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md")]
-    hidden = [(r, m) for r, m in names if any(p.startswith("_") for p in r.split("/"))]  # Spark's readers pass over these few
-    schema = "path string, content string, mtime long"
-    own = spark.createDataFrame([(r, _read(spark, f"{base}/{r}"), m) for r, m in hidden], schema)
-    shown = [f"{base}/{r}" for r, m in names if (r, m) not in hidden]
-    if not shown:
-        return own
-    df = spark.read.format("binaryFile").load(shown)
-    below = F.regexp_replace(F.lit(base), r"^[a-z0-9]+:/+", "/")
-    path = F.regexp_replace(df["path"], r"^[a-z0-9]+:/+", "/")
-    read = df.select(F.substring(path, F.length(below) + 2, F.length(path)).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
-    return read.unionByName(own)
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "true").load(base)
+    read = df.select(_relative(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
+    shown = read.where(~F.col("path").rlike(r"(^|/)[._]"))
+    odd = [(r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md") and any(p.startswith("_") for p in r.split("/"))]
+    return shown.unionByName(_each(spark, base, odd))
+
+
+def _each(spark: SparkSession, base: str, found: list[tuple[str, int]]) -> DataFrame:
+    return spark.createDataFrame([(r, _read(spark, f"{base}/{r}"), m) for r, m in found], "path string, content string, mtime long")
+
+
+def changes(spark: SparkSession, root: str, known: DataFrame, settle_ms: int = 0) -> DataFrame:
+    """path, content, mtime of the notes that are new or have another mtime than known (path, mtime) says; null content: deleted.
+
+    A file changed less than settle_ms ago may still be written to; it waits for the next call.
+    """
+    import time
+
+    newest = int(time.time() * 1000) - settle_ms
+    now = spark.createDataFrame([(r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md")], "path string, mtime long")
+    both = now.join(known.select("path", F.col("mtime").alias("known")), "path", "full_outer")
+    gone = both.where("mtime is null").select("path", F.lit(None).cast("string").alias("content"), F.col("known").alias("mtime"))
+    fresh = both.where((F.col("mtime") <= newest) & ~F.col("mtime").eqNullSafe(F.col("known"))).select("path")
+    return notes(spark, root).join(fresh, "path", "left_semi").select("path", "content", "mtime").unionByName(gone)
+
+
+def write(spark: SparkSession, root: str, path: str, content: str) -> None:
+    """Creates a note, or replaces it by one rename."""
+    if not inside(path):
+        raise ValueError(f"not a path of the vault: {path!r}")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    at, tmp = hadoop.fs.Path(f"{root.rstrip('/')}/{path}"), hadoop.fs.Path(f"{root.rstrip('/')}/.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(conf)
+    out = fs.create(tmp, True)
+    out.write(content.encode())
+    out.close()
+    fs.mkdirs(at.getParent())
+    options = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    options[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(at), options)
+
+
+def delete(spark: SparkSession, root: str, path: str) -> bool:
+    """Deletes a note, or a folder with all below it."""
+    if not inside(path):
+        raise ValueError(f"not a path of the vault: {path!r}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move(spark: SparkSession, root: str, old: str, new: str) -> None:
+    """Renames a note or a folder; a target that exists raises."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    a, b = path(f"{root.rstrip('/')}/{old}"), path(f"{root.rstrip('/')}/{new}")
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if fs.exists(b) or not fs.rename(a, b):
+        raise ValueError(f"cannot move {old!r} to {new!r}")
 
 
 def _read(spark: SparkSession, path: str) -> str:
@@ -65,10 +122,10 @@ def _read(spark: SparkSession, path: str) -> str:
 
 
 def note_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New notes as a stream of (path, content, mtime)."""
+    """New notes as a stream of (path, content, mtime), with paths as notes() has them. Changes and deletions: streaming.index.watch."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     df = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "true").load(root)
-    return df.select("path", F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
+    return df.select(_relative(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
 
 
 def inside(path: str) -> bool:

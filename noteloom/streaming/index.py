@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import markdown, store
+from ..sources import vault
 
 
 def apply_batch(batch: DataFrame, base: str) -> None:
-    """notes (path, content, mtime): the latest row of a path wins; null content deletes. Repeating a batch changes nothing."""
-    spark = batch.sparkSession
+    """notes (path, content, mtime): the latest row of a path wins; null content deletes. Repeating a batch changes nothing.
+
+    Only the buckets of the tables that hold one of the batch's paths are written anew.
+    """
     last = batch.withColumn("_nth", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime")))).where("_nth = 1").drop("_nth").persist()
     here = last.where("content is not null")
     harvested = markdown.harvest(here).persist()
@@ -21,17 +26,54 @@ def apply_batch(batch: DataFrame, base: str) -> None:
         "chunks": markdown.chunks(here).withColumn("path", F.col("file")),
     }
     for name, rows in made.items():
-        try:
-            table = store.read_table(spark, f"{base}/{name}")
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            table = rows.limit(0)
-        store.write_table(store.replace(table, rows, last), f"{base}/{name}")
+        store.update_table(f"{base}/{name}", rows, last)
     harvested.unpersist()
     last.unpersist()
 
 
+def indexed_files(spark: SparkSession, base: str) -> DataFrame:
+    """path, mtime of the notes in the index; none before the first batch."""
+    try:
+        return store.read_table(spark, f"{base}/files").select("path", "mtime")
+    except FileNotFoundError:
+        return spark.createDataFrame([], "path string, mtime long")
+
+
+def refresh(spark: SparkSession, root: str, base: str, settle_ms: int = 150) -> int:
+    """Brings the index below base up to the vault's files: new, modified and deleted ones. Returns how many notes changed."""
+    changed = vault.changes(spark, root, indexed_files(spark, base), settle_ms).persist()
+    n = changed.count()
+    if n:
+        apply_batch(changed, base)
+    changed.unpersist()
+    return n
+
+
+def rename(spark: SparkSession, root: str, base: str, old: str, new: str) -> None:
+    """Moves a note, or a folder with all below it, in the vault and in the index; names that links use follow the new path."""
+    if not (vault.inside(old) and vault.inside(new)):
+        raise ValueError("both paths must stay in the vault")
+    below = (F.col("path") == old) | F.col("path").startswith(old + "/")
+    gone = indexed_files(spark, base).where(below).select("path", F.lit(None).cast("string").alias("content"), "mtime").persist()
+    gone.count()  # before the files move
+    vault.move(spark, root, old, new)
+    moved = vault.notes(spark, root).where((F.col("path") == new) | F.col("path").startswith(new + "/"))
+    apply_batch(gone.unionByName(moved), base)
+    gone.unpersist()
+
+
+def watch(spark: SparkSession, root: str, base: str, checkpoint: str, seconds: int = 1, changed: Callable[[int], None] | None = None) -> StreamingQuery:
+    """A streaming query that refreshes the index at every tick and tells `changed` how many notes have changed, if any."""
+
+    def tick(_: DataFrame, __: int) -> None:
+        n = refresh(spark, root, base)
+        if n and changed:
+            changed(n)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(tick).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start()
+
+
 def start(notes: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
     """A streaming query over notes (path, content, mtime) that keeps files, triples and chunks below base."""
     return notes.writeStream.foreachBatch(lambda df, _: apply_batch(df, base)).option("checkpointLocation", checkpoint).outputMode("append").start()

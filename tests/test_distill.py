@@ -111,3 +111,82 @@ def test_extract_retries_once(spark, bad):
     replies = {"p": bad}
     got = distill.extract(df, lambda p: replies.get(p, '{"items": [{"title": "T"}]}')).first()
     assert got["ok"] and got["items"][0]["title"] == "T"
+
+
+def plain_dedup(notes, threshold=0.6):
+    """Groups by comparing every note with every member of every group."""
+
+    def grams(t):
+        t = f"  {t.strip().lower()} "
+        return {t[i : i + 3] for i in range(len(t) - 2)} if t.strip() else set()
+
+    def alike(a, b):
+        x, y = grams(a["title"]), grams(b["title"])
+        same = (len(x & y) / len(x | y) if x | y else 1.0) >= threshold
+        return same or any(c["file"] == d["file"] and c["start"] < d["end"] and d["start"] < c["end"] for c in a["citations"] for d in b["citations"])
+
+    groups = []
+    for n in notes:
+        home = next((g for g in groups if any(alike(m, n) for m in g)), None)
+        groups.append([n]) if home is None else home.append(n)
+    return [max(enumerate(g), key=lambda p: (len(p[1]["citations"]), -p[0]))[1]["title"] for g in groups]
+
+
+def test_dedup_against_plain_loops():
+    import random
+
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "alphas", "betas", "", " "]
+    for _ in range(20):
+        notes = [{"title": " ".join(r.choice(words) for _ in range(r.randrange(1, 4))), "links": [], "citations": [{"file": r.choice("ab"), "chunkId": 0, "start": (at := r.randrange(200)), "end": at + r.randrange(1, 8)} for _ in range(r.randrange(3))]} for _ in range(60)]
+        got, merged = distill.dedup_notes(notes)
+        assert [n["title"] for n in got] == plain_dedup(notes) and merged == 60 - len(got)
+
+
+def test_broken_chunk_numbers_ground_nothing():
+    ok, items = distill.parse_extraction('{"items": [{"title": "t", "evidence": [{"chunkId": 1.5, "quote": "q"}, {"chunkId": "2", "quote": "q"}, {"chunkId": true, "quote": "q"}]}]}')
+    assert ok and [e["chunkId"] for e in items[0]["evidence"]] == [2]
+
+
+def test_cancel_ends_tagged_jobs(spark):
+    import threading
+
+    from noteloom.plans.distill import cancel, cancellable
+
+    threading.Timer(3, lambda: cancel(spark, "run-1")).start()
+    with pytest.raises(Exception, match="(?i)cancel"), cancellable(spark, "run-1"):
+        spark.range(4, numPartitions=4).rdd.foreach(lambda _: __import__("time").sleep(60))
+
+
+@pytest.mark.parametrize("provider", ["anthropic", "openai", "ollama"])
+def test_providers(provider, monkeypatch):
+    import http.server
+    import json
+    import threading
+
+    from noteloom.plans.chat import HttpChat, answer
+
+    seen = {}
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.update(path=self.path, headers={k.lower(): v for k, v in self.headers.items()}, body=json.loads(self.rfile.read(int(self.headers["content-length"]))))
+            piece = (lambda t: {"delta": {"text": t}}) if provider == "anthropic" else (lambda t: {"choices": [{"delta": {"content": t}}]})
+            self.send_response(200)
+            self.end_headers()
+            for t in ("one ", "two"):
+                self.wfile.write(f"event: x\ndata: {json.dumps(piece(t))}\n\n".encode())
+            self.wfile.write(b"data: [DONE]\n\n")
+
+        def log_message(self, *a):
+            pass
+
+    for name in ("ANTHROPIC_API_KEY", "OPENAI_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert answer(HttpChat(provider, "m", f"http://127.0.0.1:{server.server_port}", key="k"), "hi") == "one two"
+    finally:
+        server.shutdown()
+    assert seen["body"]["model"] == "m" and seen["body"]["messages"][0]["content"] == "hi" and "k" in (seen["headers"].get("x-api-key", "") + seen["headers"].get("authorization", ""))

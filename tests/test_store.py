@@ -53,6 +53,79 @@ def test_versions(spark, tmp_path):
         assert store.read_table(spark, base).count() == k
 
 
+def test_states_are_whole_and_few(spark, tmp_path):
+    base, kind = str(tmp_path / "t"), "path string, v int"
+    df = lambda *rows: spark.createDataFrame(list(rows), kind)
+    with pytest.raises(FileNotFoundError):
+        store.read_table(spark, base)
+    first = [(f"n{i}", i) for i in range(200)]
+    store.update_table(base, df(*first), df(*first), buckets=8)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = store.read_table(spark, base)
+    for _ in range(2):  # twice is as good as once
+        store.update_table(base, df(("n3", 33), ("new", 1)), df(("n3", 0), ("new", 0), ("n7", 0)))
+        want = {**dict(first), "n3": 33, "new": 1}
+        del want["n7"]
+        assert dict(map(tuple, store.read_table(spark, base).collect())) == want
+        if _ == 0:
+            assert before.count() == 200  # a reader of the state before is not disturbed
+    left = {f for f in files if f.exists()}
+    assert 0 < len(left) < len(files) and all(files[f] == f.stat().st_mtime_ns for f in left)  # untouched buckets stay where they are
+    assert len(list((tmp_path / "t").glob("manifest-*"))) == 2
+    store.update_table(base, df().limit(0), df(*first, ("new", 0)))
+    assert store.read_table(spark, base).count() == 0
+    store.write_table(df(("a", 1)), str(tmp_path / "chunks"))
+    store.drop_tables(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        store.read_table(spark, str(tmp_path / "chunks"))
+
+
+def test_vault_changes(spark, tmp_path):
+    root, base = str(tmp_path / "v"), str(tmp_path / "i")
+    vault.write(spark, root, "a.md", "# A\n\n[[B]]")
+    vault.write(spark, root, "d/b.md", "# B")
+    vault.write(spark, root, "_c.md", "c")
+    titles = lambda: {(r["path"], r["title"]) for r in store.read_table(spark, f"{base}/files").collect()}
+    assert stream_index.refresh(spark, root, base, 0) == 3 and titles() == {("a.md", "A"), ("d/b.md", "B"), ("_c.md", "_c")}
+    assert stream_index.refresh(spark, root, base, 0) == 0
+    time.sleep(0.05)
+    vault.write(spark, root, "a.md", "# A2")
+    assert vault.delete(spark, root, "_c.md")
+    assert stream_index.refresh(spark, root, base, 0) == 2 and titles() == {("a.md", "A2"), ("d/b.md", "B")}
+    assert store.read_table(spark, f"{base}/triples").count() == 0
+    stream_index.rename(spark, root, base, "d", "e/f")
+    assert titles() == {("a.md", "A2"), ("e/f/b.md", "B")} and stream_index.refresh(spark, root, base, 0) == 0
+    for bad in (lambda: vault.write(spark, root, "../x.md", ""), lambda: vault.delete(spark, root, "/x"), lambda: stream_index.rename(spark, root, base, "a.md", "../b.md"), lambda: vault.move(spark, root, "a.md", "e/f/b.md")):
+        with pytest.raises(ValueError):
+            bad()
+    told = []
+    vault.write(spark, root, "new.md", "# New")
+    q = stream_index.watch(spark, root, base, str(tmp_path / "cp"), 1, told.append)
+    for _ in range(120):
+        if told:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert told == [1] and ("new.md", "New") in titles()
+    assert {r["path"] for r in vault.notes(spark, "file://" + root).collect()} == {"a.md", "e/f/b.md", "new.md"}
+
+
+def test_settings_are_edited_in_place():
+    text = '# mine\ntheme = "dark"  # so\n\n[chat]\nmodel = "x"\n\n[telemetry]\nenabled = true\n'
+    one = settings.edited(text, "chat.model", 'y "z"')
+    assert settings.parse(one).chat.model == 'y "z"' and one.replace('model = "y \\"z\\""', 'model = "x"') == text
+    assert settings.parse(settings.edited(text, "theme", "light")).theme == "light"
+    assert settings.parse(settings.edited(text, "chat.provider", "openai")).chat.provider == "openai"
+    assert settings.parse(settings.edited(text, "semantic.min_score", 0.7)).semantic.min_score == 0.7
+    assert settings.parse(settings.edited("", "telemetry.enabled", True)).telemetry.enabled is True
+
+
+def test_sparkline(spark):
+    df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 15.0)], "at int, ms double")
+    assert {r["at"]: r["level"] for r in telemetry.sparkline(df).collect()} == {1: 0, 2: 16, 3: 8}
+    assert {r["level"] for r in telemetry.sparkline(df.where("at = 1")).collect()} == {8}
+
+
 def test_vault_scan(spark, tmp_path):
     for name, text in {"b.md": "# B", "sub/A.MD": "[[b]]", "_x.md": "u", ".hidden/c.md": "no", "sub/n.txt": "no"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
