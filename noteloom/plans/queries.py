@@ -200,14 +200,14 @@ def chunk_pack(spark, d):
     return markdown.chunks(docs).select(F.col("file").cast("long").alias("doc_id"), "start", "end")
 
 
-@query("""WITH a AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, sha1(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+@query("""WITH a AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE source <> 'src1'), b AS (SELECT doc_id, sha1(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE source <> 'src2')
 SELECT COALESCE(a.doc_id, b.doc_id)::VARCHAR AS file, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change
 FROM a FULL JOIN b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h""")
 def content_hash_gate(spark, d):
-    """What changed between two snapshots of a vault, of which each lacks some notes and one has edits."""
-    docs = table(spark, d, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    old = store.hashes(docs.where("doc_id % 3 <> 0"))
-    new = store.hashes(docs.where("doc_id % 7 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
+    """What changed between two snapshots of a vault, of which each lacks a source and one has edits."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    old = store.hashes(docs.where("source <> 'src1'"))
+    new = store.hashes(docs.where("source <> 'src2'").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
     return store.changed_files(old, new)
 
 
@@ -580,10 +580,10 @@ def emit_notes(spark, d):
 
 @query()
 def distill_run(spark, d):
-    """Documents of one bounded source through the whole distillation with the offline model."""
+    """All documents through the whole distillation with the offline model."""
     from .distill import distill_documents
 
-    docs = table(spark, d, "benchmark").select(F.concat(F.lit("b/"), F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# Item\n\n"), F.col("text")).alias("content"))
+    docs = table(spark, d, "documents").select(F.format_string("b/%s.md", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("# Item\n\n"), F.col("text")).alias("content"))
     return distill_documents(docs).rendered
 
 
@@ -649,3 +649,6 @@ def html_to_markdown(spark, d):
 @query("SELECT p_name, p_brand, trim(regexp_replace(regexp_replace(p_brand || '/' || p_type, '[\\\\/:*?\"<>|#\\[\\]]+', ' ', 'g'), '\\s+', ' ', 'g')) AS note FROM part")
 def safe_names(spark, d):
     return table(spark, d, "part").select("p_name", "p_brand", tx.note_name(F.concat_ws("/", "p_brand", "p_type")).alias("note"))
+
+
+from . import upkeep_queries as _  # noqa: E402, F401  registers its queries too
