@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,42 @@ def test_trees_hold_out(spark):
     assert sum(r["label"] for r in chosen) / len(chosen) > 0.95 and sum(r["label"] for r in chosen) / sum(r["label"] for r in got) > 0.8
 
 
+def planted(texts, seed):
+    """texts, each with one labelled span at a place between words: (text, kind, start, end); upper-case kinds are personal data."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name, host = (lambda: r.choice(["anna", "jon", "maria", "lee"])), (lambda: r.choice(["mailbox", "corp", "uni"]))
+    kinds = {
+        "PHONE": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}"]),
+        "MAIL": lambda: r.choice([f"{name()} (at) {host()} (dot) com", f"{name()}[at]{host()}[dot]org", f"{name()} @ {host()}.com"]), "NUMBER": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "date": lambda: f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", "version": lambda: f"version {r.randint(1, 9)}.{d(2)}.{d(3)}.{d(4)}", "years": lambda: f"19{d(2)}-20{d(2)}", "order": lambda: f"order {d(9)}",
+        "total": lambda: f"total {d(3)}.{d(3)}.{d(3)}", "handle": lambda: f"{name()} @{host()}", "time": lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)} on {r.randint(10, 28)}/{r.randint(10, 12)}/20{d(2)}",
+    }
+    for t in texts:
+        kind, at = r.choice(sorted(kinds)), t.find(" ", r.randrange(max(1, len(t) // 2)))
+        at, span = (len(t) if at < 0 else at), kinds[kind]()
+        hint = r.choice(["call ", "reach me at ", "", "", ""]) if kind.isupper() else ""
+        start = at + 1 + len(hint)
+        yield f"{t[:at]} {hint}{span} {t[at:].lstrip()}", kind, start, start + len(span)
+
+
+@needs_tables
+def test_planted_spans_in_real_documents(spark, docs):
+    """What the base patterns can't see, planted in the table's documents: recall and precision of the trees."""
+    texts = [r["text"] for r in table(spark, DIR.replace("0.001", "0.01"), "documents").orderBy("doc_id").limit(500).collect()]
+    rows = list(planted(texts, 21))
+    own = {r["doc_id"]: r["n_mail"] + r["n_number"] for r in pii.scan(docs(*texts)).collect()}
+    found = {r["doc_id"]: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.scan(docs(*[r[0] for r in rows])).collect()}
+    hits, false, total = Counter(), 0, Counter()
+    for i, (_, kind, start, end) in enumerate(rows):
+        total[kind] += 1
+        hits[kind] += any(a <= start and b >= end for _, a, b in found[i])
+        false += sum(k in ("mail", "number") for k, a, b in found[i] if kind.islower() or b <= start or a >= end) - own[i]
+    added = sum(hits[k] for k in hits if k.isupper())
+    assert all(hits[k] >= 0.85 * total[k] for k in total if k.isupper()) and added >= 0.9 * sum(total[k] for k in total if k.isupper()), (hits, total)
+    assert added >= 0.95 * (added + max(0, false)), false
+
+
 def test_odd_rows(odd, empty):
     for scan in (s.scan, pii.scan):
         assert scan(odd).count() == odd.count() and scan(empty).count() == 0
