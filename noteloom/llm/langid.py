@@ -127,7 +127,13 @@ def fit(docs: DataFrame, n: int = 4, k: int = 3, slot_bits: int = 20, docs_per_l
         slot, plane = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(plane.astype(np.int32)), pa.array(table[slot, plane].view(np.int64))], ["slot", "plane", "bits"])
 
-    rows = texts.select("lang", "text").mapInArrow(fill_in, "slot int, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toArrow()
+    # above this limit Spark would bring all ids of a language to one task before ranking them
+    limit, before = "spark.sql.optimizer.windowGroupLimitThreshold", spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set(limit, str(max(int(before), docs_per_language)))
+    try:
+        rows = texts.select("lang", "text").mapInArrow(fill_in, "slot int, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toArrow()
+    finally:
+        spark.conf.set(limit, before)
     table = np.zeros((1 << slot_bits, planes), np.uint64)
     table[rows["slot"].to_numpy(), rows["plane"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
