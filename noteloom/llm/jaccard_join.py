@@ -94,7 +94,7 @@ class Join:
         least = filled.groupBy("n", "k1", "k2").agg(F.min("rid").alias("node"))
         members = filled.join(least, ["n", "k1", "k2"]).select("rid", "doc_id", "h", "n", "k1", "k2", "node")
         empty = self.rows.where("n = 0").select("rid", "doc_id", "h", "n", "k1", "k2", F.lit(None).cast("long").alias("node"))
-        return keep(members.union(empty), "members")
+        return keep(members.union(empty), "members", self.rows.count())
 
     def survivors(self, members: DataFrame) -> DataFrame:
         """Classes with enough prefix shingles in common with other classes: node, doc_id, n, k1, k2.
