@@ -359,14 +359,26 @@ def hybrid_search(spark, d):
 ALONE = rf"""n AS (SELECT doc_id AS key, {TOKENS.format("text")} AS tokens FROM documents)"""
 
 
+def chunk_index(spark, d, again=False):
+    """The documents' texts as chunks without titles, indexed by the chunk's key."""
+    texts = lambda: table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit("").alias("title"), F.col("text").alias("body"))
+    return indexed.text_index(spark, "chunks", d, texts, again)
+
+
+@query(f"WITH {ALONE} SELECT count(*) AS chunks, round(avg(len(tokens)), 6) AS mean FROM n")
+def chunk_index_build(spark, d):
+    """The chunk index built anew; its totals, which BM25 needs."""
+    index = chunk_index(spark, d, again=True)
+    return spark.range(1).select(F.lit(index.total).cast("long").alias("chunks"), F.round(F.lit(index.mean), 6).alias("mean"))
+
+
 @query(f"""WITH {ALONE}, {bm25_sql(QUESTION)}, {vector_sql("documents", "doc_id", "text")},
 l AS (SELECT 0 AS list_id, key, row_number() OVER (ORDER BY round(distance, 6), key) - 1 AS rank FROM near QUALIFY rank < 8 UNION ALL SELECT 1, key, row_number() OVER (ORDER BY round(score, 12) DESC, key) - 1 AS rank FROM scored QUALIFY rank < 30)
 SELECT key, key::VARCHAR AS file, '' AS heading, round(sum(1 / (61 + rank)), 6) AS score FROM l GROUP BY key ORDER BY round(sum(1 / (61 + rank)), 12) DESC, min((list_id, rank)) LIMIT 8""")
 def ask_context(spark, d):
     """The chunks that answer a question's words and vector best, from the stored index and vectors."""
     chunks = document_chunks(spark, d).select(F.col("file").alias("key"), F.col("file").cast("string").alias("file"), F.lit("").alias("heading"), "text", "embedding")
-    index = indexed.text_index(spark, "chunks", d, lambda: chunks.select("key", F.lit("").alias("title"), F.col("text").alias("body")))
-    return rounded(fusion.retrieve_chunks(chunks, QUESTION, vectors.embed_text(QUESTION, 384, {}), index=index).drop("text"), "score")
+    return rounded(fusion.retrieve_chunks(chunks, QUESTION, vectors.embed_text(QUESTION, 384, {}), index=chunk_index(spark, d)).drop("text"), "score")
 
 
 @query(f"WITH {NOTES}, {bm25_sql(WORDS)}, r AS (SELECT source, row_number() OVER (ORDER BY score DESC, key) AS nth FROM scored JOIN documents ON key = doc_id ORDER BY score DESC, key LIMIT 20) SELECT source AS file FROM r GROUP BY source")
