@@ -62,6 +62,15 @@ def _each(spark: SparkSession, base: str, found: list[tuple[str, int]]) -> DataF
     return spark.createDataFrame([(r, _read(spark, f"{base}/{r}"), m) for r, m in found], "path string, content string, mtime long")
 
 
+def note(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """path, content, mtime of one note; no row if it is not there. What index upkeep takes for a single file."""
+    if not inside(path):
+        raise ValueError(f"not a path of the vault: {path!r}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return _each(spark, root.rstrip("/"), [(path, fs.getFileStatus(at).getModificationTime())] if fs.exists(at) else [])
+
+
 def changes(spark: SparkSession, root: str, known: DataFrame, settle_ms: int = 0) -> DataFrame:
     """path, content, mtime of the notes that are new or have another mtime than known (path, mtime) says; null content: deleted.
 

@@ -98,6 +98,7 @@ def test_vault_changes(spark, tmp_path):
     for bad in (lambda: vault.write(spark, root, "../x.md", ""), lambda: vault.delete(spark, root, "/x"), lambda: stream_index.rename(spark, root, base, "a.md", "../b.md"), lambda: vault.move(spark, root, "a.md", "e/f/b.md")):
         with pytest.raises(ValueError):
             bad()
+    assert [r["content"] for r in vault.note(spark, root, "e/f/b.md").collect()] == ["# B"] and vault.note(spark, root, "none.md").count() == 0
     told = []
     vault.write(spark, root, "new.md", "# New")
     q = stream_index.watch(spark, root, base, str(tmp_path / "cp"), 1, told.append)
