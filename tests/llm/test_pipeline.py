@@ -1,11 +1,11 @@
 from collections import Counter
 
 import corpus_pipeline as c
-from noteloom.llm import base, secrets_scan
+from noteloom.llm import base, langid, mixing, secrets_scan
 
 from .conftest import DIR, needs_tables
 from .test_jaccard import brute as components
-from .test_python_operators import check_packing
+from .test_python_operators import check_packing, plain_ids
 
 
 def test_stages():
@@ -32,8 +32,6 @@ def test_each_stage_on_its_input(spark):
         assert r == before[r["doc_id"]] or "[REDACTED]" in r["text"] and r["n_chars"] == len(r["text"])
 
     mixed = base.keep(c.mix_sources(spark, clean, DIR), "four")
-    from noteloom.llm import mixing
-
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix_documents(clean).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == +Counter(copies)
 
@@ -49,5 +47,23 @@ def test_odd_rows_pass_through(spark, odd, empty):
 
 
 @needs_tables
-def test_run(spark):
-    assert c.run(spark, DIR).count() > 0
+def test_run_against_brute_force(spark):
+    """The whole run: languages by single predictions, components by all pairs, the mix by its SQL, plain tokenizer ids."""
+    import duckdb
+
+    docs = base.table(spark, DIR, "documents")
+    model, letters = langid.fit(docs), langid.letter_table()
+    said = {(r["doc_id"], r["text"]): model.predict(r["text"], letters) for r in docs.collect()}
+    kept = [k for k, (lang, _, coverage) in said.items() if lang != "und" and coverage >= c.LEAST_COVERAGE]
+    single = {k for k, _, comp in components(kept) if k == comp}
+    clean = secrets_scan.redact(docs.where(docs.doc_id.isin(list(single)))).toPandas()
+    con = duckdb.connect()
+    con.register("documents", clean)
+    copies = {k: n for k, n in con.sql(f"SELECT doc_id, copies FROM ({mixing.ORACLE})").fetchall() if n}
+    tokens = {r.doc_id: len(plain_ids(r.text)) for r in clean.itertuples()}
+    got = c.run(spark, DIR).collect()
+    assert {r["doc_id"] for r in got} == set(copies) and all(r["doc_tokens"] == tokens[r["doc_id"]] for r in got)
+    placed = Counter()
+    for r in got:
+        placed[r["doc_id"]] += r["length"]
+    assert placed == Counter({k: n * tokens[k] for k, n in copies.items()})
