@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_limits
@@ -102,20 +102,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, n: int = 4, k: int = 3, slot_bits: int = 20, docs_per_language: int = 2000, planes: int = 1) -> Model:
-    """Learn from the documents that are not held out and have a lang: at most docs_per_language of each, by a digest of doc_id.
+    """Learn from the documents that are not held out and have a lang: all of a language that has up to docs_per_language,
+    of others a share that comes to about that number, by a digest of doc_id.
 
     Each task sets bits in a table of its own, and the tables are joined by bit_or over slots, so what reaches the
     driver is at most the table, whatever the number of documents or n-grams.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= docs_per_language).select("doc_id", "lang")
-    languages = sorted((r.lang for r in known.select("lang").distinct().limit(64 * planes + 1).collect()), key=lambda x: x.encode())
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+    known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(64 * planes + 1).collect()}
+    languages = sorted(counts, key=lambda x: x.encode())
     if len(languages) > 64 * planes:
         raise ValueError(f"more languages than the {64 * planes} that the bitmasks hold")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    # a language of more documents gives those whose digest is below its share of all digests
+    share = F.lit(1.0)
+    for lang, many in counts.items():
+        share = F.when(F.col("lang") == lang, min(1.0, docs_per_language / many)).otherwise(share)
+    texts = known.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share * (1 << 32)))
 
     def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table = letter_table(), np.zeros((1 << slot_bits, planes), np.uint64)
@@ -127,13 +132,7 @@ def fit(docs: DataFrame, n: int = 4, k: int = 3, slot_bits: int = 20, docs_per_l
         slot, plane = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(plane.astype(np.int32)), pa.array(table[slot, plane].view(np.int64))], ["slot", "plane", "bits"])
 
-    # above this limit Spark would bring all ids of a language to one task before ranking them
-    limit, before = "spark.sql.optimizer.windowGroupLimitThreshold", spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    spark.conf.set(limit, str(max(int(before), docs_per_language)))
-    try:
-        rows = texts.select("lang", "text").mapInArrow(fill_in, "slot int, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toArrow()
-    finally:
-        spark.conf.set(limit, before)
+    rows = texts.select("lang", "text").mapInArrow(fill_in, "slot int, plane int, bits long").groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros((1 << slot_bits, planes), np.uint64)
     table[rows["slot"].to_numpy(), rows["plane"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
