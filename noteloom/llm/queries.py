@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, fim, html_main, jaccard_join, langid, media, mixing, order_minhash, packing, pii, secrets_scan, window_dedup
+from . import chat, fim, html_main, jaccard_join, langid, media, mixing, order_minhash, packing, pii, secrets_scan, spelling, window_dedup
 from .base import table
 
 
@@ -57,14 +57,18 @@ def op12_substring_dedup(spark, sf_dir):
     return window_dedup.digests(window_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_order_minhash, op2_mixing, op3_html_main_text, op4_chat_formatting, op5_jaccard_join, op6_language_id, op7_packing, op8_secret_scan, op9_pii, op10_media,
-        op11_fill_in_middle, op12_substring_dedup,
+        op11_fill_in_middle, op12_substring_dedup, op13_spelling_variants,
     )
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op11_fill_in_middle": fim.ORACLE,
-    "op12_substring_dedup": window_dedup.ORACLE,
+    "op12_substring_dedup": window_dedup.ORACLE, "op13_spelling_variants": spelling.ORACLE,
 }
