@@ -191,16 +191,18 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int | None = None) ->
     """d, t, first, count: ranges of windows that also start in a document of smaller doc_id."""
     every = keep(blocks(docs, window, gram), "blocks")
     shared = every.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("anchor")
+    shared = keep(shared, "anchors")  # tables on both sides of a join let Spark split an anchor that very many blocks have
     some = keep(every.join(shared, "anchor", "left_semi"), "shared")
-    discard(every)
+    discard(every, shared)
     each = some.groupBy("anchor", "block").agg(F.min("d").alias("owner"))
     mixed = each.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("mixed"))
-    judged = some.join(each.join(mixed, "anchor"), ["anchor", "block"])
+    judged = some.join(keep(each.join(mixed, "anchor"), "owners"), ["anchor", "block"])
     whole = judged.where("d > owner").select("d", "t", "first", "count")
     single = _by_text(judged.where("d = owner and mixed").select("d", "t", "first", "count"))
     texts = _identified(docs).select("d", "t", _packed("text").alias("packed"))
     windows = keep(_windows(texts.join(single, ["d", "t"]), window), "windows")
     lowest = windows.groupBy("a", "b").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("a", "b", "low")
+    lowest = keep(lowest, "lowest")
     lone = windows.join(lowest, ["a", "b"]).where("low < d").select("d", "t", "first", F.lit(1).cast("long").alias("count"))
     return whole.unionByName(lone)
 
