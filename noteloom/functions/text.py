@@ -22,6 +22,8 @@ def _marks() -> tuple[dict[str, str], str]:
 BASED, MARKS = _marks()
 _FOLD = str.maketrans(BASED | dict.fromkeys(MARKS, ""))
 TOKEN = r"([\p{L}\p{N}]+)"
+#: The same runs in a text that is not folded: its i-th match is the i-th token of the folded text.
+RAW_TOKEN = rf"[{MARKS}]*[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}{MARKS}]*"
 
 
 def fold(text: Column) -> Column:

@@ -10,18 +10,16 @@ Every function takes notes, which are then tokenized, or a TextIndex, which is r
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, folded, tokens
+from ..functions.text import MARKS, RAW_TOKEN, folded, tokens
+from .text_index import TextIndex, build as build_index, frequency, open_index  # noqa: F401  the index is part of search
 from .workspace import few
 
-_TOKEN = re.compile(rf"(?:[^\W_]|[{re.escape(MARKS)}])+")
+_TOKEN = re.compile(rf"[{MARKS}]*[^\W_](?:[^\W_]|[{MARKS}])*")
 _FOLDED = re.compile(r"[^\W_]+")
 
 
@@ -29,37 +27,6 @@ def query_tokens(query: str) -> list[str]:
     return _FOLDED.findall(folded(query))
 
 
-@dataclass
-class TextIndex:
-    """notes: key, title, body, n (tokens); postings: token, key, n, f (how often the note holds the token); total notes, mean n.
-
-    Postings are clustered by token, so that a prefix is a range of few files and row groups; a frequent token spreads
-    over several.
-    """
-
-    notes: DataFrame
-    postings: DataFrame
-    total: int
-    mean: float
-
-
-def build_index(notes: DataFrame, base: str) -> TextIndex:
-    """Write the index of notes (key, title, body) below base, which must be new."""
-    spark = notes.sparkSession
-    t = notes.select("key", "title", "body", F.concat(tokens(F.col("title")), tokens(F.col("body"))).alias("tokens"))
-    t.select("key", "title", "body", F.size("tokens").cast("long").alias("n")).write.parquet(f"{base}/notes")
-    each = t.select("key", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    counted = each.groupBy("token", "key", "n").agg(F.count(F.lit(1)).alias("f"))  # mostly counted before the shuffle: a note's tokens stand in one task
-    counted.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.parquet(f"{base}/postings")
-    return open_index(spark, base)
-
-
-def open_index(spark: SparkSession, base: str) -> TextIndex:
-    notes = spark.read.parquet(f"{base}/notes")
-    one = notes.agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean")).first()
-    return TextIndex(notes, spark.read.parquet(f"{base}/postings"), one["total"], one["mean"] or 0.0)
-
-
 def postings(notes: DataFrame) -> DataFrame:
     """key, field, token, pos (from 0) of every token."""
     each = lambda f: notes.select("key", F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "token"))
@@ -78,7 +45,7 @@ def _counted(notes: DataFrame | TextIndex, terms: list[str]) -> DataFrame:
     if isinstance(notes, TextIndex):
         started = [F.col("token").startswith(q) for q in terms]
         some = notes.postings.where(reduce(Column.__or__, started))
-        return some.groupBy("key").agg(F.max("n").alias("n"), *[F.sum(F.when(c, F.col("f")).otherwise(0)).alias(x) for c, x in zip(started, names, strict=True)])
+        return some.groupBy("key").agg(F.max("n").alias("n"), *[F.sum(F.when(c, frequency()).otherwise(0)).alias(x) for c, x in zip(started, names, strict=True)])
     t = notes.select("key", F.concat(tokens(F.col("title")), tokens(F.col("body"))).alias("tokens"))
     hits = F.struct(F.size("tokens").alias("n"), *[F.size(F.filter("tokens", _prefixed(q))).alias(x) for q, x in zip(terms, names, strict=True)])
     return t.select("key", F.explode(F.array(hits)).alias("c")).select("key", "c.*")  # no filter goes below explode, which would tokenize again
@@ -128,14 +95,45 @@ def search(notes: DataFrame | TextIndex, query: str, limit: int = 50, snippet: b
     hits = rows.select("key", "title", *(["body"] if snippet else [])).where(F.col("key").isin(keys) if keys else F.lit(False)).join(F.broadcast(best), "key")
     if not snippet:
         return hits.orderBy(F.desc("score"), "key")
-    terms, names = query_tokens(query), ["key", "title", "score", "snippet"]
-    kinds = dict(hits.dtypes) | {"snippet": "string"}
+    return hits.join(F.broadcast(snippets(hits, _places(notes, keys, query_tokens(query)))), "key").select("key", "title", "score", "snippet").orderBy(F.desc("score"), "key")
 
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(snippet=[snippet_of(b or "", terms) for b in f.body])[names]
 
-    return hits.mapInPandas(mark, ", ".join(f"{n} {kinds[n]}" for n in names)).orderBy(F.desc("score"), "key")
+def _places(notes: DataFrame | TextIndex, keys: list, terms: list[str]) -> DataFrame:
+    """key, pos, term: the tokens of the given notes' bodies that start with a term, with the first such term."""
+    here = F.col("key").isin(keys) if keys else F.lit(False)
+    term = F.coalesce(*[F.when(F.col("token").startswith(q), F.lit(i)) for i, q in enumerate(terms)], F.lit(None).cast("int"))
+    if isinstance(notes, TextIndex):
+        found = notes.postings.where(reduce(Column.__or__, [F.col("token").startswith(q) for q in terms], F.lit(False))).where(here & (F.col("field") == "body"))
+        return found.select("key", F.explode("positions").alias("pos"), term.alias("term"))
+    return notes.where(here).select("key", F.posexplode(tokens(F.col("body"))).alias("pos", "token")).select("key", "pos", term.alias("term")).where("term is not null")
+
+
+def snippets(bodies: DataFrame, places: DataFrame, size: int = 10) -> DataFrame:
+    """key, snippet: of each body (key, body) the earliest window of `size` tokens with the most terms, then the most tokens of terms, those marked.
+
+    places: key, pos (number of the body's token), term. A body without any gives its start, one without tokens itself.
+    Windows count where a token of a term is in them, so a body has at most `size` for each of those.
+    """
+    gaps, cut = F.split("body", RAW_TOKEN, -1), F.regexp_extract_all("body", F.lit(RAW_TOKEN), F.lit(0))
+    t = bodies.select("key", F.coalesce("body", F.lit("")).alias("body")).select("key", "body", cut.alias("tokens"), gaps.alias("gaps"))
+    n = F.size("tokens")
+    last = F.greatest(F.lit(0), n - size)
+    near = places.join(F.broadcast(t.select("key", last.alias("last"))), "key")
+    start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - size + 1), F.least("pos", "last")))
+    windows = near.where("pos - last < " + str(size)).select("key", "pos", "term", start.alias("start")).groupBy("key", "start").agg(F.count_distinct("term").alias("terms"), F.count("term").alias("hits"))
+    best = windows.groupBy("key").agg(F.min_by("start", F.struct(-F.col("terms"), -F.col("hits"), "start")).alias("start"))
+    marked = places.join(best, "key").where(F.col("pos").between(F.col("start"), F.col("start") + size - 1)).groupBy("key").agg(F.collect_set("pos").alias("marks"))
+    whole = t.join(best, "key", "left").join(marked, "key", "left").withColumn("start", F.coalesce("start", F.lit(0))).withColumn("to", F.least(n, F.col("start") + size))
+
+    def shown(i: Column) -> Column:
+        word = F.get("tokens", i)
+        word = F.when(F.array_contains(F.coalesce("marks", F.array().cast("array<int>")), i), F.concat(F.lit("<mark>"), word, F.lit("</mark>"))).otherwise(word)
+        return F.concat(F.when(i > F.col("start"), F.get("gaps", i)).otherwise(""), word)
+
+    text = F.array_join(F.transform(F.sequence(F.col("start"), F.col("to") - 1), shown), "")
+    before = F.when(F.col("start") > 0, "…").otherwise(F.get("gaps", F.lit(0)))
+    after = F.when(F.col("to") < n, "…").otherwise(F.get("gaps", n))
+    return whole.select("key", F.when(n == 0, F.col("body")).otherwise(F.concat(before, text, after)).alias("snippet"))
 
 
 def snippet_of(body: str, terms: list[str], size: int = 10) -> str:
