@@ -158,6 +158,10 @@ def write_table(df: DataFrame, base: str) -> str:
     return f"{base}/{version}"
 
 
+def exists(spark: SparkSession, base: str) -> bool:
+    return bool(_manifests(spark, base))
+
+
 def read_table(spark: SparkSession, base: str) -> DataFrame:
     names = _manifests(spark, base)
     if not names:

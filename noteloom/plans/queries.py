@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import distill, fusion, graph, layouts, links, markdown, search, store, telemetry, vectors
+from ..operators import distill, fusion, graph, layouts, links, markdown, search, store, telemetry, text_index, vectors
 from . import indexed
 from ..sources import convert
 from ..sources.tables import STAR_SQL, star_files, star_triples, table
@@ -36,8 +36,12 @@ def notes(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"))
 
 
+def documents_path(d):
+    return f"{d.rstrip('/')}/documents.parquet"
+
+
 def note_index(spark, d, again=False):
-    return indexed.text_index(spark, "notes", d, lambda: notes(spark, d), again)
+    return indexed.text_index(spark, "notes", documents_path(d), lambda: notes(spark, d), again)
 
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(COALESCE({0}, ''))), '[\p{{L}}\p{{N}}]+')"
@@ -63,7 +67,7 @@ def bm25_sql(words: str, source: str = "n") -> str:
 def index_build(spark, d):
     """The text index built anew; what its postings hold of each token."""
     p = note_index(spark, d, again=True).postings
-    return p.groupBy("token").agg(F.sum("f").alias("tokens"), F.count(F.lit(1)).alias("notes"))
+    return p.groupBy("token").agg(F.sum(text_index.frequency()).alias("tokens"), F.count_distinct("key").alias("notes"))
 
 
 @query(f"WITH {NOTES}, {bm25_sql(WORDS)} SELECT key, title, round(score, 6) AS score FROM scored JOIN n USING (key) ORDER BY score DESC, key LIMIT 50")
@@ -316,7 +320,7 @@ def vector_sql(rows: str, key: str, text: str) -> str:
 def document_chunks(spark, d, again=False):
     """Every document as one chunk, with its vector: file, ord, text, embedding; embedded once and stored."""
     docs = lambda: table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("ord"), "text")
-    return indexed.stored(spark, "vectors", d, lambda: vectors.hashed_embedding(docs()), again)
+    return indexed.stored(spark, "vectors", documents_path(d), lambda: vectors.hashed_embedding(docs()), again)
 
 
 @query(r"SELECT doc_id AS file, len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 AS filled FROM documents")
@@ -362,7 +366,7 @@ ALONE = rf"""n AS (SELECT doc_id AS key, {TOKENS.format("text")} AS tokens FROM
 def chunk_index(spark, d, again=False):
     """The documents' texts as chunks without titles, indexed by the chunk's key."""
     texts = lambda: table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit("").alias("title"), F.col("text").alias("body"))
-    return indexed.text_index(spark, "chunks", d, texts, again)
+    return indexed.text_index(spark, "chunks", documents_path(d), texts, again)
 
 
 @query(f"WITH {ALONE} SELECT count(*) AS chunks, round(avg(len(tokens)), 6) AS mean FROM n")

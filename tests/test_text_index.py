@@ -112,3 +112,54 @@ def test_snippets_are_those_of_a_plain_version(spark, tmp_path):
             assert got and got == {k: want[k] for k in got}
     plan = search.search(index, "claim")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+NOTES = [("a.md", "# A\n\nalpha [[B]]\n\n" + "para alpha\n\n" * 3, 1), ("b.md", "# B\n\nbeta", 1), ("c.md", "gamma beta", 1)]
+
+
+def test_batches_keep_all_tables_together(spark, tmp_path, monkeypatch):
+    from noteloom.operators import store, vectors
+    from noteloom.streaming import index as stream_index
+
+    base, schema = str(tmp_path / "i"), "path string, content string, mtime long"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    stream_index.apply_batch(batch(*NOTES), base)
+    find = lambda table, q: {r["key"] for r in search.matching(text_index.open_index(spark, f"{base}/{table}"), q).collect()}
+    assert find("text", "beta") == {"b.md", "c.md"} and find("chunk_text", "alpha") == {"a.md#0"}
+    stream_index.put_vectors(base, vectors.hashed_embedding(stream_index.pending(spark, base)))
+    assert stream_index.pending(spark, base).count() == 0
+
+    publish = store.update_table
+
+    def ends(place, *args, **kw):  # the last step of the batch never comes
+        if place.endswith("/files"):
+            raise KeyboardInterrupt
+        publish(place, *args, **kw)
+
+    changed = [("a.md", "# A\n\nbeta now", 2), ("b.md", None, 2), ("d.md", "delta", 2)]
+    monkeypatch.setattr(store, "update_table", ends)
+    with pytest.raises(KeyboardInterrupt):
+        stream_index.apply_batch(batch(*changed), base)
+    monkeypatch.undo()
+    assert {tuple(r) for r in stream_index.indexed_files(spark, base).collect()} == {("a.md", 1), ("b.md", 1), ("c.md", 1)}  # so it is done again
+    stream_index.apply_batch(batch(*changed), base)
+    assert {tuple(r) for r in stream_index.indexed_files(spark, base).collect()} == {("a.md", 2), ("c.md", 1), ("d.md", 2)}
+    assert find("text", "beta") == {"a.md", "c.md"} and find("text", "alpha") == set() and find("chunk_text", "b") == {"a.md#0", "c.md#0"}
+    assert {r["file"] for r in stream_index.pending(spark, base).collect()} == {"a.md", "d.md"}
+    assert {r["file"] for r in store.read_table(spark, f"{base}/vectors").collect()} == {"c.md"}
+    stream_index.put_vectors(base, vectors.hashed_embedding(stream_index.pending(spark, base)))
+    assert {r["file"] for r in store.read_table(spark, f"{base}/vectors").collect()} == {"a.md", "c.md", "d.md"}
+
+
+def test_a_changed_table_is_indexed_again(spark, tmp_path):
+    from noteloom.plans import indexed
+
+    source = str(tmp_path / "t.parquet")
+    rows = lambda: spark.read.parquet(source)
+    open_index = lambda: indexed.text_index(spark, "test", source, rows)
+    spark.createDataFrame([(1, "", "alpha")], SCHEMA).write.parquet(source)
+    assert open_index().total == 1
+    place = indexed._places[spark.sparkContext.applicationId, "test", source][1]
+    assert open_index().total == 1 and indexed._places[spark.sparkContext.applicationId, "test", source][1] == place
+    spark.createDataFrame([(2, "", "beta")], SCHEMA).write.mode("append").parquet(source)
+    assert open_index().total == 2
