@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import distill, fusion, graph, layouts, links, markdown, search, store, telemetry, text_index, vectors
+from ..operators import clustering, distill, fusion, graph, layouts, links, markdown, search, store, telemetry, text_index, vectors
 from . import indexed
 from ..sources import convert
 from ..sources.tables import STAR_SQL, star_files, star_triples, table
@@ -546,11 +546,51 @@ def choose_k(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", "n", tx.choose_k(F.col("n")).alias("k"))
 
 
+def kmeans_sql(points: str) -> str:
+    """labels(file, id, label, distance to the centre after the last step), by the rules of distill.kmeans, of points (file, id, x DOUBLE[])."""
+    return f"""points AS ({points}), sizes AS (SELECT file, count(*) AS n, least(count(*), greatest(4, least(24, ceil(count(*) / 8.0))))::INTEGER AS k FROM points GROUP BY file),
+seeds AS (
+  SELECT file, 1 AS n, [arg_min(x, id)] AS c FROM points GROUP BY file
+  UNION ALL SELECT file, n + 1, list_append(any_value(c), arg_max(x, (near, -id))) FROM (
+    SELECT s.file, s.n, s.c, p.id, p.x, list_min(list_transform(s.c, lambda y: list_sum(list_transform(list_zip(y, p.x), lambda z: (z[1] - z[2]) ** 2)))) AS near
+    FROM seeds s JOIN sizes z ON z.file = s.file JOIN points p ON p.file = s.file WHERE s.n < z.k) GROUP BY file, n
+), steps AS (
+  SELECT s.file, 0 AS step, s.c, s.c AS before FROM seeds s JOIN sizes z ON z.file = s.file AND z.k = s.n
+  UNION ALL SELECT file, step + 1, list(m ORDER BY j), any_value(c) FROM (
+    SELECT file, step, j, any_value(c) AS c, list(m ORDER BY d) AS m FROM (SELECT file, step, j, d, any_value(c) AS c, avg(v)::FLOAT::DOUBLE AS m FROM (
+      SELECT file, step, c, list_position(far, list_min(far)) AS j, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM (
+        SELECT s.file, s.step, s.c, p.x, list_transform(s.c, lambda y: list_sum(list_transform(list_zip(y, p.x), lambda z: (z[1] - z[2]) ** 2))) AS far FROM steps s JOIN points p ON p.file = s.file WHERE s.step < 20))
+      GROUP BY file, step, j, d) GROUP BY file, step, j) GROUP BY file, step
+), labels AS (
+  SELECT file, id, list_position(far, list_min(far)) AS label, list_sum(list_transform(list_zip(c[list_position(far, list_min(far))], x), lambda z: (z[1] - z[2]) ** 2)) AS distance FROM (
+    SELECT s.file, s.c, p.id, p.x, list_transform(s.before, lambda y: list_sum(list_transform(list_zip(y, p.x), lambda z: (z[1] - z[2]) ** 2))) AS far FROM steps s JOIN points p ON p.file = s.file WHERE s.step = 20)
+)"""
+
+
 @query()
 def kmeans(spark, d):
     return distill.clusters(table(spark, d, "embeddings").select(F.col("label").alias("file"), F.col("vec_id").alias("chunk_id"), "embedding"))
 
 
+@query(f"""WITH RECURSIVE {kmeans_sql("SELECT label AS file, vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings")},
+found AS (SELECT file, label, row_number() OVER (PARTITION BY file ORDER BY min(id)) - 1 AS cluster FROM labels GROUP BY file, label)
+SELECT file, cluster::INTEGER AS cluster, id, CASE WHEN row_number() OVER (PARTITION BY file, cluster ORDER BY distance, id) <= 4 THEN row_number() OVER (PARTITION BY file, cluster ORDER BY distance, id) ELSE 0 END::INTEGER AS representative FROM labels JOIN found USING (file, label)""")
+def kmeans_members(spark, d):
+    """The clusters within each label: every member, representatives numbered from 1."""
+    members = kmeans(spark, d).select("file", "cluster", F.explode("members").alias("id"), "representatives")
+    return members.select("file", "cluster", "id", F.array_position("representatives", F.col("id")).cast("int").alias("representative"))
+
+
+@query(f"""WITH RECURSIVE {kmeans_sql("SELECT 0 AS file, vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings")},
+found AS (SELECT label, row_number() OVER (ORDER BY min(id)) - 1 AS cluster FROM labels GROUP BY label)
+SELECT id, cluster::INTEGER AS cluster, round(distance, 6) AS distance, (row_number() OVER (PARTITION BY cluster ORDER BY distance, id) <= 4) AS representative FROM labels JOIN found USING (label)""")
+def kmeans_all(spark, d):
+    """All vectors as one set, clustered by passes over the whole table."""
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows, nearest = clustering.kmeans(points, distill.cluster_count(points.count()))
+    return rounded(rows.join(nearest.select("id", F.lit(True).alias("representative")), "id", "left").withColumn("representative", F.coalesce("representative", F.lit(False))), "distance")
+
+
 @query("""SELECT b.item_id, d.doc_id, (strpos(d.text, trim(b.text)) - 1)::BIGINT AS start, (strpos(d.text, trim(b.text)) - 1 + length(trim(b.text)))::BIGINT AS "end" FROM benchmark b JOIN documents d ON contains(d.text, trim(b.text))""")
 def ground_quotes(spark, d):
     """Benchmark texts as quotes, located in the documents.
