@@ -14,21 +14,43 @@ def histogram(samples: DataFrame) -> DataFrame:
     return samples.sparkSession.range(15).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def summary(samples: DataFrame) -> DataFrame:
-    """count, max, mean and p99: the sorted element at least(n - 1, floor(0.99 n)).
+def ordered_bits(value: Column) -> Column:
+    """A double as a long of the same order: its bits, those of negative numbers turned round. -0.0 is 0.0, NaN comes last."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits).bitwiseXOR(F.lit(-(1 << 63)))).otherwise(bits)
+
+
+def nth_value(values: DataFrame, nth: int, bits: int = 16) -> float | None:
+    """The nth (from 0) of the sorted values (one column of doubles without nulls), or None beyond the last.
 
-    The element is found from counts per value: cumulative counts over ranges of values, then within the range.
+    Radix selection: values are counted by the leading bits of their ordered_bits(), then those of the bucket that holds
+    the nth by the next ones, until a bucket's values are all the same. Each of the at most 64 / bits rounds is one grouped
+    count, of which at most 2 ** bits rows come back; no value is sorted, and no task gets a bucket.
     """
-    s = samples.where("ms is not null").select("ms")
+    (name,) = values.columns
+    left, inside = values.select(F.col(name).cast("double").alias("v"), ordered_bits(F.col(name)).alias("k")), F.lit(True)
+    for shift in range(64 - bits, -1, -bits):
+        top = F.shiftright("k", shift)
+        buckets = left.where(inside).groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("top").collect()
+        for r in buckets:
+            if nth < r["c"]:
+                break
+            nth -= r["c"]
+        else:
+            return None
+        if r["lo"] == r["hi"]:
+            return r["lo"]
+        inside = top == r["top"]
+    return r["lo"]
+
+
+def summary(samples: DataFrame) -> DataFrame:
+    """count, max, mean and p99, one row: p99 is the sorted element at least(n - 1, floor(0.99 n)), by radix selection."""
+    s = samples.where("ms is not null").select(F.col("ms").cast("double").alias("ms"))
     total = s.agg(F.count(F.lit(1)).alias("count"), F.max("ms").alias("max"), F.avg("ms").alias("mean"))
-    nth = F.least(F.col("count") - 1, F.floor(F.col("count") * 0.99))
-    values = s.groupBy("ms").agg(F.count(F.lit(1)).alias("c")).withColumn("part", F.floor(F.log2(F.greatest(F.abs("ms"), F.lit(1e-9))) * 64) * F.signum(F.col("ms")))
-    parts = values.groupBy("part").agg(F.sum("c").alias("pc"), F.min("ms").alias("lo"))
-    before = F.coalesce(F.sum("pc").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a bounded number of ranges
-    placed = parts.withColumn("before", before).crossJoin(F.broadcast(total)).where((nth >= F.col("before")) & (nth < F.col("before") + F.col("pc"))).select("part", "before", "count", "max", "mean")  # one row
-    inside = values.join(F.broadcast(placed), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("ms")))
-    p = inside.where(F.col("upto") > nth).groupBy("count", "max", "mean").agg(F.min("ms").alias("p99"))
-    return total.join(p.select("p99"), F.lit(True), "left")
+    n = s.count()
+    p99 = nth_value(s, min(n - 1, n * 99 // 100)) if n else None
+    return total.withColumn("p99", F.lit(p99).cast("double"))
 
 
 def worst(samples: DataFrame, k: int = 6) -> DataFrame:

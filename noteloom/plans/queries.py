@@ -286,6 +286,14 @@ def semantic_edges(spark, d):
     return rounded(vectors.semantic_edges(vectors.centroids(note_vectors(spark, d)), blocks=3), "score")
 
 
+@query("""WITH s AS (SELECT a.vec_id AS source, b.vec_id AS target, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT source, target, round(score, 6) AS score FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(s.score, 12) DESC, target) <= 4""")
+def vector_edges(spark, d):
+    """The nearest others of every vector of the table, by blocks of 100 with pivots."""
+    e, _ = vectors.pruned_edges(embeddings(spark, d).select("key", "embedding"), least=0.2, key="key", block_rows=100)
+    return rounded(e, "score")
+
+
 @query(f"""WITH {CENTROIDS}, s AS (SELECT a.file AS source, b.file AS target, sum(a.x * b.x) AS score FROM c a JOIN c b USING (pos) WHERE a.file <> b.file GROUP BY ALL),
 e AS (SELECT * FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(s.score, 12) DESC, target) <= 4)
 SELECT source, target, round(score, 6) AS score FROM e WHERE abs(source - target) <> 1""")

@@ -60,3 +60,60 @@ def test_sums_of_vectors(spark):
         vectors.summed(spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "key string, embedding array<float>").coalesce(1)).count()
     zero = vectors.centroids(spark.createDataFrame([("z", [0.0, 0.0]), (None, [1.0, 1.0]), ("n", None)], "file string, embedding array<float>")).select("file", F.array_max("embedding")).collect()
     assert [tuple(r) for r in zero] == [("z", 0.0)]
+
+
+def brute_edges(rows, k, least):
+    x = np.array([v for _, v in rows], float)
+    s = np.round(x @ x.T, 12)
+    out = set()
+    for i, (name, _) in enumerate(rows):
+        ranked = sorted((-s[i, j], rows[j][0]) for j in range(len(rows)) if rows[j][0] != name and s[i, j] >= least)
+        out |= {(name, t) for _, t in ranked[:k]}
+    return out
+
+
+@pytest.mark.parametrize(("least", "odd"), [(0.0, False), (0.7, True)])
+def test_pruned_neighbours_are_all_neighbours(spark, least, odd):
+    rng = np.random.default_rng(9)
+    centres = np.eye(6)
+    x = np.concatenate([c + rng.normal(size=(40, 6)) * 0.05 for c in centres])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x = x.astype(np.float32).astype(float)
+    if odd:  # zero vectors, longer ones, and copies
+        x[3], x[50], x[60:70] = 0, x[50] * 3, x[60]
+    x = np.concatenate([x, -x[:5]])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "file long, embedding array<double>").repartition(3)
+    edges, skipped = vectors.pruned_edges(df, 3, least, block_rows=20)
+    assert {(r["source"], r["target"]) for r in edges.collect()} == brute_edges(rows, 3, least)
+    assert skipped > 0.3
+    whole, none = vectors.pruned_edges(df, 3, least)
+    assert {(r["source"], r["target"]) for r in whole.collect()} == brute_edges(rows, 3, least) and none == 0
+
+
+def test_nothing_to_prune(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 30)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    rows = [(f"v{i:02}", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "file string, embedding array<float>")
+    edges, _ = vectors.pruned_edges(df, 4, -1.0, block_rows=10)
+    assert {(r["source"], r["target"]) for r in edges.collect()} == brute_edges(rows, 4, -1.0)
+    assert vectors.pruned_edges(df.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.005, 0.995] * 500, [-5.5, -0.0, 0.0, 7.0, 1e300, -1e-300, float("inf")], list(range(2000)), [0.0] * 10, [float("nan"), 2.0]])
+def test_radix_selection(spark, values):
+    from noteloom.operators import telemetry
+
+    rng = random.Random(1)
+    values = [float(v) * (1 + rng.random() * 0.001) if len(values) == 1500 else float(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "ms double").repartition(4)
+    ranked = sorted(values, key=lambda v: (v != v, v))
+    for nth in {0, len(values) // 2, min(len(values) - 1, len(values) * 99 // 100)}:
+        for bits in (16, 8):
+            got = telemetry.nth_value(df, nth, bits)
+            assert got == ranked[nth] or got != got and ranked[nth] != ranked[nth]
+    assert telemetry.nth_value(df, len(values)) is None
+    keys = [r[0] for r in df.select("ms", telemetry.ordered_bits(F.col("ms")).alias("k")).orderBy("k").select("ms").collect()]
+    assert [v for v in keys if v == v] == [v for v in ranked if v == v]
