@@ -116,14 +116,23 @@ def parse_extraction(reply: str | None) -> tuple[bool, list[dict]]:
     return True, out
 
 
-def extract(prompt_rows: DataFrame, ask: Callable[[str], str], by: str = "file") -> DataFrame:
-    """by, cluster, ok, items: the model's reply to each prompt, asked once more if it can't be parsed."""
+#: What a model is told before the chunks: the form of its answer, and that only quoted things count.
+RULE = f"""From the numbered chunks below, take notes that the chunks themselves prove. Reply with one JSON object and nothing else:
+{{"items": [{{"kind": one of {", ".join(KINDS)}, "title": a short name, "summary": one or two sentences,
+"evidence": [{{"chunkId": the chunk's number, "quote": words exactly as they stand in that chunk}}],
+"links": [{{"relation": how it relates, for example about, supports, contrasts_with, part_of, "target": the title of another item}}]}}]}}
+Every item needs at least one quote, letter for letter. Leave out whatever you can't quote."""
+
+
+def extract(prompt_rows: DataFrame, ask: Callable[[str], str], by: str = "file", rule: str = RULE) -> DataFrame:
+    """by, cluster, ok, items: the model's reply to the rule and each prompt, asked once more if it can't be parsed."""
     kind = dict(prompt_rows.dtypes)[by]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = []
             for p in f.prompt:
+                p = f"{rule}\n\n{p}"
                 ok, items = parse_extraction(reply := ask(p))
                 if not ok:
                     ok, items = parse_extraction(ask(f"{p}\n\nAnswer with JSON only. The last answer was:\n{reply[:800]}"))

@@ -7,7 +7,7 @@ import os
 import re
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 
@@ -57,30 +57,31 @@ def payload_text(value: dict) -> str:
     return (choices[0].get("delta") or {}).get("content") or ""
 
 
-#: Public endpoints and the environment variables that hold their keys (fixed values of the providers' interfaces).
-ENDPOINTS = {"anthropic": ("https://api.anthropic.com", "ANTHROPIC_API_KEY"), "openai": ("https://api.openai.com/v1", "OPENAI_API_KEY"), "ollama": ("http://localhost:11434/v1", "")}
-
-
 @dataclass
 class HttpChat:
-    """A model behind one of the two common streaming interfaces. The key comes from the environment, else from `key`."""
+    """A model behind one of the two common streaming interfaces, at an address that the settings name.
 
-    provider: str
+    dialect: "messages" (events with a delta's text) or "completions" (events with choices). The key comes from the
+    environment variable key_variable, if one is named and set, else from `key`; headers are sent besides.
+    """
+
+    dialect: str
     model: str
-    base_url: str = ""
+    base_url: str
     key: str = ""
+    key_variable: str = ""
+    headers: dict[str, str] = field(default_factory=dict)
     max_tokens: int = 4096
     timeout: float = 60.0
 
     def request(self, prompt: str) -> urllib.request.Request:
-        base, variable = ENDPOINTS[self.provider]
-        base, key = (self.base_url or base).rstrip("/"), os.environ.get(variable, "") or self.key
+        if self.dialect not in ("messages", "completions"):
+            raise ValueError(f"unknown dialect: {self.dialect!r}")
+        key = (os.environ.get(self.key_variable, "") if self.key_variable else "") or self.key
         body = {"model": self.model, "stream": True, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": prompt}]}
-        if self.provider == "anthropic":
-            url, headers = f"{base}/v1/messages", {"x-api-key": key, "anthropic-version": "2023-06-01"}
-        else:
-            url, headers = f"{base}/chat/completions", {"authorization": f"Bearer {key}"} if key else {}
-        return urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
+        path = "/v1/messages" if self.dialect == "messages" else "/chat/completions"
+        sign = {} if not key else {"x-api-key": key} if self.dialect == "messages" else {"authorization": f"Bearer {key}"}
+        return urllib.request.Request(self.base_url.rstrip("/") + path, json.dumps(body).encode(), {"content-type": "application/json", **sign, **self.headers})
 
     def stream(self, prompt: str) -> Iterator[str]:
         with urllib.request.urlopen(self.request(prompt), timeout=self.timeout) as reply:

@@ -19,24 +19,43 @@ TEXT = (".md", ".markdown", ".txt", ".text")
 
 
 class _Markdown(HTMLParser):
-    """Headings, paragraphs, list items, links and emphasis of a page's body."""
+    """Headings, paragraphs, list items, code blocks, links and emphasis of a page's body."""
 
     BLOCKS = {"p", "div", "section", "article", "blockquote", "ul", "ol", "table", "tr", "pre", "br"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip, self.links = 0, []
+        self.code: list[str] = []  # texts of pre elements, whose lines stay
+        self.skip, self.head, self.pre = 0, False, False
+        self.links, self.lists = [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "head"):
+        heading = re.fullmatch("h[1-6]", tag)
+        if tag == "body" or heading or tag in self.BLOCKS:
+            self.head = False  # a head ends where the body begins, whether it is closed or not
+        if tag == "head":
+            self.head = True
+        elif tag in ("script", "style"):
             self.skip += 1
-        elif re.fullmatch("h[1-6]", tag):
+        elif heading:
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
-            self.out.append("\n- ")
+            if self.lists and self.lists[-1] is not None:
+                self.lists[-1] += 1
+                self.out.append(f"\n{self.lists[-1]}. ")
+            else:
+                self.out.append("\n- ")
+        elif tag == "pre":
+            self.pre = True
+            self.code.append("")
+            self.out.append(f"\n\n\0{len(self.code) - 1}\0\n\n")
         elif tag in self.BLOCKS:
+            if tag in ("ul", "ol"):
+                self.lists.append(0 if tag == "ol" else None)
             self.out.append("\n" if tag == "br" else "\n\n")
+        elif self.pre:
+            return
         elif tag in ("em", "i", "strong", "b"):
             self.out.append("_" if tag in ("em", "i") else "**")
         elif tag == "a":
@@ -44,10 +63,18 @@ class _Markdown(HTMLParser):
             self.out.append("[" if self.links[-1] else "")
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "head"):
+        if tag == "head":
+            self.head = False
+        elif tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
+        elif tag == "pre":
+            self.pre = False
         elif re.fullmatch("h[1-6]", tag) or tag in self.BLOCKS - {"br"}:
+            if tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
             self.out.append("\n\n")
+        elif self.pre:
+            return
         elif tag in ("em", "i", "strong", "b"):
             self.out.append("_" if tag in ("em", "i") else "**")
         elif tag == "a" and self.links:
@@ -55,8 +82,12 @@ class _Markdown(HTMLParser):
             self.out.append(f"]({url})" if url else "")
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
+        if self.skip or self.head:
+            return
+        if self.pre:
+            self.code[-1] += data
+        else:
+            self.out.append(re.sub(r"\s+", " ", data.replace("\0", "")))
 
 
 def html_to_markdown(html: str) -> str:
@@ -64,7 +95,8 @@ def html_to_markdown(html: str) -> str:
     p.feed(html or "")
     p.close()
     text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(p.out))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    text = re.sub(r"\n{3,}", "\n\n", text).strip()
+    return re.sub("\0(\\d+)\0", lambda m: "```\n" + p.code[int(m[1])].strip("\r\n") + "\n```", text)
 
 
 def epub_to_markdown(data: bytes) -> str:
@@ -118,27 +150,57 @@ def _pdf_strings(content: bytes) -> str:
     return "\n".join(" ".join(x.split()) for x in "".join(out).split("\n") if x.strip())
 
 
-def pdf_to_markdown(data: bytes) -> str:
-    """A section per page with text. Reads plain and deflated content streams of simple fonts."""
+def _pdf_stream(body: bytes) -> bytes:
+    m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
+    if not m:
+        return b""
+    try:
+        return zlib.decompress(m[1]) if b"FlateDecode" in body[: m.start()] else m[1]
+    except zlib.error:
+        return b""
+
+
+def _pdf_objects(data: bytes) -> dict[int, bytes]:
+    """The objects of a file by number, those inside of object streams too; the last version of a number counts."""
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+    for body in list(objects.values()):
+        first = re.search(rb"/First\s+(\d+)", body)
+        if first and re.search(rb"/Type\s*/ObjStm\b", body):
+            packed = _pdf_stream(body)
+            numbers = [int(x) for x in packed[: int(first[1])].split()]
+            places = [int(first[1]) + x for x in numbers[1::2]] + [len(packed)]
+            for number, a, z in zip(numbers[::2], places, places[1:], strict=False):
+                objects.setdefault(number, packed[a:z])
+    return objects
+
+
+def _pdf_pages(objects: dict[int, bytes]) -> list[bytes]:
+    """The pages in reading order, which is that of the page tree; without a tree that of the file."""
+    refs = lambda body, key: [int(r) for r in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if (m := re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)) else []
+    is_page = lambda body: re.search(rb"/Type\s*/Page\b(?!s)", body)
+    roots = [r for body in objects.values() if re.search(rb"/Type\s*/Catalog\b", body) for r in refs(body, b"Pages")]
+    pages, todo, seen = [], roots[-1:], set()
+    while todo:
+        number = todo.pop(0)
+        body = objects.get(number, b"")
+        if number in seen:
+            continue
+        seen.add(number)
+        if is_page(body):
+            pages.append(body)
+        todo = refs(body, b"Kids") + todo
+    return pages or [body for body in objects.values() if is_page(body)]
 
-    def stream(body: bytes) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
-        if not m:
-            return b""
-        try:
-            return zlib.decompress(m[1]) if b"FlateDecode" in body[: m.start()] else m[1]
-        except zlib.error:
-            return b""
-
-    parts, number = [], 0
-    for body in objects.values():
-        if re.search(rb"/Type\s*/Page\b(?!s)", body):
-            number += 1
-            refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-            text = "\n".join(_pdf_strings(stream(objects.get(int(r), b""))) for r in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else ""
-            if text.strip():
-                parts.append(f"## Page {number}\n\n{text.strip()}")
+
+def pdf_to_markdown(data: bytes) -> str:
+    """A section per page with text. Reads plain and deflated content and object streams, and simple fonts."""
+    objects = _pdf_objects(data)
+    parts = []
+    for number, body in enumerate(_pdf_pages(objects), 1):
+        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        text = "\n".join(_pdf_strings(_pdf_stream(objects.get(int(r), b""))) for r in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else ""
+        if text.strip():
+            parts.append(f"## Page {number}\n\n{text.strip()}")
     if not parts:
         raise ValueError("the PDF has no text")
     return "\n\n".join(parts) + "\n"

@@ -61,21 +61,55 @@ def parse(text: str) -> Settings:
     return _filled(Settings(), values)
 
 
+def _open_after(line: str, state: tuple[int, str]) -> tuple[int, str]:
+    """What is open behind a line of TOML, given what was before it: how many brackets of a value, and which string."""
+    depth, quote = state
+    at = 0
+    if not quote and not depth:
+        if line.lstrip().startswith("[") or "=" not in line:
+            return state  # a table's head, or nothing
+        at = line.index("=") + 1
+    while at < len(line):
+        if quote:
+            if line.startswith(quote, at):
+                at, quote = at + len(quote), ""
+                continue
+            at += 2 if line[at] == "\\" and quote[0] == '"' else 1
+            continue
+        if line[at] == "#":
+            break
+        if line[at] in "\"'":
+            quote = line[at] * 3 if line.startswith(line[at] * 3, at) else line[at]
+            at += len(quote)
+            continue
+        depth += (line[at] in "[{") - (line[at] in "]}")
+        at += 1
+    return max(0, depth), quote if len(quote) == 3 else ""  # other strings end with their line
+
+
 def edited(text: str, key: str, value: str | float | bool) -> str:
-    """TOML text with one key (dotted: table.key) set in place; all other lines, comments too, stay as they are."""
+    """TOML text with one key (dotted: table.key) set in place; all other lines, comments too, stay as they are.
+
+    A value that goes over several lines, an array or a string, is one value: its lines are neither heads nor keys.
+    """
     table, _, name = key.rpartition(".")
     shown = json.dumps(value) if isinstance(value, str | bool) else repr(value)
     lines, here, last = text.split("\n"), "", -1 if not table else None
+    state, mine = (0, ""), None
     for i, line in enumerate(lines):
-        bare = line.strip()
-        if bare.startswith("["):
+        bare, inside = line.strip(), state != (0, "")
+        state = _open_after(line, state)
+        if not inside and bare.startswith("["):
             here = bare.partition("]")[0].lstrip("[").strip()
             last = i if here == table else last
-        elif here == table and "=" in bare and not bare.startswith("#"):
-            if bare.partition("=")[0].strip().strip('"') == name:
-                lines[i] = f"{name} = {shown}"
-                return "\n".join(lines)
+        elif not inside and here == table and "=" in bare and not bare.startswith("#"):
+            if bare.partition("=")[0].strip().strip("\"'") == name:
+                mine = i
+            last = i
+        elif inside and here == table:
             last = i
+        if mine is not None and state == (0, ""):
+            return "\n".join([*lines[:mine], f"{name} = {shown}", *lines[i + 1 :]])
     if last is None:  # no such table yet
         return text.rstrip("\n") + ("\n\n" if text.strip() else "") + f"[{table}]\n{name} = {shown}\n"
     lines.insert(last + 1, f"{name} = {shown}")

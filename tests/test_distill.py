@@ -158,8 +158,8 @@ def test_cancel_ends_tagged_jobs(spark):
         spark.range(4, numPartitions=4).rdd.foreach(lambda _: __import__("time").sleep(60))
 
 
-@pytest.mark.parametrize("provider", ["anthropic", "openai", "ollama"])
-def test_providers(provider, monkeypatch):
+@pytest.mark.parametrize(("dialect", "variable"), [("messages", ""), ("completions", ""), ("completions", "NOTE_TEST_KEY")])
+def test_dialects(dialect, variable, monkeypatch):
     import http.server
     import json
     import threading
@@ -171,7 +171,7 @@ def test_providers(provider, monkeypatch):
     class Server(http.server.BaseHTTPRequestHandler):
         def do_POST(self):
             seen.update(path=self.path, headers={k.lower(): v for k, v in self.headers.items()}, body=json.loads(self.rfile.read(int(self.headers["content-length"]))))
-            piece = (lambda t: {"delta": {"text": t}}) if provider == "anthropic" else (lambda t: {"choices": [{"delta": {"content": t}}]})
+            piece = (lambda t: {"delta": {"text": t}}) if dialect == "messages" else (lambda t: {"choices": [{"delta": {"content": t}}]})
             self.send_response(200)
             self.end_headers()
             for t in ("one ", "two"):
@@ -181,12 +181,28 @@ def test_providers(provider, monkeypatch):
         def log_message(self, *a):
             pass
 
-    for name in ("ANTHROPIC_API_KEY", "OPENAI_API_KEY"):
-        monkeypatch.delenv(name, raising=False)
+    monkeypatch.setenv("NOTE_TEST_KEY", "from the environment")
     server = http.server.HTTPServer(("127.0.0.1", 0), Server)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
-        assert answer(HttpChat(provider, "m", f"http://127.0.0.1:{server.server_port}", key="k"), "hi") == "one two"
+        assert answer(HttpChat(dialect, "m", f"http://127.0.0.1:{server.server_port}/", key="k", key_variable=variable, headers={"x-more": "1"}), "hi") == "one two"
     finally:
         server.shutdown()
-    assert seen["body"]["model"] == "m" and seen["body"]["messages"][0]["content"] == "hi" and "k" in (seen["headers"].get("x-api-key", "") + seen["headers"].get("authorization", ""))
+    assert seen["body"]["model"] == "m" and seen["body"]["messages"][0]["content"] == "hi" and seen["headers"]["x-more"] == "1"
+    sent = seen["headers"].get("x-api-key") or seen["headers"]["authorization"].removeprefix("Bearer ")
+    assert sent == ("from the environment" if variable else "k")
+    with pytest.raises(ValueError, match="dialect"):
+        HttpChat("other", "m", "http://localhost").request("hi")
+
+
+def test_the_rule_comes_with_every_prompt(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(prompt):
+        asked.add(distill.RULE in prompt and "JSON" in prompt and prompt.endswith(("text", "broken")))
+        return "broken"
+
+    rows = spark.createDataFrame([("a", 0, "[chunk 1] h\ntext")], "file string, cluster int, prompt string")
+    assert [tuple(r) for r in distill.extract(rows, ask).select("ok", "items").collect()] == [(False, [])]
+    assert asked.value == 2
+    assert "[chunk " not in distill.RULE

@@ -212,6 +212,36 @@ def test_convert(spark):
     assert got["a.md"]["content"] == "# x" and all(got[k]["error"] and got[k]["content"] is None for k in ("b.pdf", "c.epub", "d.doc")) and got["e.epub"]["error"] is None
 
 
+def test_pdf_pages_follow_the_page_tree():
+    text = lambda n, t: f"{n} 0 obj <</Length 9>>\nstream\nBT ({t}) Tj ET\nendstream\nendobj\n"
+    page = lambda c: f"<</Type /Page /Contents {c} 0 R>>"
+    tree = "1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [5 0 R 6 0 R] /Count 3>> endobj\n6 0 obj <</Type /Pages /Parent 2 0 R /Kids [4 0 R 3 0 R]>> endobj\n"
+    plain = "%PDF-1.4\n" + "".join(f"{n} 0 obj {page(n + 10)} endobj\n" for n in (3, 4, 5)) + "".join(text(n + 10, t) for n, t in ((3, "last"), (4, "middle"), (5, "first")))
+    assert convert.pdf_to_markdown((plain + tree).encode()) == "## Page 1\n\nfirst\n\n## Page 2\n\nmiddle\n\n## Page 3\n\nlast\n"
+    assert convert.pdf_to_markdown(plain.encode()).split("\n")[2] == "last"  # no tree: the file's order
+    inner = [page(13), "<</Type /Catalog /Pages 2 0 R>>", "<</Type /Pages /Kids [3 0 R]>>"]
+    starts = [0, len(inner[0]) + 1, len(inner[0]) + len(inner[1]) + 2]
+    head = " ".join(f"{n} {at}" for n, at in zip((3, 1, 2), starts)) + " "
+    packed = zlib.compress((head + " ".join(inner)).encode())
+    stream = f"9 0 obj <</Type /ObjStm /N 3 /First {len(head)} /Filter /FlateDecode /Length {len(packed)}>>\nstream\n".encode() + packed + b"\nendstream\nendobj\n"
+    assert convert.pdf_to_markdown(b"%PDF-1.5\n" + stream + text(13, "packed").encode()) == "## Page 1\n\npacked\n"
+
+
+def test_html_heads_code_and_numbers():
+    assert convert.html_to_markdown("<html><head><title>x</title><body><h1>T</h1><p>hi there</p>") == "# T\n\nhi there"
+    assert convert.html_to_markdown("<head><title>x</title><meta a><p>text</p>") == "text"
+    assert convert.html_to_markdown("<pre>a  b\n   c <b>d</b>\n</pre><p>e</p>") == "```\na  b\n   c d\n```\n\ne"
+    assert convert.html_to_markdown("<ol><li>a</li><li>b<ul><li>c</li></ul></li><li>d</li></ol><ul><li>e</li></ul>").split() == "1. a 2. b - c 3. d - e".split()
+
+
+def test_settings_values_of_several_lines():
+    text = 'a = [\n [1, 2],  # ]\n "k = 3",\n]\nk = 1\n[t]\ns = """\n[x]\nk = 9\n"""\nk = 2\n'
+    assert settings.edited(text, "k", 5) == text.replace("\nk = 1\n", "\nk = 5\n")
+    assert settings.edited(text, "t.k", 5) == text.replace("\nk = 2\n", "\nk = 5\n")
+    assert settings.edited(text, "a", True) == "a = true\n" + text.partition("]\nk")[1][2:] + text.partition("]\nk")[2]
+    assert settings.edited("a = [\n1,\n]\n", "b", 2) == "a = [\n1,\n]\nb = 2\n"
+
+
 def test_settings():
     s = settings.parse('theme = "dark"\n[semantic]\nenabled = true\nmin_score = 7\n[chat]\nprovider = "odd"\nmodel = "m"')
     assert s.theme == "dark" and s.semantic.enabled and s.semantic.min_score == 0.5 and s.chat.provider == "ollama" and s.chat.model == "m"
