@@ -2,41 +2,102 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.workspace import cut
 
-def _listed(spark: SparkSession, root: str) -> list[tuple[str, bool, int]]:
-    """(path relative to root, is a folder, mtime ms), names that start with a dot left out. Listing is the driver's; contents are not read."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
+
+#: From so many folders on a level of the tree is listed by executors.
+SPREAD = 32
+
+
+def _list(spark: SparkSession, root: str, folders: list[str]) -> list[tuple[str, bool, int]]:
+    """(path relative to root, is a folder, mtime ms) of what stands in the folders; names that start with a dot are left out."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out, stack = [], [(top, "")]
-    while stack:
-        path, rel = stack.pop()
-        for st in fs.listStatus(path):
+    path, out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    for rel in folders:
+        for st in fs.listStatus(path(f"{root.rstrip('/')}/{rel}") if rel else top):
             name = st.getPath().getName()
-            if name.startswith("."):
-                continue
-            below = f"{rel}/{name}" if rel else name
-            out.append((below, st.isDirectory(), st.getModificationTime()))
-            if st.isDirectory():
-                stack.append((st.getPath(), below))
+            if not name.startswith("."):
+                out.append((f"{rel}/{name}" if rel else name, st.isDirectory(), st.getModificationTime()))
     return out
 
 
+def _opener(root: str):
+    """What lists the folders of root in a Python worker: (file system, path of root), or None where only the JVM can."""
+    from pyarrow import fs
+
+    try:
+        system, top = fs.FileSystem.from_uri(root) if re.match("[a-z0-9]+:", root) else (fs.LocalFileSystem(), root)
+        return (system, top.rstrip("/")) if system.get_file_info(top.rstrip("/")).type == fs.FileType.Directory else None
+    except (OSError, ValueError, NotImplementedError):
+        return None
+
+
+def _list_spread(folders: DataFrame, root: str) -> DataFrame:
+    """_list() by executors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, top = _opener(root)
+        for f in frames:
+            rows = []
+            for rel in f.rel:
+                for x in system.get_file_info(fs.FileSelector(f"{top}/{rel}")):
+                    if not x.base_name.startswith("."):
+                        rows.append((f"{rel}/{x.base_name}", x.type == fs.FileType.Directory, x.mtime_ns // 1_000_000))
+            yield pd.DataFrame(rows, columns=["rel", "is_dir", "mtime"])
+
+    return folders.select("rel").mapInPandas(run, "rel string, is_dir boolean, mtime long")
+
+
+def listing(spark: SparkSession, root: str, spread: int = SPREAD) -> DataFrame:
+    """rel, is_dir, mtime (ms) of all files and folders below root, level by level; no content is read.
+
+    Folders whose names start with a dot are left out with all below them. A level of `spread` folders or more is listed
+    by executors, a folder a row, and only its number comes back. That needs a file system that Python workers can open
+    (local and mounted ones, and those that pyarrow knows); any other is listed through the driver's Hadoop client.
+    """
+    schema = "rel string, is_dir boolean, mtime long"
+    able = _opener(root) is not None
+    found = _list(spark, root, [""])
+    folders = [r for r, is_dir, _ in found if is_dir]
+    while folders and not (able and len(folders) >= spread):
+        below = _list(spark, root, folders)
+        found += below
+        folders = [r for r, is_dir, _ in below if is_dir]
+    every = spark.createDataFrame(found, schema)
+    level = spark.createDataFrame([(r,) for r in folders], "rel string")
+    while folders:
+        here = cut(_list_spread(level.repartition(max(1, len(folders) // 4)) if isinstance(folders, list) else level, root))
+        every, level = every.unionByName(here), here.where("is_dir").select("rel")
+        folders = level.count()
+    return every
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """rel, mtime of all notes below root."""
+    return listing(spark, root).where(~F.col("is_dir") & F.lower("rel").endswith(".md")).select("rel", "mtime")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, name, rel, mtime of all .md files (any case) below root, in language-aware order of rel."""
-    rows = [(f"{root.rstrip('/')}/{r}", r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md")]
-    df = spark.createDataFrame(rows, "path string, rel string, mtime long")
+    df = _listed(spark, root).select(F.concat(F.lit(root.rstrip("/") + "/"), "rel").alias("path"), "rel", "mtime")
     name = F.regexp_replace(F.element_at(F.split("rel", "/"), -1), r"(?i)\.md$", "")
     return df.select("path", name.alias("name"), "rel", "mtime").orderBy(F.collate("rel", "UNICODE"), "rel")
 
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
-    return spark.createDataFrame([(r,) for r, is_dir, _ in _listed(spark, root) if is_dir], "rel string")
+    return listing(spark, root).where("is_dir").select("rel")
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -48,18 +109,47 @@ def _relative(path: Column, root: str) -> Column:
 def notes(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content, mtime of all notes below root; files are found by one recursive scan and read by the executors.
 
-    Spark's scan passes over names with a leading underscore; those few are listed, and read one by one.
+    Spark's scan passes over names with a leading underscore; those are listed, and read by their paths.
     """
-    base = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "true").load(base)
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "true").load(root.rstrip("/"))
     read = df.select(_relative(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
     shown = read.where(~F.col("path").rlike(r"(^|/)[._]"))
-    odd = [(r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md") and any(p.startswith("_") for p in r.split("/"))]
-    return shown.unionByName(_each(spark, base, odd))
+    odd = _listed(spark, root).where(F.col("rel").rlike("(^|/)_"))
+    return shown.unionByName(_read(odd, root))
+
+
+def _read(found: DataFrame, root: str) -> DataFrame:
+    """path, content, mtime of the notes found (rel, mtime), of which each is opened once, by the executors.
+
+    Where Python workers can't open the file system, the paths go to Spark's reader of binary files; it can't see those with
+    a leading underscore, which are few and are read through the driver.
+    """
+    spark = found.sparkSession
+    if _opener(root) is not None:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            system, top = _opener(root)
+            for f in frames:
+                for rel, mtime in zip(f.rel, f.mtime, strict=True):
+                    try:
+                        with system.open_input_stream(f"{top}/{rel}") as stream:
+                            content = stream.read().decode("utf-8", "replace")
+                    except FileNotFoundError:
+                        continue  # deleted since it was listed; the next listing says so
+                    yield pd.DataFrame([(rel, content, mtime)], columns=["path", "content", "mtime"])
+
+        return found.select("rel", "mtime").mapInPandas(run, "path string, content string, mtime long")
+    rows = [(r["rel"], r["mtime"]) for r in found.collect()]
+    odd = [(r, m) for r, m in rows if any(p.startswith("_") for p in r.split("/"))]
+    out = _each(spark, root.rstrip("/"), odd)
+    if plain := [f"{root.rstrip('/')}/{r}" for r, _ in rows if (r, _) not in set(odd)]:
+        df = spark.read.format("binaryFile").load(plain)
+        out = out.unionByName(df.select(_relative(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime")))
+    return out
 
 
 def _each(spark: SparkSession, base: str, found: list[tuple[str, int]]) -> DataFrame:
-    return spark.createDataFrame([(r, _read(spark, f"{base}/{r}"), m) for r, m in found], "path string, content string, mtime long")
+    return spark.createDataFrame([(r, _text(spark, f"{base}/{r}"), m) for r, m in found], "path string, content string, mtime long")
 
 
 def note(spark: SparkSession, root: str, path: str) -> DataFrame:
@@ -74,16 +164,14 @@ def note(spark: SparkSession, root: str, path: str) -> DataFrame:
 def changes(spark: SparkSession, root: str, known: DataFrame, settle_ms: int = 0) -> DataFrame:
     """path, content, mtime of the notes that are new or have another mtime than known (path, mtime) says; null content: deleted.
 
-    A file changed less than settle_ms ago may still be written to; it waits for the next call.
+    Paths and times are compared first; only the changed notes are opened. A file changed less than settle_ms ago may
+    still be written to; it waits for the next call.
     """
-    import time
-
     newest = int(time.time() * 1000) - settle_ms
-    now = spark.createDataFrame([(r, m) for r, is_dir, m in _listed(spark, root) if not is_dir and r.lower().endswith(".md")], "path string, mtime long")
-    both = now.join(known.select("path", F.col("mtime").alias("known")), "path", "full_outer")
-    gone = both.where("mtime is null").select("path", F.lit(None).cast("string").alias("content"), F.col("known").alias("mtime"))
-    fresh = both.where((F.col("mtime") <= newest) & ~F.col("mtime").eqNullSafe(F.col("known"))).select("path")
-    return notes(spark, root).join(fresh, "path", "left_semi").select("path", "content", "mtime").unionByName(gone)
+    both = _listed(spark, root).withColumnRenamed("rel", "path").join(known.select("path", F.col("mtime").alias("known")), "path", "full_outer")
+    changed = cut(both.where((F.col("mtime").isNull()) | ((F.col("mtime") <= newest) & ~F.col("mtime").eqNullSafe(F.col("known")))))
+    gone = changed.where("mtime is null").select("path", F.lit(None).cast("string").alias("content"), F.col("known").alias("mtime"))
+    return _read(changed.where("mtime is not null").select(F.col("path").alias("rel"), "mtime"), root).unionByName(gone)
 
 
 def write(spark: SparkSession, root: str, path: str, content: str) -> None:
@@ -120,7 +208,7 @@ def move(spark: SparkSession, root: str, old: str, new: str) -> None:
         raise ValueError(f"cannot move {old!r} to {new!r}")
 
 
-def _read(spark: SparkSession, path: str) -> str:
+def _text(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)

@@ -111,6 +111,46 @@ def test_vault_changes(spark, tmp_path):
     assert {r["path"] for r in vault.notes(spark, "file://" + root).collect()} == {"a.md", "e/f/b.md", "new.md"}
 
 
+def test_only_changed_notes_are_opened(spark, tmp_path):
+    root = tmp_path / "v"
+    for i in range(40):  # enough folders for executors to list
+        (root / f"d{i}" / "e").mkdir(parents=True)
+        (root / f"d{i}" / "e" / "n.md").write_text("x" * 50_000)
+    (root / "d1" / "_odd.md").write_text("y" * 50_000)
+    (root / ".git").mkdir()
+    (root / ".git" / "no.md").write_text("z")
+    known = vault.notes(spark, str(root)).select("path", "mtime")
+    known = spark.createDataFrame(known.collect(), known.schema)
+    assert known.count() == 41 and vault.changes(spark, str(root), known).count() == 0
+    spread = {tuple(r) for r in vault.listing(spark, str(root)).collect()}
+    assert spread == {tuple(r) for r in vault.listing(spark, str(root), 10_000).collect()} and len(spread) == 40 * 3 + 1
+    (root / "d3" / "e" / "n.md").write_text("changed")
+    (root / "d4" / "e" / "n.md").unlink()
+    (root / "d5" / "e" / "new.md").write_text("new")
+    opened = spark.sparkContext.accumulator(0)
+    opener = vault._opener
+
+    def counted(place):
+        system, top = opener(place)
+
+        class System:
+            def open_input_stream(self, path):
+                opened.add(1)
+                return system.open_input_stream(path)
+
+            def get_file_info(self, what):
+                return system.get_file_info(what)
+
+        return System(), top
+
+    vault._opener = counted
+    try:
+        got = {(r["path"], r["content"]) for r in vault.changes(spark, str(root), known).collect()}
+    finally:
+        vault._opener = opener
+    assert got == {("d3/e/n.md", "changed"), ("d4/e/n.md", None), ("d5/e/new.md", "new")} and opened.value == 2
+
+
 def test_settings_are_edited_in_place():
     text = '# mine\ntheme = "dark"  # so\n\n[chat]\nmodel = "x"\n\n[telemetry]\nenabled = true\n'
     one = settings.edited(text, "chat.model", 'y "z"')
