@@ -10,12 +10,14 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distill, markdown, vectors
 from .chat import StubChat, answer
 
+#: What a run tells of, in order.
+PHASES = ("embed", "cluster", "extract", "ground", "merge", "emit")
 CITATION = "struct<file:string,chunkId:bigint,start:bigint,end:bigint,quote:string>"
 LINK = "struct<relation:string,target:string>"
 
@@ -31,10 +33,34 @@ class Run:
     cited: DataFrame
     notes: DataFrame
     rendered: DataFrame
+    observed: list[Observation]
+    done: bool = False
+
+    @property
+    def phases(self) -> list[tuple[str, DataFrame]]:
+        return list(zip(PHASES, (self.chunks, self.clusters, self.items, self.cited, self.notes, self.rendered), strict=True))
+
+    def execute(self, progress: Callable[[str, int, int], None] | None = None) -> Run:
+        """Computes the run, phase after phase, each from what the phases before have left; progress(phase, done, of) tells of each.
+
+        Every table is computed once: a phase's rows are counted as they pass, in the pass that makes them.
+        """
+        if not self.done:
+            for i, (phase, df) in enumerate(self.phases):
+                self.rendered.sparkSession.sparkContext.setJobDescription(f"distill: {phase}")
+                if progress:
+                    progress(phase, i, len(self.phases))
+                df.write.format("noop").mode("overwrite").save()
+            self.rendered.sparkSession.sparkContext.setJobDescription(None)
+            if progress:
+                progress("done", len(self.phases), len(self.phases))
+            self.done = True
+        return self
 
     def stats(self) -> dict[str, int]:
-        """The funnel, from chunks to notes."""
-        n = {"chunks": self.chunks.count(), "clusters": self.clusters.count(), "failed": self.items.where(~F.col("ok")).count(), "extracted": self.each.count(), "grounded": self.cited.count(), "notes": self.notes.count()}
+        """The funnel, from chunks to notes, as it was observed in the passes."""
+        self.execute()
+        n = {k: v for o in self.observed for k, v in o.get.items()}
         return n | {"dropped": n["extracted"] - n["grounded"], "merged": n["grounded"] - n["notes"]}
 
     def ungrounded(self) -> DataFrame:
@@ -62,19 +88,28 @@ def cancel(spark: SparkSession, tag: str) -> None:
 
 def distill_documents(documents: DataFrame, ask: Callable[[str], str] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, most: int = 1600) -> Run:
     """documents: path, content (Markdown)."""
+    observed: list[Observation] = []
+
+    def counted(df: DataFrame, **counts: Column) -> DataFrame:
+        """df with counts of the rows that pass, kept for the later phases."""
+        observed.append(Observation())
+        return df.observe(observed[-1], *[c.alias(k) for k, c in counts.items()]).persist()
+
+    rows = F.count(F.lit(1))
     ask = ask or (lambda p: answer(StubChat(), p))
     embed = embed or (lambda df: vectors.hashed_embedding(df, "embed_text"))
-    chunks = embed(markdown.chunks(documents, most)).withColumn("chunk_id", F.col("ord").cast("long")).persist()
-    clusters = distill.clusters(chunks).persist()
-    items = distill.extract(distill.prompts(clusters, chunks), ask).persist()
+    chunks = counted(embed(markdown.chunks(documents, most)).withColumn("chunk_id", F.col("ord").cast("long")), chunks=rows)
+    clusters = counted(distill.clusters(chunks), clusters=rows)
+    items = counted(distill.extract(distill.prompts(clusters, chunks), ask), failed=F.count_if(~F.col("ok")))
     each = items.select("file", "cluster", F.posexplode("items").alias("nth", "item"))
-    each = each.select(F.concat_ws("#", "file", F.col("cluster").cast("string"), F.col("nth").cast("string")).alias("item_id"), "file", "cluster", "nth", "item", F.col("item.evidence").alias("evidence")).persist()
+    each = each.select(F.concat_ws("#", "file", F.col("cluster").cast("string"), F.col("nth").cast("string")).alias("item_id"), "file", "cluster", "nth", "item", F.col("item.evidence").alias("evidence"))
+    each = counted(each, extracted=rows)
     keyed = each.select("item_id", "file", F.transform("evidence", lambda e: F.struct(F.concat_ws("#", F.col("file"), e["chunkId"].cast("string")).alias("chunkId"), e["quote"].alias("quote"))).alias("evidence"))
     source = chunks.select(F.concat_ws("#", "file", F.col("chunk_id").cast("string")).alias("chunk_id"), "file", F.col("chunk_id").alias("number"), "start", "text")
     grounded = distill.ground(keyed, source)
     number = F.element_at(F.split("chunk_id", "#"), -1).cast("long")
     cites = grounded.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct("file", number.alias("chunkId"), "start", "end", "quote").alias("c")))), lambda x: x["c"]).alias("citations"))
-    cited = each.join(cites, "item_id").select("file", "cluster", "nth", "item.kind", "item.title", "item.summary", "item.links", "citations", "item_id").persist()
+    cited = counted(each.join(cites, "item_id").select("file", "cluster", "nth", "item.kind", "item.title", "item.summary", "item.links", "citations", "item_id"), grounded=rows)
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         rows = f.sort_values(["cluster", "nth"])
@@ -83,6 +118,7 @@ def distill_documents(documents: DataFrame, ask: Callable[[str], str] | None = N
         kept, _ = distill.dedup_notes(notes)
         return pd.DataFrame([{"file": f.file.iloc[0], "ord": i, **n} for i, n in enumerate(kept)], columns=["file", "ord", "kind", "title", "summary", "links", "citations"])
 
-    notes = cited.drop("item_id").groupBy("file").applyInPandas(merge, f"file string, ord int, kind string, title string, summary string, links array<{LINK}>, citations array<{CITATION}>").persist()
+    merged = cited.drop("item_id").groupBy("file").applyInPandas(merge, f"file string, ord int, kind string, title string, summary string, links array<{LINK}>, citations array<{CITATION}>")
+    notes = counted(merged, notes=rows)
     named = distill.unique_names(notes.withColumn("_o", F.struct("file", "ord")), order="_o").drop("_o")
-    return Run(chunks, clusters, items, each, cited, notes, distill.render(named))
+    return Run(chunks, clusters, items, each, cited, notes, distill.render(named), observed)

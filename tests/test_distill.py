@@ -206,3 +206,57 @@ def test_the_rule_comes_with_every_prompt(spark):
     assert [tuple(r) for r in distill.extract(rows, ask).select("ok", "items").collect()] == [(False, [])]
     assert asked.value == 2
     assert "[chunk " not in distill.RULE
+
+
+def test_counters_and_phases_of_a_run(spark):
+    documents = spark.createDataFrame([(f"b/{i}.md", "\n\n".join(f"# Part {j}\n\nThing {j} of {i} is made of matter {j * i}." for j in range(5))) for i in range(3)], "path string, content string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(prompt):
+        from noteloom.plans.chat import StubChat, answer
+
+        asked.add(1)
+        return answer(StubChat(), prompt)
+
+    told = []
+    run = distill_documents(documents, ask).execute(lambda phase, done, of: told.append((phase, done, of)))
+    assert told == [("embed", 0, 6), ("cluster", 1, 6), ("extract", 2, 6), ("ground", 3, 6), ("merge", 4, 6), ("emit", 5, 6), ("done", 6, 6)]
+    n = run.stats()
+    want = {"chunks": run.chunks.count(), "clusters": run.clusters.count(), "failed": 0, "extracted": run.each.count(), "grounded": run.cited.count(), "notes": run.notes.count()}
+    assert n == want | {"dropped": want["extracted"] - want["grounded"], "merged": want["grounded"] - want["notes"]} and n["chunks"] == 15
+    assert run.rendered.count() == n["notes"]
+    assert asked.value == n["clusters"]  # the model was asked once for each cluster, whatever was counted
+    run.release()
+
+
+def test_vector_model(spark, tmp_path):
+    import numpy as np
+
+    from noteloom.operators import vector_model
+
+    path = str(tmp_path / "m.npz")
+    np.savez(path, tokens=np.array(["dimension", "a", "b"]), vectors=np.array([[1, 1, 0], [3, 0, 0], [0, 4, 0]], np.float32))
+    opens = spark.sparkContext.accumulator(0)
+
+    class Model(vector_model.TokenTable):
+        def token_vectors(self, texts):
+            assert len(texts) <= 32
+            return super().token_vectors(texts)
+
+    def open_model():
+        opens.add(1)
+        return Model.load(path)
+
+    texts = ["a", "A b", "b unknown", "unknown", "", None] + ["a a b"] * 200
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    assert vector_model.probed_dims(spark, "test", open_model) == 3
+    for _ in range(2):
+        got = {r["i"]: r["embedding"] for r in vector_model.embedded(df, "text", "test", open_model).collect()}
+        assert got[0] == [1, 0, 0] and got[1] == pytest.approx([0.6, 0.8, 0]) and got[2] == [0, 1, 0]
+        assert got[3] == got[4] == got[5] == [0, 0, 0] and got[205] == pytest.approx([6 / 52**0.5, 4 / 52**0.5, 0])
+    assert opens.value <= 4  # at most once per Python worker, of which the session has four
+    with pytest.raises(Exception, match="its probe 2"):
+        vector_model.embedded(df, "text", "test", open_model, dims=2).count()
+    run = distill_documents(spark.createDataFrame([("n.md", "# T\n\na b\n\n# U\n\nb")], "path string, content string"), embed=lambda c: vector_model.embedded(c, "embed_text", "test", open_model))
+    assert sorted([round(v, 6) for v in r["embedding"]] for r in run.chunks.select("embedding").collect()) == [[0, 1, 0], [0.6, 0.8, 0]]
+    run.release()
