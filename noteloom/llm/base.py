@@ -113,15 +113,18 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Sums of the elements before each element of an array<long>, in blocks so that no step copies the whole array."""
+def prefixes(values: Column, zero: Column, join, block: int = 256) -> Column:
+    """What join, which is associative with zero as its neutral element, makes of the elements before each element of an array<long>.
+
+    In blocks, so that no step copies the whole array.
+    """
 
     def run(items: Column, first: Column) -> Column:
-        return F.aggregate(items, F.array(first.cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.aggregate(items, F.array(first.cast("long")), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
 
     def of_blocks(blocks: Column) -> Column:
-        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
-        return let(run(sums, F.lit(0)), lambda offs: F.flatten(F.transform(blocks, lambda b, i: let(run(b, F.get(offs, i)), lambda r: F.slice(r, F.lit(1), F.size(b))))))
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero.cast("long"), join))
+        return let(run(whole, zero), lambda offs: F.flatten(F.transform(blocks, lambda b, i: let(run(b, F.get(offs, i)), lambda r: F.slice(r, F.lit(1), F.size(b))))))
 
     def whole(v: Column) -> Column:
         n = F.ceil(F.size(v) / F.lit(block)).cast("int")
@@ -131,6 +134,11 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     return let(values, whole)
 
 
+def prefix_sums(values: Column) -> Column:
+    """Sums of the elements before each element of an array<long>."""
+    return prefixes(values, F.lit(0), lambda a, x: a + x)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start:long, end:long, hit:string, part:string>>: leftmost non-overlapping matches of pattern.
 

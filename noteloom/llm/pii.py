@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import let, matches
+from .base import let, matches, prefixes, unused
 from .secrets_scan import SPANS, as_text, masked
 
 KINDS = ("email", "ip", "card", "phone", "mail", "number")
@@ -233,54 +233,126 @@ def score(f: Column, model: tuple) -> Column:
 # --- spans ---------------------------------------------------------------------------------------------------------
 
 
-def scored_spans(text: Column, base: Column, model: tuple) -> Column:
-    """Accepted candidates that overlap no base span; of accepted numbers that overlap, the most probable stays, then the longest."""
-    guards = (text.contains("@") | text.contains("(at)") | text.contains("[at]"), text.rlike(r"[0-9][^\n]{5,}[0-9]"))
-    over = lambda a, b: (a["start"] < b["end"]) & (a["end"] > b["start"])
-    free = lambda x: ~F.exists(base, lambda b: over(b, x))
-    span = lambda start, hit: F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
+#: Code points of a cell: what a candidate meets, and what stands around it, is looked up in its cells and not in the whole text.
+CELL = 512
 
-    def described(x: Column) -> Column:
-        at = x["start"].cast("int")
-        before = F.substring(text, F.greatest(at - 23, F.lit(1)), F.least(at, F.lit(24)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), features(x["hit"], before, F.substring(text, at + F.length(x["hit"]) + 1, F.lit(4))).alias("f"))
 
-    def accepted(kind: int, found: Column) -> Column:
-        rated = F.transform(F.transform(found, described), lambda x: F.struct((-score(x["f"], model)).alias("p"), (x["start"] - x["end"]).alias("size"), x["start"].alias("start"), x["end"].alias("end")))
-        return F.filter(rated, lambda x: -x["p"] >= model[2][kind - 4])
+def _over(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (a["end"] > b["start"])
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _cells(x: Column) -> Column:
+    """Numbers of the cells that a span touches."""
+    return F.sequence(F.floor(x["start"] / CELL), F.floor(F.greatest(x["start"], x["end"] - 1) / CELL))
+
+
+def spans_by_cell(spans: Column, length: Column) -> Column:
+    """For each cell of a text of that length the spans that touch it, sorted by start; spans must be sorted so."""
+
+    def dealt(entries: Column) -> Column:
+        numbers = F.transform(entries, lambda e: e["cell"])
+
+        def cell(k: Column, ups: Column, downs: Column) -> Column:
+            first, last = F.array_position(ups, k), F.size(ups) + 1 - F.array_position(downs, k)
+            return F.when(first == 0, F.filter(spans, lambda _: F.lit(False))).otherwise(F.transform(F.slice(entries, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), lambda e: e["span"]))
+
+        return let(numbers, lambda ups: let(F.reverse(ups), lambda downs: F.transform(F.sequence(F.lit(0).cast("long"), F.floor(length / CELL)), lambda k: cell(k, ups, downs))))
+
+    entries = F.flatten(F.transform(spans, lambda x: F.transform(_cells(x), lambda k: F.struct(k.alias("cell"), x.alias("span")))))
+    return let(F.sort_array(entries), dealt)
+
+
+def _pieces(text: Column) -> Column:
+    """The text of each cell with 24 code points before it and 8 behind it; one more than there are, for the text's end."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))
+    before = lambda ps, i: F.coalesce(F.right(F.get(ps, i - 1), F.lit(24)), F.lit(""))
+    after = lambda ps, i: F.coalesce(F.left(F.get(ps, i + 1), F.lit(8)), F.lit(""))
+    return let(parts, lambda ps: F.transform(F.concat(ps, F.array(F.lit(""))), lambda p, i: F.concat(before(ps, i), p, after(ps, i))))
+
+
+def candidates(text: Column, cells: Column) -> tuple[Column, Column]:
+    """Spans (start, end, hit) of mail-like and of number-like candidates, which overlap no span of the cells but perhaps each other."""
+    span = lambda start, hit: F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
+    here = lambda k: F.get(cells, k.cast("int"))
+    free = lambda x: ~F.exists(_cells(x), lambda k: F.exists(here(k), lambda b: _over(b, x)))
 
     def rest(x: Column) -> Column:
         """The parts of a run that base spans leave, each from its first digit, bracket or plus to its last digit."""
-        met = F.filter(base, lambda b: over(b, x))
-        starts = F.concat(F.array(x["start"]), F.transform(met, lambda b, i: F.array_max(F.transform(F.slice(met, F.lit(1), i + 1), lambda c: c["end"]))))
-        ends = F.concat(F.transform(met, lambda b: b["start"]), F.array(x["end"]))
+        met = F.array_distinct(F.filter(F.flatten(F.transform(_cells(x), here)), lambda b: _over(b, x)))
+        after = lambda m: F.zip_with(prefixes(F.transform(m, lambda b: b["end"]), F.lit(0), _later), m, lambda before, b: F.greatest(before, b["end"]))
 
-        def part(a: Column, i: Column) -> Column:
-            piece = F.substring(x["hit"], (a - x["start"] + 1).cast("int"), F.greatest(F.get(ends, i) - a, F.lit(0)).cast("int"))
+        def part(a: Column, to: Column) -> Column:
+            piece = F.substring(x["hit"], (a - x["start"] + 1).cast("int"), F.greatest(to - a, F.lit(0)).cast("int"))
             return span(a + F.greatest(F.regexp_instr(piece, F.lit(NUMBER_LIKE)) - 1, F.lit(0)), F.regexp_extract(piece, NUMBER_LIKE, 0))
 
-        return F.transform(starts, part)
-
-    def apart(found: Column) -> Column:
-        add = lambda kept, x: F.when(F.exists(kept, lambda y: over(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
-        return F.when(F.size(found) < 2, found).otherwise(F.aggregate(F.sort_array(found), F.slice(found, 1, 0), add))
+        return let(met, lambda m: F.zip_with(F.concat(F.array(x["start"]), after(m)), F.concat(F.transform(m, lambda b: b["start"]), F.array(x["end"])), part))
 
-    as_kind = lambda kind, found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
     runs = F.flatten(F.transform(matches(text, NUMBER_LIKE), lambda x: F.when(free(x), F.array(span(x["start"], x["hit"]))).otherwise(rest(x))))
-    pieces = [F.filter(F.transform(matches(text, p, 1), lambda x: span(x["start"], x["part"])), free) for p in SHAPES]
-    numbers = F.array_distinct(F.filter(F.concat(runs, *pieces), lambda x: F.length(digits_of(x["hit"])) >= 7))
-    mails = F.transform(F.filter(matches(text, MAIL_LIKE), free), lambda x: span(x["start"], x["hit"]))
-    return F.concat(
-        F.when(guards[0], as_kind(4, accepted(4, mails))).otherwise(_none()),
-        F.when(guards[1], as_kind(5, let(accepted(5, numbers), apart))).otherwise(_none()),
-    )
+    shaped = [F.filter(F.transform(matches(text, p, 1), lambda x: span(x["start"], x["part"])), free) for p in SHAPES]
+    numbers = F.array_distinct(F.filter(F.concat(runs, *shaped), lambda x: F.length(digits_of(x["hit"])) >= 7))
+    return F.transform(F.filter(matches(text, MAIL_LIKE), free), lambda x: span(x["start"], x["hit"])), numbers
+
+
+def accepted(kind: int, found: Column, pieces: Column, model: tuple) -> Column:
+    """p (negative), size (negative), start, end of the candidates that reach their threshold."""
+
+    def part(first: Column, size: Column, k: Column) -> Column:
+        return F.substring(F.get(pieces, k), (first - F.greatest(k * CELL - 24, F.lit(0)) + 1).cast("int"), size.cast("int"))
+
+    def described(x: Column) -> Column:
+        cell = lambda at: F.floor(at / CELL).cast("int")
+        low = F.greatest(x["start"] - 24, F.lit(0))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), features(x["hit"], part(low, x["start"] - low, cell(x["start"])), part(x["end"], F.lit(4), cell(x["end"]))).alias("f"))
+
+    rated = F.transform(F.transform(found, described), lambda x: F.struct((-score(x["f"], model)).alias("p"), (x["start"] - x["end"]).alias("size"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.filter(rated, lambda x: -x["p"] >= model[2][kind - 4])
+
+
+def by_place(found: Column) -> Column:
+    order = lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(b["end"] - a["end"]).cast("int"))
+    return F.when(F.size(found) < 2, found).otherwise(F.array_sort(found, order))
+
+
+def apart(placed: Column, reach: Column) -> Column:
+    """Of overlapping spans the first by probability and length. placed: by_place(); reach: where the spans before each end.
+
+    A span that starts behind all before it begins a cluster, and only spans of one cluster are compared.
+    """
+
+    def best(cluster: Column) -> Column:
+        add = lambda kept, x: F.when(F.exists(kept, lambda y: _over(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(F.size(cluster) < 2, cluster).otherwise(F.aggregate(F.sort_array(cluster), F.slice(cluster, 1, 0), add))
+
+    heads = F.filter(F.transform(placed, lambda x, i: F.when(x["start"] >= F.get(reach, i), i + 1)), lambda i: i.isNotNull())
+    ends = lambda h: F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(placed) + 1))
+    return F.when(F.size(placed) < 2, placed).otherwise(let(heads, lambda h: F.flatten(F.zip_with(h, ends(h), lambda i, j: best(F.slice(placed, i, j - i))))))
 
 
 def with_spans(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs with base and spans: arrays of (start, kind, end), sorted by start, then kind (an index of KINDS)."""
+    """docs with base and spans: arrays of (start, kind, end), sorted by start, then kind (an index of KINDS).
+
+    Scored spans are accepted candidates that overlap no base span; of numbers that overlap, the most probable stays, then
+    the longest. Candidates are compared with the base spans of their cells, and with each other in clusters, so the work
+    grows with the text and not with its square. Every step is a column of its own, which keeps the expressions shallow.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("base", base_spans(text))
-    return found.withColumn("spans", F.sort_array(F.concat("base", scored_spans(text, F.col("base"), model))))
+    cells, pieces, mails, numbers, reach = (unused(docs, x) for x in ("cells", "pieces", "mails", "numbers", "reach"))
+    mail = text.contains("@") | text.contains("(at)") | text.contains("[at]")
+    number = text.rlike(r"[0-9][^\n]{5,}[0-9]")
+    as_kind = lambda kind, found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    some = lambda guard, column: F.when(guard, column)  # noqa: E731  null where there is nothing to look at
+    df = docs.withColumn("base", base_spans(text))
+    df = df.withColumns({cells: some(mail | number, spans_by_cell(F.col("base"), F.length(text))), pieces: some(mail | number, _pieces(text))})
+    found = candidates(text, F.col(cells))
+    df = df.withColumns({mails: some(mail, found[0]), numbers: some(number, found[1])})
+    df = df.withColumns({mails: accepted(4, F.col(mails), F.col(pieces), model), numbers: by_place(accepted(5, F.col(numbers), F.col(pieces), model))})
+    df = df.withColumn(reach, prefixes(F.transform(numbers, lambda x: x["end"]), F.lit(0), _later))
+    more = [F.coalesce(as_kind(4, F.col(mails)), _none()), F.coalesce(as_kind(5, apart(F.col(numbers), F.col(reach))), _none())]
+    return df.withColumn("spans", F.sort_array(F.concat("base", *more))).drop(cells, pieces, mails, numbers, reach)
 
 
 def scan(docs: DataFrame, model: tuple | None = None) -> DataFrame:

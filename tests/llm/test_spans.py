@@ -163,3 +163,32 @@ def test_whole_table(spark):
     for scan, brute, kinds in ((s.scan, secrets, s.KINDS), (pii.scan, personal, pii.KINDS)):
         for r in scan(d).collect():
             assert r["base_sha256"] == digest(brute(texts[r["doc_id"]]), kinds)
+
+
+def test_long_contact_lists_take_time_in_proportion(docs):
+    """Twice the spans, about twice the time; before, four times, and minutes for a text of this length."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.org +1 (555) {i % 900 + 100}-{i % 9000 + 1000:04}" for i in range(n))
+        began = time.time()
+        r = pii.scan(docs(text)).first()
+        assert (r["n_email"], r["n_phone"]) == (n, n)
+        return time.time() - began
+
+    seconds(200)  # warms up
+    few, many = seconds(4000), seconds(16_000)
+    assert many < 6 * max(few, 2)
+
+
+def test_cells_and_clusters_change_nothing(docs, spark, monkeypatch):
+    """Spans at the bounds of cells, in long overlapping chains, and in texts of other scripts."""
+    model = pii.fit(spark)
+    rows = [b + t + a for b, t, a, *_ in pii.examples(400, 5)]
+    texts = [" ".join(rows[i : i + 40]) for i in range(0, 400, 40)] + ["日本é " * 100 + "call +49 30 1234 5678 or 030 / 1234 567, me (at) x dot org " * 20, "1 " * 900, "12-34 " * 300]
+    df = docs(*texts)
+    whole = sorted(map(tuple, pii.scan(df, model).collect()))
+    monkeypatch.setattr(pii, "CELL", 37)
+    assert sorted(map(tuple, pii.scan(df, model).collect())) == whole
+    monkeypatch.setattr(pii, "CELL", 10**6)
+    assert sorted(map(tuple, pii.scan(df, model).collect())) == whole
