@@ -134,9 +134,9 @@ def prefixes(values: Column, zero: Column, join, block: int = 256) -> Column:
     return let(values, whole)
 
 
-def prefix_sums(values: Column) -> Column:
+def prefix_sums(values: Column, block: int = 256) -> Column:
     """Sums of the elements before each element of an array<long>."""
-    return prefixes(values, F.lit(0), lambda a, x: a + x)
+    return prefixes(values, F.lit(0), lambda a, x: a + x, block)
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:

@@ -20,6 +20,7 @@ import json
 import zlib
 from array import array
 from bisect import bisect_right, insort
+from collections import ChainMap
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -62,17 +63,24 @@ class WordCachedTokenizer:
     splitter also always splits a run of letters from a run of other signs without an apostrophe, and lowers ASCII
     letters, so "Word," is put together from the cached ids of "word" and ",". Any other file encodes whole texts.
     Ids take 16 bits if the vocabulary allows it, else 32.
+
+    The cache is bounded by `cached` parts and by `cached_bytes`, counted with what Python needs for an entry, and starts
+    anew beyond either. Parts of more than LONGEST characters (whole texts, in scripts without spaces) are never kept.
     """
 
     SIGNS = ".,;:!?%&*#$"
+    LONGEST = 64
+    #: Bytes of an entry besides its text and ids: two objects' heads and a place in a dictionary, or two.
+    ENTRY = 300
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 500_000, cached_bytes: int = 200 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known, self.units = Tokenizer.from_file(path), cached, {}, {"": b""}
+        self.tokenizer, self.cached, self.cached_bytes = Tokenizer.from_file(path), cached, cached_bytes
+        self.known, self.units, self.used = {}, {"": b""}, 0
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.by_words = splits_at_spaces(json.load(f))
@@ -97,13 +105,12 @@ class WordCachedTokenizer:
                 made.append((x, core.lower() if core.isascii() else core, tail))
             else:
                 made.append((x, x, ""))
-        if len(units) + 2 * len(new) > self.cached:
-            units.clear()
-            units[""] = b""
         for x in {u for m in made for u in m[1:] if u not in units}:
             units[x] = array(self.code, self.encoded(x)).tobytes()
+            self.used += self.ENTRY + 4 * len(x) + len(units[x])
         for x, core, tail in made:
             self.known[x] = units[core] + units[tail]
+            self.used += self.ENTRY + 4 * len(x) + len(self.known[x])
 
     def encoded(self, x: str) -> list[int]:
         """ids of a part. Lower-case words in composed form are past the normalizer and splitter: the model alone reads them."""
@@ -115,13 +122,17 @@ class WordCachedTokenizer:
         if not self.by_words:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         parts = text.replace("\n", " ").split(" ")
-        new = [x for x in set(parts) if x not in self.known]
-        if len(self.known) + len(new) > self.cached:
+        if len(self.known) > self.cached or self.used > self.cached_bytes:
             self.known.clear()
-            new = list(set(parts))
-        if new:
-            self.learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), self.dtype)
+            self.units.clear()
+            self.units[""], self.used = b"", 0
+        known, new = self.known, {x for x in set(parts) if x not in self.known}
+        if long := {x for x in new if len(x) > self.LONGEST}:
+            new -= long
+            known = ChainMap({x: array(self.code, self.encoded(x)).tobytes() for x in long}, self.known)
+        for i in range(0, len(new := list(new)), 10_000):
+            self.learn(new[i : i + 10_000])
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype)
 
 
 class Packer:

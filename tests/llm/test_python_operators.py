@@ -89,6 +89,24 @@ def test_packer_alone(seed):
     assert max(groups.values()) <= 1 << 16
 
 
+def test_cache_is_bounded_in_bytes():
+    import tracemalloc
+
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    unspaced = ["".join(rng.choices(letters, k=4000)) for _ in range(60)]
+    t = packing.WordCachedTokenizer(PATH, cached_bytes=1 << 20)
+    for x in unspaced:
+        assert t.ids(x).tolist() == plain_ids(x)[:-1]
+    assert not t.known and t.used == 0  # whole texts are not kept
+    tracemalloc.start()
+    for i in range(300):  # 30,000 different words
+        t.ids(" ".join(f"w{i}x{j}" + "y" * (j % 40) for j in range(100)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert t.used <= (1 << 20) + 200 * 2 * 500 and held < 3 * (1 << 20)
+
+
 def test_cached_ids_are_the_tokenizer_s():
     t = packing.WordCachedTokenizer(PATH, cached=50)
     for x in ("It's a TEST, don't!  ", "Σας ΟΔΥΣΣΕΥΣ, İstanbul.", "<|endoftext|> x<|endoftext|>y", "a,.b ,%%% 12,3 a1. \x1c\x85  q", "école Å, ﬁ, ǅ. ß.", "日本語、テスト。 x\ty\r\nz", "word, word... Word %%%", "", "\n\n", " ".join(f"w{i}" for i in range(300))):
