@@ -6,16 +6,20 @@ C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + r * C + e)), zero cou
 lowered by links. The density sum of a node adds its children's densities; the node with the largest sum is the main
 subtree. The least density on its path from the body is the threshold for what stands beside that path at every level:
 nodes at or above it belong to the text too, and so does bare text. An article or main element around the subtree is
-the subtree. Inside the subtree, what is off the path to the densest node is held against densities as well: blocks
-whose characters are mostly those of links (three links or more; a paragraph of an article may have them) go, and so
-do lists of records, such as reader comments, whose density is below the threshold (densities are taken again without
-what goes anyway). Records are two or more blocks of one element name, side by side, that hold two elements or more.
-
-Density can't tell a dense advert or a long comment from the article. So menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and hidden elements also go by element, role and class or id words; the words don't
-count for an element that wraps an article or most of the page's text (such as class "with-sidebar"), and a line of
-copyright outside an article goes. Blocks keep page order, white space in a block is one space, blocks are joined by an
-empty line; character references are decoded; nothing else is dropped.
+the subtree, and so is the one below it, if there is one only and it holds a third of the characters. All densities are taken again without what goes anyway, and the largest sum and the threshold are found in
+what is left. Beside the path, blocks without links that are plain text elements, or of the same element as the path,
+belong to the text too: the formula alone would take a short closing section for thin.
+
+What goes: scripts, styles, menus, headers, footers, sidebars, forms and hidden elements by element and role; elements
+with a class or id that is one of the words below (a whole one: "sidebar", not "with-sidebar"); blocks that are mostly
+links, in an article only if they have less than LINK_DENSITY characters a tag, as menus do and references don't. A word
+that is a part of a class ("cookie-notice", "share-buttons") counts only where density calls the block thin as well: in
+an article if it is mostly links, elsewhere also if its density is below the threshold. Words don't count for an element
+that wraps an article or most of the page's text. Density can't tell a dense advert or a long comment from the article,
+so those go by element or whole word only; thin lists of at least three entries that begin with two or more inline
+elements and hold no heading (a name and a date, as reader comments do) go without one. A line of copyright outside an
+article goes. Blocks keep page order, white space in a block is one space, blocks are joined by an empty line; character
+references are decoded; nothing else is dropped.
 
 Null html counts as empty and gives an empty text; text without tags is one block. Unclosed, misnested and cut-off
 markup is accepted: a quote without its pair ends with its tag, and a tag without an end is text. Elements deeper than
@@ -28,7 +32,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -57,6 +61,9 @@ OUT_WORDS = frozenset(
     "werbung anzeige anzeigen seitenleiste navigationsleiste fusszeile fussleiste kopfzeile hinweis kommentar kommentare "
     "publicite annonce pied entete avis commentaire commentaires publicidad anuncio anuncios pie cabecera barra aviso comentario comentarios".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters a tag of a menu at most: ten for a link in a list item.
+LINK_DENSITY = 5
 COPYRIGHT = re.compile(r"\s*(?:©|\(c\)\s*\d{4}|copyright\s*(?:©|\(c\)|\d{4}))", re.I)
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol table figure".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -127,6 +134,7 @@ def parse(page: str) -> Node:
 
 
 def left_out(node: Node, in_article: bool) -> bool:
+    """By element, role, or a whole class or id."""
     if node.tag in OUT or node.tag == "header" and not in_article:
         return True
     if not node.attributes or node.tag in ("body", "html", "article", "main"):
@@ -137,13 +145,21 @@ def left_out(node: Node, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in OUT_ROLES:
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            if not node.wraps and (words & OUT_WORDS or "header" in words and not in_article):
+        if name in ("class", "id") and not node.wraps:
+            words = set(value.lower().split())
+            if words & OUT_WORDS or "header" in words and not in_article:
                 return True
     return False
 
 
+def hinted(node: Node, in_article: bool) -> bool:
+    """Whether a part of a class or id is one of the words, which alone proves nothing."""
+    if not node.attributes or node.wraps or node.tag in ("body", "html", "article", "main"):
+        return False
+    parts = {w.lower() for name, value in ATTRIBUTE.findall(node.attributes) if name.lower() in ("class", "id") for w in WORDS.findall(value)}
+    return bool(parts & OUT_WORDS) or "header" in parts and not in_article
+
+
 def measured(root: Node) -> Node:
     """Counts, densities and density sums of every node, children first; the body."""
     order, stack, body = [], [root], root
@@ -177,32 +193,44 @@ def measured(root: Node) -> Node:
 
 
 def records(node: Node) -> bool:
-    """Whether the node's blocks are mostly records: alike in name and with elements of their own."""
+    """Whether the node is a list of entries that each begin with inline elements, as comments with a name and a date do."""
     blocks = [x for x in node.children if isinstance(x, Node) and x.tag in BLOCK]
-    alike = Counter(x.tag for x in blocks if x.tags >= 2)
-    return bool(alike) and 2 <= max(alike.values()) >= len(blocks) / 2
+    entries = [x for x in blocks if x.tag in ("div", "li") and opens_inline(x)]
+    return len(entries) >= 3 and 2 * len(entries) >= len(blocks)
+
+
+def opens_inline(entry: Node) -> bool:
+    inner = [x for x in entry.children if isinstance(x, Node)]
+    first = next((i for i, x in enumerate(inner) if x.tag in BLOCK), len(inner))
+    return first >= 2 and first < len(inner) and not any(x.tag in HEADINGS for x in inner)
 
 
 def linked(node: Node, inside: bool) -> bool:
-    """Whether a block off the path is mostly links."""
-    return node.tag in BLOCK and not node.on_path and node.links >= 3 and 2 * node.link_chars > node.chars and not (inside and node.tag == "p")
+    """Whether a block off the path is mostly links; in an article, whether it is a menu."""
+    if node.tag not in BLOCK or node.on_path or node.links < 3 or 2 * node.link_chars <= node.chars:
+        return False
+    return node.tag != "p" and node.chars < LINK_DENSITY * node.tags if inside else True
+
+
+def thin(node: Node, inside: bool, threshold: float) -> bool:
+    """Whether a block off the path goes for its density: menus, thin lists of records, and what a part of its class names as well."""
+    if node.on_path or node.tag not in BLOCK:
+        return False
+    if linked(node, inside) or node.density < threshold and node.tag not in PLAIN and records(node):
+        return True
+    return hinted(node, inside) and (node.links >= 2 and 2 * node.link_chars > node.chars or not inside and node.density < threshold)
 
 
-def prune(body: Node) -> None:
-    """Take out what is left out whatever the threshold, so that it does not dilute the densities of the rest."""
+def prune(body: Node, goes) -> None:
+    """Take out the nodes that go, so that they don't dilute the densities of the rest."""
     stack = [(body, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.children = [x for x in node.children if isinstance(x, str) or x.on_path or not (left_out(x, inside) or linked(x, inside))]
+        node.children = [x for x in node.children if isinstance(x, str) or not goes(x, inside)]
         stack += [(x, inside) for x in node.children if isinstance(x, Node)]
 
 
-def sparse(node: Node, inside: bool, threshold: float) -> bool:
-    """Whether a block off the path is too thin: links, or records below the threshold."""
-    return linked(node, inside) or node.tag in BLOCK and not node.on_path and node.tag not in PLAIN and node.density < threshold and records(node)
-
-
 def blocks_of(nodes: list[Node], in_article: bool, threshold: float = 0.0) -> list[str]:
     out: list[list[str]] = [[]]
     stack: list = [(x, in_article) for x in reversed(nodes)]
@@ -214,7 +242,7 @@ def blocks_of(nodes: list[Node], in_article: bool, threshold: float = 0.0) -> li
             out[-1].append(item)
         elif item.tag == "br":
             out[-1].append(" ")
-        elif not (left_out(item, inside) or sparse(item, inside, threshold)):
+        elif not thin(item, inside, threshold):
             inside = inside or item.tag in ("article", "main")
             if item.tag in BLOCK:
                 out.append([])
@@ -226,46 +254,67 @@ def blocks_of(nodes: list[Node], in_article: bool, threshold: float = 0.0) -> li
     return texts
 
 
-def main_text(page: str | None) -> str:
-    root = parse(page or "")
-    body = measured(root)
-    best, stack = None, [(body, False)]
+def densest(body: Node) -> list[Node]:
+    """The path from the node of the largest density sum up to the body, marked."""
+    best, stack = None, [body]
     while stack:
-        node, inside = stack.pop()
-        if node is not body and left_out(node, inside):
-            continue
-        inside = inside or node.tag in ("article", "main")
+        node = stack.pop()
+        node.on_path = False
         if node.chars and (best is None or node.total > best.total):
             best = node
-        stack += [(x, inside) for x in node.children if isinstance(x, Node)]
-    if best is None:
-        return ""
+        stack += [x for x in node.children if isinstance(x, Node)]
     path, node = [], best
     while node is not None:
         path.append(node)
         node.on_path = True
-        node = body if node is not body and node.parent is None else node.parent if node is not body else None
+        node = None if node is body else node.parent or body
+    return path
+
+
+def lone_article(node: Node) -> list[Node]:
+    """The one article or main element below the node, if it holds a third of its characters or more."""
+    found, stack = [], [node]
+    while stack:
+        below = stack.pop()
+        if below.tag in ("article", "main"):
+            found.append(below)
+        else:
+            stack += [x for x in below.children if isinstance(x, Node)]
+    return found if len(found) == 1 and 3 * found[0].chars >= node.chars else []
+
+
+def main_text(page: str | None) -> str:
+    root = parse(page or "")
+    body = measured(root)
+    prune(body, left_out)
+    measured(root)
+    if not densest(body):
+        return ""
+    prune(body, linked)
+    measured(root)
+    path = densest(body)
+    if not path:
+        return ""
     threshold = min(x.density for x in path)
-    around = [x for x in path if x.tag in ("article", "main")]
-    chosen: deque = deque(around[-1:] or [best])
-    if around or best is body:
+    around = [x for x in path if x.tag in ("article", "main")] or lone_article(path[0])
+    chosen: deque = deque(around[-1:] or path[:1])
+    if around or path[0] is body:
         path = []
     for inner, outer in zip(path, path[1:], strict=False):
         at = next(i for i, x in enumerate(outer.children) if x is inner)
         edge = [None] if inner.tag in BLOCK else []
-        chosen.extendleft(reversed(beside(outer.children[:at], threshold) + edge))
-        chosen.extend(edge + beside(outer.children[at + 1 :], threshold))
-    prune(body)
-    measured(root)
-    node, threshold = best, best.density
-    while node is not body:
-        node = node.parent if node.parent is not None else body
-        threshold = min(threshold, node.density)
+        chosen.extendleft(reversed(beside(outer.children[:at], threshold, inner.tag) + edge))
+        chosen.extend(edge + beside(outer.children[at + 1 :], threshold, inner.tag))
     return "\n\n".join(blocks_of(list(chosen), bool(around), threshold))
 
 
-def beside(nodes: list, threshold: float) -> list:
-    """What belongs to the text of the nodes beside the path: blocks dense enough, and bare text with its inline elements unless links prevail."""
+def beside(nodes: list, threshold: float, like: str) -> list:
+    """What belongs to the text of the nodes beside the path, whose node here is an element `like`.
+
+    Blocks dense enough, blocks without links that are text elements or `like`, and bare text with its inline elements
+    unless links prevail.
+    """
+    plain = lambda x: not x.link_chars and x.chars and (x.tag in PLAIN or x.tag == like)
     out: list = []
     for inline, group in groupby(nodes, lambda x: isinstance(x, str) or x.tag not in BLOCK):
         run = list(group)
@@ -275,7 +324,7 @@ def beside(nodes: list, threshold: float) -> list:
             if 2 * links <= chars:
                 out += run
                 continue
-        out += [x for x in run if isinstance(x, Node) and x.density >= threshold and x.density > 0 and (x.total >= threshold or x.tag in PLAIN)]
+        out += [x for x in run if isinstance(x, Node) and (plain(x) or x.density >= threshold and x.density > 0 and (x.total >= threshold or x.tag in PLAIN))]
     return out
 
 

@@ -325,6 +325,84 @@ def test_short_parts_of_an_article_stay(extra):
     assert " ".join(got.split()).replace(" ,", ",") == " ".join([*PARAGRAPHS, plain, *PARAGRAPHS]).replace(" ,", ",")
 
 
+ANSWERS = "<div><div><h3>Q1</h3><p>Short answer one.</p></div><div><h3>Q2</h3><p>Short answer two.</p></div></div>"
+CLOSING = "<p>A short closing section of the text.</p>"
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        ANSWERS, ANSWERS.replace("<div><h3>", "<section><h3>").replace("</p></div>", "</p></section>"),
+        "<div class='apple-pie-recipe'><p>Take six apples.</p></div>", "<section id='share-prices'><p>They rose.</p></section>", "<p class='banner-headline'>It rains.</p>",
+        "<ul>" + "".join(f"<li><a href='/{i}'>Reference number {i}</a></li>" for i in range(5)) + "</ul>",
+    ],
+)
+def test_an_article_keeps_its_parts(extra):
+    import re
+
+    plain = [x for x in (" ".join(x.split()) for x in re.split("<[^>]*>", extra)) if x]
+    page = f"<html><body><nav>{MENU}</nav><div class=ad>Buy</div><article>{TEXT}{extra}</article></body></html>"
+    assert html_main.main_text(page).split("\n\n") == [*PARAGRAPHS, *plain]
+
+
+def test_pages_without_article_keep_short_sections():
+    page = f"<html><body><div class='site-menu'>{MENU}</div><h1>Title</h1><section>{TEXT}</section><section>{CLOSING}</section><div class='cookie-notice'>We use cookies</div></body></html>"
+    assert html_main.main_text(page).split("\n\n") == ["Title", *PARAGRAPHS, "A short closing section of the text."]
+    shared = "<div class='share-buttons'><a>Mail this</a> <a>Print this</a></div>"
+    assert html_main.main_text(f"<html><body><article>{TEXT}{shared}</article></body></html>").split("\n\n") == PARAGRAPHS
+
+
+def plain_density(tree, ratio):
+    """C, T, LC, LT, density and density sum of (tag, children), by the formula as it is written; sums of those below in a list."""
+    import math
+
+    tag, children = tree
+    c = t = lc = lt = 0
+    total, below = 0.0, []
+    for x in children:
+        if isinstance(x, str):
+            c += len(x.replace(" ", ""))
+            continue
+        xc, xt, xlc, xlt, density, _, inner = plain_density(x, ratio)
+        c, t, lc, lt = c + xc, t + 1 + xt, lc + xlc, lt + xlt + (x[0] == "a")
+        total += density
+        below += inner
+    if tag == "a":
+        lc = c
+    one = lambda v: max(1, v)
+    density = 0.0
+    if c:
+        base = math.log(math.log(c / one(c - lc) * one(lc) + ratio * c + math.e) + 1e-9) if lc else math.log(math.log(c / one(c) * 0 + ratio * c + math.e) + 1e-9)
+        density = c / one(t) * math.log(max(1.0, c / one(lc) * one(t) / one(lt))) / max(base, 1e-2)
+    return c, t, lc, lt, density, total, [*below, (tag, density, total)]
+
+
+def test_densities_are_those_of_the_formula():
+    rng = random.Random(8)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "p", "a", "b"]) if depth else "body"
+        inline = tag in ("p", "a", "b")
+        children = [rng.choice(["some text", "x", "a longer run of words here"]) if rng.random() < 0.5 or depth > 4 else ("b", ["w"]) if inline else tree(depth + 1) for _ in range(rng.randrange(0, 5))]
+        return tag, children
+
+    markup = lambda t: t if isinstance(t, str) else f"<{t[0]}>{''.join(map(markup, t[1]))}</{t[0]}>"
+    for _ in range(60):
+        t = tree(0)
+        root = html_main.parse(f"<html>{markup(t)}</html>")
+        body = html_main.measured(root)
+        ratio = plain_density(t, 0)
+        want = plain_density(t, ratio[2] / max(1, ratio[0]))[6]
+        got, stack = [], [body]
+        while stack:
+            node = stack.pop()
+            got.append((node.tag, node.density, node.total))
+            stack += [x for x in node.children if not isinstance(x, str)]
+        assert [x[0] for x in sorted(got)] == [x[0] for x in sorted(want)]
+        for (_, d, s), (_, d2, s2) in zip(sorted(got), sorted(want), strict=True):
+            assert (d, s) == (pytest.approx(d2), pytest.approx(s2))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [("<p title=don't>hello world</p>", "hello world"), ("<p title='a > b'>x</p>", "x"), ('<p title="it\'s">x</p><p>y</p>', "x\n\ny"), ("<p a=\"open>x</p><p>y</p>", "x\n\ny"), ("if a <b then c", "if a <b then c"), ("<p>a</p><p cla", "a\n\n<p cla"), ("<a href=x'y'z>t</a>", "t"), ("<p a = 'v>w' >x", "x")],
