@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .workspace import numbered
+
 
 def replace(table: DataFrame, rows: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
     """table without the rows of keys, and with rows. Doing it twice changes nothing."""
@@ -58,6 +60,11 @@ def pending(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("file", "ord"), ["file", "ord"], "left_anti")
 
 
+def pending_batches(chunks: DataFrame, vectors: DataFrame, size: int = 32) -> DataFrame:
+    """pending() with a column batch: by file and place, `size` chunks each, the last one perhaps fewer."""
+    return numbered(pending(chunks, vectors), "batch", "file", "ord").withColumn("batch", F.floor(F.col("batch") / size))
+
+
 def unchunked(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select(F.col("file").alias("path")), "path", "left_anti")
 

@@ -14,7 +14,7 @@ from ..operators.workspace import shared_dir
 _places: dict[tuple[str, str, str], tuple[SparkSession, str, int]] = {}
 
 
-def _new_place(spark: SparkSession) -> str:
+def new_place(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/noteloom-index-{uuid.uuid4().hex}"
 
 
@@ -33,7 +33,7 @@ def built(spark: SparkSession, kind: str, source: str, write: Callable[[str], ob
     """Where the `kind` made from the table at source stands; write(place) makes it where it is missing, older than source, or asked for again."""
     key, now = (spark.sparkContext.applicationId, kind, source), state(spark, source)
     if again or key not in _places or _places[key][2] != now:
-        place = _new_place(spark)
+        place = new_place(spark)
         write(place)
         old = _places.get(key)
         _places[key] = (spark, place, now)

@@ -715,4 +715,4 @@ def safe_names(spark, d):
     return table(spark, d, "part").select("p_name", "p_brand", tx.note_name(F.concat_ws("/", "p_brand", "p_type")).alias("note"))
 
 
-from . import index_queries as _, upkeep_queries as _u  # noqa: E402, F401  they register their queries too
+from . import index_queries as _, upkeep_queries as _u, vault_queries as _v  # noqa: E402, F401  they register their queries too
