@@ -19,6 +19,7 @@ Spans are in code points, end exclusive. Null text counts as empty: no spans. Re
 from __future__ import annotations
 
 import random
+import re
 from functools import reduce
 
 import numpy as np
@@ -45,6 +46,8 @@ SHAPES = (
     _SHAPED % r"(?:\+?[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}",
     _SHAPED % r"\+?[0-9]{1,4}\x20[0-9]{2,4}\x20[0-9]{3,4}\x20[0-9]{3,4}",
 )
+#: Numbers whose form says enough: the shapes but for their look-arounds.
+SHAPED = r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|0[0-9]{3}\x20[0-9]{3}\x20[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
 FEATURES = ("chars", "digits", "letters", "dots", "dashes", "spaces", "slashes", "colons", "brackets", "plus", "at", "dotword", "groups", "longest", "shortest", "luhn", "octets", "hint", "against", "glued", "beside", "first", "second", "third", "last", "year")
 HINTS = r"(?i)(?<![a-z])(phone|tel|call|mobile|fax|mail|contact|card|visa|account|iban|ssn|social security|reach|write)[^.!?]{0,16}$"
 AGAINST = r"(?i)(?<![a-z])(version|v\.|order|invoice|date|page|isbn|no\.|nr|#|on|since|in|from|at|between|total|price|sum|born|ticket|build)[^.!?A-Za-z]{0,6}$"
@@ -124,18 +127,29 @@ def examples(n: int, seed: int) -> list[tuple[str, str, str, int, int]]:
         sep = r.choice(["", " ", "-"])
         return sep.join(s[i : i + 4] for i in range(0, 16, 4))
 
+    def national() -> str:
+        """A number as some country writes it: a trunk prefix or none, and groups of any size between any signs."""
+        rest = d(r.randint(7, 10))
+        sizes, sep = [], r.choice(["", " ", " ", "-", ".", "/"])
+        while sum(sizes) < len(rest):
+            sizes.append(min(r.randint(2, 8), len(rest) - sum(sizes)))
+        groups = [rest[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes))]
+        first = r.choice([f"0{d(r.randint(1, 4))}", f"0{d(r.randint(1, 4))}", f"(0{d(r.randint(1, 4))})", f"00{d(2)}", d(r.randint(2, 4))])
+        return first + r.choice([sep, "/", " "]) + sep.join(groups)
+
     host = lambda: word() + r.choice([" (dot) ", "[dot]", ".", " . "]) + r.choice(["com", "org", "net", "de"])
     good = ["call me at ", "my phone: ", "tel. ", "contact ", "card number ", "Mobile ", "write to ", "account "]
     bad = ["version ", "order ", "invoice no. ", "page ", "in ", "on ", "from ", "since ", "total ", "build ", "ticket #"]
     yes = [
-        lambda: (f"({d(3)}) {d(3)}-{d(4)}", 1, 0.6), lambda: (f"{d(3)}-{d(3)}-{d(4)}", 1, 0.9), lambda: (f"+{r.randint(1, 99)} {d(2)} {d(4)} {d(4)}", 1, 0.4), lambda: (f"{d(3)}.{d(3)}.{d(4)}", 1, 1.0),
-        lambda: (f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", 1, 0.4), lambda: (f"0{d(3)} {d(3)} {d(4)}", 1, 1.0), lambda: (card(True), 1, 0.5), lambda: (f"{d(3)}-{d(2)}-{d(4)}", 1, 1.0), lambda: (f"{word()} (at) {host()}", 0, 0.4), lambda: (f"{word()}[at]{host()}", 0, 0.4), lambda: (f"{word()}.{word()}@{word()}.com", 0, 0.4),
+        lambda: (f"({d(3)}) {d(3)}-{d(4)}", 1, 0.6), lambda: (f"{d(3)}-{d(3)}-{d(4)}", 1, 0.9), lambda: (f"+{r.randint(1, 99)} {d(2)} {d(4)} {d(4)}", 1, 0.4), lambda: (f"{d(3)}.{d(3)}.{d(4)}", 1, 0.6),
+        lambda: (f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", 1, 0.4), lambda: (f"0{d(3)} {d(3)} {d(4)}", 1, 0.4), lambda: (card(True), 1, 0.5), lambda: (f"{d(3)}-{d(2)}-{d(4)}", 1, 1.0), lambda: (national(), 1, 1.0), lambda: (national(), 1, 1.0), lambda: (f"{word()} (at) {host()}", 0, 0.4), lambda: (f"{word()}[at]{host()}", 0, 0.4), lambda: (f"{word()}.{word()}@{word()}.com", 0, 0.4),
     ]
+    # A number's form alone is no proof: the national ones are personal beside a hint and nothing without one.
     no = [
         lambda: (f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)} {r.randint(10, 23)}:{r.randint(10, 59)}", 1), lambda: (f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{d(2)}", 1), lambda: (f"{r.randint(1, 9)}.{d(2)}.{d(3)}.{d(4)}", 1), lambda: (f"{r.randint(1, 999)}.{d(3)}.{d(3)}", 1),
         lambda: (r.choice("-/.").join(r.choice([[f"{r.choice((19, 20))}{d(2)}", f"{r.randint(1, 12):02}", f"{r.randint(1, 31):02}"], [f"{r.randint(1, 31):02}", f"{r.randint(1, 12):02}", f"{r.choice((19, 20))}{d(2)}"]])), 1),
         lambda: (f"19{d(2)}-20{d(2)}", 1), lambda: (d(r.randint(7, 11)), 1), lambda: (d(r.randint(12, 24)), 1), lambda: (card(False), 1), lambda: (" ".join(d(r.randint(1, 5)) for _ in range(r.randint(3, 8))), 1), lambda: (f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", 1),
-        lambda: (f"{d(2)}.{d(5)} {d(2)}.{d(5)}", 1), lambda: (f"{word()} @{word()}", 0), lambda: (f"{word()} @ {d(2)}", 0), lambda: (f"{word()}@{word()}", 0), lambda: (f"{word()} @ {word()}", 0),
+        lambda: (next(x for x in iter(national, "") if not re.fullmatch(SHAPED, x)), 1), lambda: (next(x for x in iter(national, "") if not re.fullmatch(SHAPED, x)), 1), lambda: (f"{d(2)}.{d(5)} {d(2)}.{d(5)}", 1), lambda: (f"{word()} @{word()}", 0), lambda: (f"{word()} @ {d(2)}", 0), lambda: (f"{word()}@{word()}", 0), lambda: (f"{word()} @ {word()}", 0),
     ]
     out = []
     for i in range(n):
