@@ -132,7 +132,7 @@ def extract(prompt_rows: DataFrame, ask: Callable[[str], str], by: str = "file",
         for f in frames:
             got = []
             for p in f.prompt:
-                p = f"{rule}\n\n{p}"
+                p = f"{rule}\n\n{p}" if rule else p
                 ok, items = parse_extraction(reply := ask(p))
                 if not ok:
                     ok, items = parse_extraction(ask(f"{p}\n\nAnswer with JSON only. The last answer was:\n{reply[:800]}"))

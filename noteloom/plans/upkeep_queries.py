@@ -217,7 +217,7 @@ def parsed_replies(spark, d):
     reply = F.concat(F.lit('Here: {"items": [{"kind": "claim", "title": " '), "p_name", F.lit(' ", "evidence": [{"chunkId": "'), F.col("p_size").cast("string"), F.lit('", "quote": "q"}, {"quote": "x"}]}, {"title": ""}]} done'))
     rows = p.select(F.col("p_partkey").alias("file"), F.lit(0).alias("cluster"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("no JSON {"), "p_name")).otherwise(reply).alias("prompt"))
     first = F.get("items", 0)
-    got = distill.extract(rows, lambda prompt: prompt.split("\n\nAnswer")[0])
+    got = distill.extract(rows, lambda prompt: prompt.split("\n\nAnswer")[0], rule="")  # the rows are what the model says
     return got.select("file", "ok", F.coalesce(first["title"], F.lit("")).alias("title"), F.coalesce(first["kind"], F.lit("")).alias("kind"), F.coalesce(F.get(first["evidence"], 0)["chunkId"], F.lit(0).cast("long")).alias("chunk"))
 
 
