@@ -101,6 +101,29 @@ def test_force():
     assert force_positions(list("abc"), [("a", "b")]) == force_positions(list("abc"), [("a", "b")])
 
 
+def test_repulsion_takes_little_memory_and_keeps_every_bit():
+    import tracemalloc
+
+    import numpy as np
+
+    ids = [f"n{i:04d}" for i in range(1500)]
+    pairs = [(ids[i], ids[i % 7]) for i in range(7, 1500)]
+    tracemalloc.start()
+    force_positions(ids, pairs, iterations=1)
+    assert tracemalloc.get_traced_memory()[1] < 10e6  # all pairs at once: above 100 MB
+    tracemalloc.stop()
+    at = force_positions(ids, [], iterations=1)
+    angle = 2 * np.pi * np.arange(1500) / 1500
+    p = np.array([400.0, 300.0]) + np.stack([np.cos(angle), np.sin(angle)], 1) * 180.0
+    delta = p[:, None] - p[None]
+    dist = np.maximum(np.hypot(delta[..., 0], delta[..., 1]), 0.01)
+    k = np.sqrt(800.0 * 600.0 / 1500)
+    move = (delta / dist[..., None] * (k * k / dist)[..., None]).sum(1)
+    size = np.maximum(np.hypot(move[:, 0], move[:, 1]), 0.01)
+    want = p + (move / size[:, None] * np.minimum(size, 60.0)[:, None] + (np.array([400.0, 300.0]) - p) * 0.01)
+    assert np.abs(np.array([at[i] for i in ids]) - want).max() == 0
+
+
 def test_tree_and_blocks():
     p = tree_positions(list("abc"), [("a", "b"), ("b", "c")])
     assert p["a"][1] < p["b"][1] < p["c"][1]
