@@ -87,9 +87,10 @@ def bm25(notes: DataFrame | TextIndex, query: str) -> DataFrame:
     return all_in.select("key", reduce(Column.__add__, map(part, range(len(terms)))).alias("score"))
 
 
-def search(notes: DataFrame | TextIndex, query: str, limit: int = 50, snippet: bool = True) -> DataFrame:
-    """key, title, score and snippet of the best `limit` notes, best first, ties by key."""
-    best = few(bm25(notes, query).orderBy(F.desc("score"), "key").limit(limit))
+def search(notes: DataFrame | TextIndex, query: str, limit: int = 50, snippet: bool = True, places: int | None = None) -> DataFrame:
+    """key, title, score and snippet of the best `limit` notes, best first, ties by key. places: scores that agree when rounded to so many are ties."""
+    scored = bm25(notes, query)
+    best = few((scored if places is None else scored.withColumn("score", F.round("score", places))).orderBy(F.desc("score"), "key").limit(limit))
     rows = notes.notes if isinstance(notes, TextIndex) else notes
     keys = [r["key"] for r in best.collect()]  # at most `limit`: the scan skips row groups without them
     hits = rows.select("key", "title", *(["body"] if snippet else [])).where(F.col("key").isin(keys) if keys else F.lit(False)).join(F.broadcast(best), "key")

@@ -28,6 +28,15 @@ def test_bm25(notes):
     assert got == pytest.approx({1: want(2, 7), 3: want(1, 4)})
 
 
+def test_near_scores_are_ties_where_places_say_so(spark):
+    """Of notes of nearly one length the shorter scores a little more; rounded, the keys decide, as in the SQL of bm25_search."""
+    filler = " ".join(["w"] * 2_000)
+    rows = [(1, "", f"thin {filler} w"), (2, "", f"thin {filler}"), (3, "", "none")]
+    df = spark.createDataFrame(rows, "key long, title string, body string")
+    assert [r["key"] for r in search.search(df, "thin", 1, False).collect()] == [2]
+    assert [tuple(r) for r in search.search(df, "thin", 2, False, places=2).select("key", F.col("score") == F.round("score", 2)).collect()] == [(1, True), (2, True)]
+
+
 def test_snippets(notes):
     hits = {r["key"]: r["snippet"] for r in search.search(notes, "claim").collect()}
     assert hits[1] == "the <mark>claim</mark> stands and <mark>claims</mark> again"
