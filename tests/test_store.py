@@ -111,6 +111,20 @@ def test_vault_changes(spark, tmp_path):
     assert {r["path"] for r in vault.notes(spark, "file://" + root).collect()} == {"a.md", "e/f/b.md", "new.md"}
 
 
+def test_the_driver_lists_no_folder_that_workers_can(spark, tmp_path, monkeypatch):
+    """Few folders may hold most of the files, so their number does not say who lists them; nor does Spark's scan, whose list is the driver's."""
+    (tmp_path / "d" / "_e").mkdir(parents=True)
+    for i in range(50):
+        (tmp_path / "d" / f"n{i}.md").write_text(f"n{i}")
+    (tmp_path / "d" / "_e" / "o.MD").write_bytes(b"\xc3\xa4")
+    (tmp_path / "d" / ".no.md").write_text("")
+    monkeypatch.setattr(vault, "_list", None)
+    monkeypatch.setattr(vault, "_relative", None)
+    got = {r["path"]: r["content"] for r in vault.notes(spark, str(tmp_path)).collect()}
+    assert got == {f"d/n{i}.md": f"n{i}" for i in range(50)} | {"d/_e/o.MD": "ä"}
+    assert vault.scan(spark, str(tmp_path)).count() == 51 and vault.folders(spark, str(tmp_path)).count() == 2
+
+
 def test_only_changed_notes_are_opened(spark, tmp_path):
     root = tmp_path / "v"
     for i in range(40):  # enough folders for executors to list
