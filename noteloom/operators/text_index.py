@@ -15,8 +15,13 @@ over several files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +77,47 @@ def _rows(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     file = F.col("file") if "file" in notes.columns else F.col("key")
     t = notes.select("key", file.alias("file"), "title", "body", tokens(F.col("title")).alias("_title"), tokens(F.col("body")).alias("_body"))
     n = (F.size("_title") + F.size("_body")).cast("long").alias("n")
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("tokens")) for f in ("title", "body")])
-    each = t.select("key", "file", n, F.explode(fields).alias("f")).select("key", "file", "n", "f.field", F.posexplode("f.tokens").alias("pos", "token"))
-    ranged = each.repartitionByRange("token", "key")  # also what grouping by token and key needs
-    grouped = ranged.groupBy("token", "key", "file", "n", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return t.select("key", "file", "title", "body", n), grouped.sortWithinPartitions("token", "key", "field")
+    kinds = dict(t.dtypes)
+    posted = t.select("key", "file", "_title", "_body").mapInArrow(_posted, f"token string, key {kinds['key']}, file {kinds['file']}, n long, field string, positions array<int>")
+    return t.select("key", "file", "title", "body", n), posted.repartitionByRange("token", "key").sortWithinPartitions("token", "key", "field")
+
+
+#: About how many tokens are sorted at once.
+SORTED = 500_000
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of notes (key, file, tokens of the title, of the body).
+
+    A note's postings are whole before they are shuffled, so a row travels for each of its words, not for each occurrence;
+    and they leave in the order of the tokens, in which they pack well.
+    """
+    for b in batches:
+        sizes = [pc.list_value_length(b.column(i)).to_numpy(zero_copy_only=False) for i in (2, 3)]
+        n = np.array(sizes[0] + sizes[1], np.int64)
+        part = np.cumsum(n) // SORTED
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(n)] if len(n) else [0]
+        for i, j in pairwise(map(int, cuts)):
+            some = b.slice(i, j - i)
+            for field, column in (("title", 2), ("body", 3)):
+                yield _postings_of(some, n[i:j], field, some.column(column))
+
+
+def _postings_of(b: pa.RecordBatch, n: np.ndarray, field: str, lists: pa.Array) -> pa.RecordBatch:
+    coded = pc.dictionary_encode(lists.flatten())
+    note = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.bincount(note, minlength=len(b)) if len(note) else np.zeros(len(b), np.int64)
+    pos = np.arange(len(note)) - (np.cumsum(size) - size)[note]
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    group = rank[coded.indices.to_numpy(zero_copy_only=False)] * len(b) + note
+    order = np.argsort(group, kind="stable")  # positions stay in order
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    first, row = order[starts], note[order[starts]]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(pos[order], pa.int32()))
+    token = coded.dictionary.take(coded.indices.take(pa.array(first)))
+    whole = [token, b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(n[row], pa.int64()), pa.array([field]).take(pa.array(np.zeros(len(row), np.int64))), positions]
+    return pa.RecordBatch.from_arrays(whole, ["token", "key", "file", "n", "field", "positions"])
 
 
 def _write(df: DataFrame, base: str, table: str, segment: int) -> None:

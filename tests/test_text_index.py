@@ -163,3 +163,18 @@ def test_a_changed_table_is_indexed_again(spark, tmp_path):
     assert open_index().total == 1 and indexed._places[spark.sparkContext.applicationId, "test", source][1] == place
     spark.createDataFrame([(2, "", "beta")], SCHEMA).write.mode("append").parquet(source)
     assert open_index().total == 2
+
+
+def test_postings_are_whole_before_they_are_shuffled(spark, monkeypatch):
+    """A row travels for each word of a note, whatever the number of its occurrences."""
+    monkeypatch.setattr(text_index, "SORTED", 7)
+    rows = [(5, "B a", "a b a  Ä a"), (2, None, None), (3, "", "x"), (1, "z", "a " * 50)]
+    notes = spark.createDataFrame(rows, "key long, title string, body string").coalesce(1)
+    _, posted = text_index._rows(notes)
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    got = {(r["token"], r["key"], r["file"], r["n"], r["field"]): r["positions"] for r in posted.collect()}
+    assert got == {
+        ("b", 5, 5, 7, "title"): [0], ("a", 5, 5, 7, "title"): [1], ("a", 5, 5, 7, "body"): [0, 2, 3, 4], ("b", 5, 5, 7, "body"): [1],
+        ("x", 3, 3, 1, "body"): [0], ("z", 1, 1, 51, "title"): [0], ("a", 1, 1, 51, "body"): list(range(50)),
+    }
