@@ -171,13 +171,24 @@ def chunk_markdown(content: str, most: int = 1600) -> list[tuple[str, int, int,
     return out
 
 
+#: Characters of notes whose chunks a Python worker hands over at once.
+HANDED = 4 << 20
+
+
 def chunks(notes: DataFrame, most: int = 1600) -> DataFrame:
     """file, ord, heading, start, end, text, embed_text of notes (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file", "ord", "heading", "start", "end", "text", "embed_text"]
         for f in frames:
-            rows = [(p, i, *c, f"{c[0]}\n\n{c[3]}" if c[0] else c[3]) for p, t in zip(f.path, f.content, strict=True) for i, c in enumerate(chunk_markdown(t or "", most))]
-            yield pd.DataFrame(rows, columns=["file", "ord", "heading", "start", "end", "text", "embed_text"])
+            rows, size = [], 0
+            for p, t in zip(f.path, f.content, strict=True):
+                rows += [(p, i, *c, f"{c[0]}\n\n{c[3]}" if c[0] else c[3]) for i, c in enumerate(chunk_markdown(t or "", most))]
+                size += len(t or "")
+                if size >= HANDED:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return notes.select("path", "content").mapInPandas(run, "file string, ord int, heading string, start long, end long, text string, embed_text string")
 

@@ -82,3 +82,22 @@ def test_spans(spark):
     assert got == [("# Head", "heading", None, 1), ("**b**", "strong", None, None), ("*i*", "emphasis", None, None), ("`co*d*e`", "code", None, None), ("[[A|x]]", "wikilink", "A", None), ("[l](u)", "link", "u", None)]
     df = spark.createDataFrame([("n.md", text), ("o.md", None)], "path string, content string")
     assert m.spans(df).count() == 6
+
+
+def test_chunks_are_handed_over_in_bounded_parts(monkeypatch):
+    """What a worker holds does not grow with the texts of an Arrow batch."""
+    taken = []
+
+    class Notes:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            taken.append(run)
+
+    monkeypatch.setattr(m, "HANDED", 100)
+    m.chunks(Notes())
+    f = m.pd.DataFrame({"path": list("abcdef"), "content": ["x" * 60, None, "y" * 60, "", "z" * 60, "w" * 60]})
+    parts = list(taken[0](iter([f])))
+    assert [len(x) for x in parts] == [2, 2, 0]
+    assert [(r.file, r.ord, r.text) for x in parts for r in x.itertuples()] == [(p, 0, c * 60) for p, c in (("a", "x"), ("c", "y"), ("e", "z"), ("f", "w"))]
