@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, collapsed, note_name, relation_name, trigram_similarity
+from .vectors import matrix
+from .workspace import grouped
 
 KINDS = ("concept", "claim", "entity", "event", "definition", "quote")
 ITEM = "struct<kind:string,title:string,summary:string,evidence:array<struct<chunkId:bigint,quote:string>>,links:array<struct<relation:string,target:string>>>"
@@ -63,14 +66,16 @@ def kmeans(ids: list, vectors: np.ndarray, k: int, iterations: int = 20, represe
 
 
 def clusters(chunks: DataFrame, by: str = "file", k: int | None = None, representatives: int = 4) -> DataFrame:
-    """by, cluster, members, representatives of chunks (by, chunk_id, embedding): one task per document, which bounds a group by one document."""
+    """by, cluster, members, representatives of chunks (by, chunk_id, embedding): a worker holds the vectors of one document, and of a batch."""
     kind = dict(chunks.dtypes)[by]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        got = kmeans(f.chunk_id.tolist(), np.array(f.embedding.tolist(), np.float32), cluster_count(len(f)) if k is None else k, representatives=representatives)
-        return pd.DataFrame({by: [f[by].iloc[0]] * len(got), "cluster": range(len(got)), "members": [m for m, _ in got], "representatives": [r for _, r in got]})
+    def run(t: pa.Table) -> list[dict]:
+        got = kmeans(t["chunk_id"].to_pylist(), matrix(t["embedding"].combine_chunks()), cluster_count(len(t)) if k is None else k, representatives=representatives)
+        key = t[by][0].as_py()
+        return [{by: key, "cluster": i, "members": m, "representatives": r} for i, (m, r) in enumerate(got)]
 
-    return chunks.select(by, "chunk_id", "embedding").groupBy(by).applyInPandas(run, f"{by} {kind}, cluster int, members array<long>, representatives array<long>")
+    rows = chunks.select(by, "chunk_id", "embedding")
+    return grouped(rows, by, ["chunk_id"], run, f"{by} {kind}, cluster int, members array<long>, representatives array<long>")
 
 
 def prompts(cluster_rows: DataFrame, chunks: DataFrame, by: str = "file") -> DataFrame:

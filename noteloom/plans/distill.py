@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distill, markdown, vectors
+from ..operators.workspace import grouped
 from .chat import StubChat, answer
 
 #: What a run tells of, in order.
@@ -111,14 +112,12 @@ def distill_documents(documents: DataFrame, ask: Callable[[str], str] | None = N
     cites = grounded.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct("file", number.alias("chunkId"), "start", "end", "quote").alias("c")))), lambda x: x["c"]).alias("citations"))
     cited = counted(each.join(cites, "item_id").select("file", "cluster", "nth", "item.kind", "item.title", "item.summary", "item.links", "citations", "item_id"), grounded=rows)
 
-    def merge(f: pd.DataFrame) -> pd.DataFrame:
-        rows = f.sort_values(["cluster", "nth"])
-        as_dict = lambda x: x.asDict() if hasattr(x, "asDict") else dict(x)
-        notes = [{"kind": r.kind, "title": r.title, "summary": r.summary, "links": [as_dict(x) for x in r.links], "citations": [as_dict(x) for x in r.citations]} for r in rows.itertuples()]
-        kept, _ = distill.dedup_notes(notes)
-        return pd.DataFrame([{"file": f.file.iloc[0], "ord": i, **n} for i, n in enumerate(kept)], columns=["file", "ord", "kind", "title", "summary", "links", "citations"])
+    def merge(t: pa.Table) -> list[dict]:
+        rows = t.to_pylist()
+        kept, _ = distill.dedup_notes([{k: r[k] for k in ("kind", "title", "summary", "links", "citations")} for r in rows])
+        return [{"file": rows[0]["file"], "ord": i, **n} for i, n in enumerate(kept)]
 
-    merged = cited.drop("item_id").groupBy("file").applyInPandas(merge, f"file string, ord int, kind string, title string, summary string, links array<{LINK}>, citations array<{CITATION}>")
+    merged = grouped(cited.drop("item_id"), "file", ["cluster", "nth"], merge, f"file string, ord int, kind string, title string, summary string, links array<{LINK}>, citations array<{CITATION}>")
     notes = counted(merged, notes=rows)
     named = distill.unique_names(notes.withColumn("_o", F.struct("file", "ord")), order="_o").drop("_o")
     return Run(chunks, clusters, items, each, cited, notes, distill.render(named), observed)

@@ -260,3 +260,29 @@ def test_vector_model(spark, tmp_path):
     run = distill_documents(spark.createDataFrame([("n.md", "# T\n\na b\n\n# U\n\nb")], "path string, content string"), embed=lambda c: vector_model.embedded(c, "embed_text", "test", open_model))
     assert sorted([round(v, 6) for v in r["embedding"]] for r in run.chunks.select("embedding").collect()) == [[0, 1, 0], [0.6, 0.8, 0]]
     run.release()
+
+
+def test_groups_over_arrow_batches(spark):
+    """Small groups share batches, a group of many batches is whole, and rows come in order."""
+    from noteloom.operators.workspace import grouped
+
+    sizes = {"a": 1, "b": 7, None: 5, "c": 1, "d": 23}
+    df = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in reversed(range(n))], "k string, v long")
+    run = lambda t: [{"k": t["k"][0].as_py(), "vs": t["v"].to_pylist()}]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 3, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = grouped(df, "k", ["v"], run, "k string, vs array<long>").collect()
+            assert len(got) == 5 and {r["k"]: r["vs"] for r in got} == {k: list(range(n)) for k, n in sizes.items()}
+            assert grouped(df.limit(0), "k", ["v"], run, "k string, vs array<long>").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_documents_share_python_batches(spark):
+    """No step of a run makes a pandas frame for each document."""
+    run = distill_documents(spark.createDataFrame([("n.md", "# T\n\na b\n\n# U\n\nb")], "path string, content string"))
+    for _, df in run.phases:
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    run.release()
