@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -20,6 +21,8 @@ _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*))?$")
 _KEY_SIGNS = frozenset("_ -")
 _LIST = re.compile(r"^\s*(?:[-*+]|\d{1,9}[.)])\s+")
 _QUOTE = re.compile(r"^(?: {0,3}> ?)+")
+_SIGN = re.compile(r"\\|`+|\[\[")
+_BRACKET = re.compile(r"[\[\]]")
 
 
 def clean_target(inner: str) -> str:
@@ -67,26 +70,24 @@ def code_lines(lines: list[str]) -> list[bool]:
 
 def inline_links(text: str) -> list[str]:
     """Targets of [[...]] outside code spans and escapes, in order."""
-    out, i, n = [], 0, len(text)
-    while i < n:
-        c = text[i]
-        if c == "\\":
+    out, i = [], 0
+    while m := _SIGN.search(text, i):
+        i = m.start()
+        if m[0] == "\\":
             i += 2
-        elif c == "`":
-            run = len(text) - i - len(text[i:].lstrip("`"))
+        elif m[0] != "[[":
+            run = len(m[0])
             close = re.compile(rf"(?<!`)`{{{run}}}(?!`)").search(text, i + run)
             i = close.end() if close else i + run
-        elif text.startswith("[[", i):
-            end = re.compile(r"[\[\]]").search(text, i + 2)
+        else:
+            end = _BRACKET.search(text, i + 2)
             while end and end[0] == "]" and not text.startswith("]]", end.start()):
-                end = re.compile(r"[\[\]]").search(text, end.end())
+                end = _BRACKET.search(text, end.end())
             if end and end[0] == "]" and end.start() > i + 2:
                 out.append(text[i + 2 : end.start()])
                 i = end.start() + 2
             else:
                 i += 1
-        else:
-            i += 1
     return out
 
 
@@ -124,12 +125,15 @@ def harvest_note(path: str, content: str) -> tuple[str, list[tuple[str, str, str
 def harvest(notes: DataFrame) -> DataFrame:
     """path, title, text, triples(subject, relation, object) of notes (path, content)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [harvest_note(p, c or "") for p, c in zip(f.path, f.content, strict=True)]
-            yield pd.DataFrame({"path": f.path, "title": [t for t, _ in got], "text": f.content, "triples": [[{"subject": s, "relation": r, "object": o} for s, r, o in x] for _, x in got]})
+    triples = pa.list_(pa.struct([(c, pa.string()) for c in ("subject", "relation", "object")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [harvest_note(p, c or "") for p, c in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True)]
+            found = pa.array([[dict(zip(("subject", "relation", "object"), t, strict=True)) for t in x] for _, x in got], triples)
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array([t for t, _ in got], pa.string()), b["content"], found], ["path", "title", "text", "triples"])
 
-    return notes.select("path", "content").mapInPandas(run, "path string, title string, text string, triples array<struct<subject:string,relation:string,object:string>>")
+    return notes.select("path", "content").mapInArrow(run, "path string, title string, text string, triples array<struct<subject:string,relation:string,object:string>>")
 
 
 def triples_of(harvested: DataFrame) -> DataFrame:

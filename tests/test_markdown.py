@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from noteloom.operators import markdown as m
 
 
@@ -101,3 +103,37 @@ def test_chunks_are_handed_over_in_bounded_parts(monkeypatch):
     parts = list(taken[0](iter([f])))
     assert [len(x) for x in parts] == [2, 2, 0]
     assert [(r.file, r.ord, r.text) for x in parts for r in x.itertuples()] == [(p, 0, c * 60) for p, c in (("a", "x"), ("c", "y"), ("e", "z"), ("f", "w"))]
+
+
+def test_notes_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    from noteloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(i, f"part {i}", f"Brand#{i % 5}", "LARGE") for i in range(500)], "p_partkey long, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["typed_fields"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    assert got.count() == 2000 and got.select("task").distinct().count() == 4
+
+
+def test_inline_links_against_a_walk_over_characters():
+    import random
+    import re
+
+    def plain(text):
+        out, i = [], 0
+        while i < len(text):
+            if text[i] == "\\":
+                i += 2
+            elif text[i] == "`":
+                run = len(re.match("`+", text[i:])[0])
+                close = re.compile(rf"(?<!`)`{{{run}}}(?!`)").search(text, i + run)
+                i = close.end() if close else i + run
+            elif link := re.match(r"\[\[((?:[^\[\]]|\](?!\]))+)\]\]", text[i:]):
+                out.append(link[1])
+                i += link.end()
+            else:
+                i += 1
+        return out
+
+    r = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(r.choice("[[]]]`\\ab|") for _ in range(r.randrange(16)))
+        assert m.inline_links(text) == plain(text), text
