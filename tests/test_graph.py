@@ -219,3 +219,24 @@ def test_a_giant_component_raises(spark):
     n = spark.range(51).select(F.col("id").cast("string").alias("id"))
     with pytest.raises(ValueError, match="at most 100"):
         graph.communities(n, e, most=100)
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_pagerank_iterates_only_nodes_that_edges_lead_to(spark, small, monkeypatch):
+    """Against plain loops; and 300 leaves of three nodes in a ring leave a core of three, which is one task even for small=10."""
+    pairs = [(f"leaf{i}", "xyz"[i % 3]) for i in range(300)] + [("x", "y"), ("y", "z"), ("z", "x"), ("z", "x"), ("leaf0", "y"), ("leaf1", "end")]
+    n, e = frame(spark, pairs, sorted({x for p in pairs for x in p} | {"alone"}))
+    names = [r["id"] for r in n.collect()]
+    out = {i: [b for a, b in pairs if a == i] for i in names}
+    rank = dict.fromkeys(names, 1 / len(names))
+    for _ in range(50):
+        new = dict.fromkeys(names, 0.15 / len(names) + 0.85 * sum(rank[i] for i in names if not out[i]) / len(names))
+        for i in names:
+            for b in out[i]:
+                new[b] += 0.85 * rank[i] / len(out[i])
+        rank = new
+    assert {r["id"]: r["rank"] for r in graph.pagerank(n, e, small=small).collect()} == pytest.approx(rank, abs=1e-12)
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: cuts.append(1) or f(df))
+    assert graph.pagerank(n, e, small=10).count() == len(names) and len(cuts) < 10
+    assert graph.pagerank(n.limit(0), e.limit(0), small=small).count() == 0
