@@ -240,3 +240,18 @@ def test_pagerank_iterates_only_nodes_that_edges_lead_to(spark, small, monkeypat
     monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: cuts.append(1) or f(df))
     assert graph.pagerank(n, e, small=10).count() == len(names) and len(cuts) < 10
     assert graph.pagerank(n.limit(0), e.limit(0), small=small).count() == 0
+
+
+@pytest.mark.parametrize(("small", "deep"), [(0, 100), (0, 2), (40, 100)])
+def test_large_components_are_swept_by_steps(spark, small, deep):
+    import random
+
+    r = random.Random(small + deep)
+    names = [f"{c}{i:02d}" for c in "abc" for i in range(40)] + ["lone"]
+    pairs = [(c + f"{r.randrange(40):02d}", c + f"{min(39, int(r.expovariate(0.15))):02d}") for c in "abc" for _ in range(70)]
+    pairs += [("a01", "a02")] * 3 + [("a02", "a01"), ("b05", "b05")]
+    n, e = frame(spark, pairs, names)
+    labels = graph.sweep(names, pairs)
+    first = sorted({min(i for i in names if labels[i] == x) for x in set(labels.values())})
+    want = {i: first.index(min(j for j in names if labels[j] == labels[i])) for i in names}
+    assert {x["id"]: x["community"] for x in graph.communities(n, e, small=small, deep=deep).collect()} == want
