@@ -255,3 +255,16 @@ def test_large_components_are_swept_by_steps(spark, small, deep):
     first = sorted({min(i for i in names if labels[i] == x) for x in set(labels.values())})
     want = {i: first.index(min(j for j in names if labels[j] == labels[i])) for i in names}
     assert {x["id"]: x["community"] for x in graph.communities(n, e, small=small, deep=deep).collect()} == want
+
+
+def test_a_large_community_is_not_placed_by_one_task(spark):
+    c = spark.range(3000).select(F.format_string("n%04d", (F.col("id") * 7) % 3000).alias("id"), (F.col("id") % 10 == 0).cast("long").alias("community"))
+    got = layouts.groups_layout(c)
+    assert "windowspecdefinition(community" not in got._jdf.queryExecution().toString()
+    at, m = {r["id"]: (r["x"], r["y"]) for r in got.collect()}, {0: 2700, 1: 300}
+    ring, rows = 0.32 * 600, sorted((r["community"], r["id"]) for r in c.collect())
+    for k, g in ((0, 0), (1, 1)):
+        a, radius = 2 * math.pi * g / 2 - math.pi / 2, min(0.8 * ring * math.sin(math.pi / 2), 30 * math.sqrt(m[k]))
+        for i, name in enumerate(n for x, n in rows if x == k):
+            b = 2 * math.pi * i / m[k] - math.pi / 2
+            assert at[name] == pytest.approx((400 + ring * math.cos(a) + radius * math.cos(b), 300 + ring * math.sin(a) + radius * math.sin(b)))
